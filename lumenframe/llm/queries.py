@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .simhash import near_duplicates
+from .tokencount import count_tokens
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
 }
 
 #: DuckDB SQL for those that SQL can express.
