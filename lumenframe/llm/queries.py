@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .licenses import scan_licenses
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .tokencount import count_tokens
 from .topk import top_k
+from .urlfilter import filter_urls
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -32,12 +38,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
     "op5_exact_topk": op5_exact_topk,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
 }
 
 #: DuckDB SQL for those that SQL can express.
