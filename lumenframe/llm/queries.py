@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .licenses import scan_licenses
+from .ngramlm import train_and_score
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import near_duplicates
@@ -42,6 +43,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -50,6 +55,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_scores": op10_ngram_scores,
 }
 
 #: DuckDB SQL for those that SQL can express.
