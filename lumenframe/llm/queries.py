@@ -10,6 +10,7 @@ from .ngramlm import train_and_score
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 from .topk import top_k
 from .urlfilter import filter_urls
@@ -19,6 +20,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
     "op5_exact_topk": op5_exact_topk,
