@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import retrieval
+
+QUERIES = {**retrieval.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL}
