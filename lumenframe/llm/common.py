@@ -14,6 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     Taken from ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) a
     temporary folder is made and set for the session's context.
     """
+    bounded_batches(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -23,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows cross to Python in batches of bounded size, however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -36,10 +42,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(df: DataFrame, name: str) -> tuple[str, ...]:
+    """Write ``df`` to the shared folder and have every executor fetch its Parquet files; their names, for ``SparkFiles``."""
+    return ship_written(written(df, name))
+
+
+def ship_written(df: DataFrame) -> tuple[str, ...]:
+    """The same for what ``written`` has returned."""
+    spark, files = df.sparkSession, sorted(df.inputFiles())
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return tuple(f.rpartition("/")[2] for f in files)
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session is set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -218,3 +218,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_co
 
         found = found.unionByName(rows.mapInArrow(run, schema))
     return found
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that resemble no benchmark item in the sense of ``find_leaks``."""
+    for block in _item_blocks(items, item_id_col, item_text_col):
+        docs = docs.where(_clean(block, similarity)(F.col(text_col)))
+    return docs
+
+
+def _clean(block: list[Item], similarity: float):
+    """A column function: whether a text resembles none of the items."""
+    made: list[Finder] = []
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Finder(block, similarity))
+        out, some, first, size = np.ones(len(texts), bool), [], 0, 0
+        for k, text in enumerate(texts.to_pylist()):
+            some.append(normalised(text))
+            size += len(some[-1])
+            if size >= CHUNK or k + 1 == len(texts):
+                for at, *_ in made[0].matches(some):
+                    out[first + at] = False
+                some, first, size = [], k + 1, 0
+        return pa.array(out)
+
+    return clean

@@ -71,11 +71,11 @@ class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[tuple[Condition, ...], float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score, 0 to 1, as a Spark column over the statistics."""
+    def column(self, within: str = "") -> Column:
+        """The score, 0 to 1, as a Spark column over the statistics, or over fields of the struct ``within``."""
 
         def held(rule: tuple[Condition, ...]) -> Column:
-            return reduce(operator.and_, [F.col(STATISTICS[j]) > t if above else F.col(STATISTICS[j]) <= t for j, above, t in rule])
+            return reduce(operator.and_, [F.col(within + STATISTICS[j]) > t if above else F.col(within + STATISTICS[j]) <= t for j, above, t in rule])
 
         terms = [F.when(held(rule), F.lit(w)).otherwise(F.lit(0.0)) for rule, w in self.rules]
         total = reduce(operator.add, terms, F.lit(self.intercept))
@@ -151,6 +151,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, pen
     return RuleModel(intercept, [(rule, float(b)) for rule, b in zip(ordered, beta.tolist(), strict=True) if abs(b) > 1e-6])
 
 
+def fit_quality(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> RuleModel:
+    """The rules for documents whose ``with_statistics`` is ``stats``, from at most ``sample`` labelled rows outside the held-out fold."""
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").where(_fold(folds) != 0)
+    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    rows = stats.join(some, "doc_id").orderBy("doc_id", "label").select(*STATISTICS, "label").limit(2 * sample).toPandas()
+    data = rows.to_numpy(float).reshape(-1, len(STATISTICS) + 1)
+    return fit_rules(data[:, :-1], data[:, -1])
+
+
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -160,11 +173,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     documents, null labels and further columns are ignored; repeated rows are scored each.
     """
     stats = cut(with_statistics(docs, id_col, text_col))
-    fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    held_out = F.coalesce(fold == 0, F.lit(False))
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(f"label IN (0, 1) AND doc_id IS NOT NULL").where(fold != 0)
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = stats.join(some, "doc_id").orderBy("doc_id", "label").select(*STATISTICS, "label").limit(2 * sample).toPandas()
-    data = rows.to_numpy(float).reshape(-1, len(STATISTICS) + 1)
-    model = fit_rules(data[:, :-1], data[:, -1])
+    held_out = F.coalesce(_fold(folds) == 0, F.lit(False))
+    model = fit_quality(stats, labels, sample, id_col, label_col, folds)
     return stats.select("doc_id", held_out.alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> DataFrame:
+    """The rows of ``docs``, whole, whose score is ``threshold`` or more; fitted and scored as in ``quality_scores``."""
+    model = fit_quality(cut(with_statistics(docs, id_col, text_col)), labels, sample, id_col, label_col, folds)
+
+    @F.arrow_udf(", ".join(f"{c} double" for c in STATISTICS))
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = np.array([statistics(x) for x in texts.cast(pa.binary()).to_pylist()], float).reshape(len(texts), len(STATISTICS))
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(STATISTICS))
+
+    return docs.withColumn("_measured", measured(F.col(text_col))).where(model.column("_measured.") >= threshold).drop("_measured")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,10 +12,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import ship
 
-#: Bits a key, and bits of a filter at most (256 MB): beyond that it lets more pass, and nothing is lost.
-BITS_A_KEY, MOST_BITS = 16, 1 << 31
+#: Bits a key, bits of a filter at most (256 MB; beyond that it lets more pass, and nothing is lost), and its files.
+BITS_A_KEY, MOST_BITS, FILES = 16, 1 << 31, 4
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -27,15 +25,15 @@ def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class BitFilter:
-    """Says for many 64-bit keys at once whether they may be among those it was made of. Picklable: a name and a size."""
+    """Says for many 64-bit keys at once whether they may be among those it was made of. Picklable: file names and a size."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits = folder, bits
+    def __init__(self, files: tuple[str, ...], bits: int):
+        self.files, self.bits = files, bits
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not self.folder:
+        if not self.files:
             return np.zeros(len(keys), bool)
-        words = _loaded(self.folder, self.bits)
+        words = _loaded(self.files, self.bits)
         out = np.ones(len(keys), bool)
         for at in _places(keys, self.bits):
             out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -43,20 +41,19 @@ class BitFilter:
 
 
 @lru_cache(maxsize=8)
-def _loaded(folder: str, bits: int) -> np.ndarray:
-    words, root = np.zeros(bits // 64, np.uint64), SparkFiles.get(folder)
-    for name in os.listdir(root):
-        if name.endswith(".parquet"):
-            for batch in pq.ParquetFile(f"{root}/{name}").iter_batches():
-                words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+def _loaded(files: tuple[str, ...], bits: int) -> np.ndarray:
+    words = np.zeros(bits // 64, np.uint64)
+    for name in files:
+        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+            words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
     return words
 
 
 def bit_filter(keys: DataFrame) -> BitFilter:
     """A filter of the distinct keys in ``keys(k)``."""
-    spark, n = keys.sparkSession, keys.count()
+    n = keys.count()
     if not n:
-        return BitFilter("", 64)
+        return BitFilter((), 64)
     bits = min(MOST_BITS, max(1 << 12, 1 << (n * BITS_A_KEY - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +64,5 @@ def bit_filter(keys: DataFrame) -> BitFilter:
                 first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
                 yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int64)), pa.array(np.bitwise_or.reduceat(one, first).view(np.int64))], ["w", "b"])
 
-    name = f"filter-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    keys.select("k").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).write.parquet(path)
-    spark.sparkContext.addFile(path, recursive=True)
-    return BitFilter(name, bits)
+    words = keys.select("k").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    return BitFilter(ship(words.coalesce(FILES), "filter"), bits)

@@ -173,3 +173,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
     by_fp = placed.join(lowest, "label").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, whole, without those whose component has a smaller id; a repeated id keeps one row, rows without an id stay."""
+    grouped = near_duplicates(docs, id_col, text_col, k, bits)
+    judged = cut(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("n")))
+    gone = judged.where("low < doc_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if judged.where("n > 1").isEmpty():
+        return kept
+    named = kept.where(F.col(id_col).isNotNull())
+    return named.dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

@@ -22,27 +22,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, partitions
+from .common import cut, partitions, ship, written
 from .shipped import BitFilter, bit_filter
 
 LENGTH = 400
 #: Bytes of a window's hashed grams, and starts of a step.
 GRAM, STEP = 16, 16
 #: Bytes that are worked on together, and margin on both sides of a part of a longer text.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Bytes of suffixes in a run, and splitters sampled for each range.
-RUN, SAMPLES = 32 << 20, 40
+RUN, SAMPLES = 16 << 20, 40
+#: Suffixes that hashes took for repetitions in error: so many are told to all tasks (about 0.1 GB); if there are more, texts are joined with what is repeated.
+MOST_SINGLE = 200_000
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
@@ -56,7 +61,7 @@ class Chunk:
         """Texts are data[begins:ends]; starts from low to high (exclusive) are this chunk's; offset: what to add for places in the text."""
         self.data, self.begins, self.ends, self.offset, self.length = data, begins, ends, offset, length
         n = len(data)
-        size = 1 << max(12, n.bit_length())
+        size = 1 << max(20, n.bit_length())
         self.up, down = _powers(size)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:n], out=self.sums[1:])
@@ -112,50 +117,49 @@ class Chunk:
         return whole, left, right
 
     def steps(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of some blocks: block, first start (0-based, may lie before the block), whether it is all the block's, whole hash (0 if not), core hash."""
+        """Of some blocks: block, first own start and number of them, whole hash, core hash.
+
+        Steps are counted from the anchor; of one that reaches beyond its block only the block's
+        starts are its own. Its core is what all windows of the whole step have in common, and so
+        the same wherever one of them stands.
+        """
         a = self.anchor[blocks]
         j0, j1 = (a - self.last[blocks]) // STEP, (a - self.first[blocks]) // STEP
         n = j1 - j0 + 1
         b = np.repeat(blocks, n)
         j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(j0, n)
         last = self.anchor[b] - STEP * j
-        first = last - STEP + 1
-        inside = (first >= self.first[b]) & (last <= self.last[b])
-        whole = np.zeros(len(b), np.uint64)
-        whole[inside] = self.hash(first[inside], self.length + STEP - 1)
-        return b, first, inside, whole, self.hash(last, self.length - STEP + 1) * np.uint64(7)
+        low, high = np.maximum(last - STEP + 1, self.first[b]), np.minimum(last, self.last[b])
+        return b, low, high - low + 1, self.hash(low, high - low + self.length), self.hash(last, self.length - STEP + 1) * np.uint64(7)
 
-    def singles(self, blocks: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def singles(self, blocks: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some steps: block, each own start, its window's hash."""
-        low = np.maximum(firsts, self.first[blocks])
-        n = np.minimum(firsts + STEP - 1, self.last[blocks]) - low + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return np.repeat(blocks, n), at, self.hash(at, self.length)
 
-    def units(self, filters: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, start in the chunk and size of every suffix to be sorted."""
+    def units(self, filters: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, start in the chunk, size and hash of every suffix to be sorted."""
         whole, left, right = self.block_keys()
         every = np.arange(len(whole))
-        parts = [(every[ok := filters.repeated(whole)], self.first[ok], (self.last - self.first)[ok] + self.length)]
-        b, first, _, step, core = self.steps(every[filters.sides(left) | filters.sides(right)])
-        ok = (step != 0) & filters.repeated(step)
-        parts.append((b[ok], first[ok], np.full(ok.sum(), self.length + STEP - 1)))
+        parts = [(every[ok := filters.repeated(whole)], self.first[ok], (self.last - self.first)[ok] + self.length, whole[ok])]
+        b, low, n, step, core = self.steps(every[filters.sides(left) | filters.sides(right)])
+        ok = filters.repeated(step)
+        parts.append((b[ok], low[ok], n[ok] - 1 + self.length, step[ok]))
         ok = filters.cores(core)
-        b, at, one = self.singles(b[ok], first[ok])
+        b, at, one = self.singles(b[ok], low[ok], n[ok])
         ok = filters.repeated_one(one)
-        parts.append((b[ok], at[ok], np.full(ok.sum(), self.length)))
-        block, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.append((b[ok], at[ok], np.full(ok.sum(), self.length), one[ok]))
+        block, start, size, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         # A block can be one step or one start: the same suffix of the same place must not meet itself.
         _, once = np.unique(start.astype(np.int64) << 32 | size.astype(np.int64), return_index=True)
-        block, start, size = block[once], start[once], size[once]
-        return self.text[block], start, size
+        return self.text[block[once]], start[once], size[once], key[once]
 
 
 class Filters:
     """What has been learnt: repeated whole suffixes, sides and cores of unsettled classes."""
 
     def __init__(self) -> None:
-        self.blocks = self.steps = self.ones = self.sides = self.cores = BitFilter("", 64)
+        self.blocks = self.steps = self.ones = self.sides = self.cores = BitFilter((), 64)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         return self.blocks(keys) | self.steps(keys)
@@ -306,8 +310,8 @@ def _identity(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (and ``kept`` with ``keep_text``) for every row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, most_single: int = MOST_SINGLE) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; with ``keep_text`` also ``kept`` and ``rest``, a struct of the row's other columns.
 
     Texts are their UTF-8 bytes, null texts empty; strings never cross texts and are judged on the
     input. ``spans`` are the removed runs as (start, end). ``kept`` is what is left, decoded with
@@ -316,8 +320,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     if length < 2 * GRAM + STEP:
         raise ValueError(f"length is at least {2 * GRAM + STEP}")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    other = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*other, F.lit(0).alias("_")).alias("rest"))
+    rows = every.select("doc_id", "text")
     filters = Filters()
 
     # Blocks: sides that may have a partner and hold a block whose own suffix is unique.
@@ -327,6 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield _longs(*c.block_keys(), names=["whole", "left", "right"])
 
     counted = cut(rows.mapInArrow(blocks, "whole long, left long, right long").groupBy("whole", "left", "right").agg(F.count("*").alias("n")))
+    n_blocks = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sides = counted.select(F.explode(F.array("left", "right")).alias("k"), "n").where("k <> 0").groupBy("k").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
     filters.blocks = bit_filter(cut(counted.groupBy(F.col("whole").alias("k")).agg(F.sum("n").alias("n")).where("n > 1").select("k")))
     filters.sides = bit_filter(cut(sides.where("all > 1 AND least = 1").select("k")))
@@ -340,39 +346,71 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield _longs(whole, core, names=["whole", "core"])
 
     counted = cut(rows.mapInArrow(steps, "whole long, core long").groupBy("whole", "core").agg(F.count("*").alias("n")))
-    unsettled = F.when((F.col("whole") == 0) | (F.col("n") == 1), 1).otherwise(0)
-    cores = counted.groupBy(F.col("core").alias("k")).agg(F.sum("n").alias("all"), F.max(unsettled).alias("open"))
-    filters.steps = bit_filter(cut(counted.where("whole <> 0").groupBy(F.col("whole").alias("k")).agg(F.sum("n").alias("n")).where("n > 1").select("k")))
-    filters.cores = bit_filter(cut(cores.where("all > 1 AND open = 1").select("k")))
+    cores = counted.groupBy(F.col("core").alias("k")).agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    filters.steps = bit_filter(cut(counted.groupBy(F.col("whole").alias("k")).agg(F.sum("n").alias("n")).where("n > 1").select("k")))
+    filters.cores = bit_filter(cut(cores.where("all > 1 AND least = 1").select("k")))
 
     # Single starts of those steps.
     def singles(batches: Iterator[pa.RecordBatch], f: Filters = _copy(filters)) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, c in chunks(_texts(batch, 1), length):
                 _, left, right = c.block_keys()
-                b, first, _, _, core = c.steps(np.flatnonzero(f.sides(left) | f.sides(right)))
+                b, low, n, _, core = c.steps(np.flatnonzero(f.sides(left) | f.sides(right)))
                 ok = f.cores(core)
-                yield _longs(c.singles(b[ok], first[ok])[2], names=["k"])
+                yield _longs(c.singles(b[ok], low[ok], n[ok])[2], names=["k"])
 
     filters.ones = bit_filter(cut(rows.mapInArrow(singles, "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")))
 
-    repeated = cut(_sort(spark, rows, filters, length))
+    sorted_ = written(_sort(rows, filters, length, n_blocks), "suffixes")
+    span = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string"
+    rest = [every.schema["rest"]] if keep_text else []
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, " + span).fields, *rest])
+    single = sorted_.where("NOT repeated")
+    if single.count() <= most_single:
+        # Few that only hashes took for repetitions: all tasks know them, and no text moves.
+        known = Singles(ship(single.select("text").coalesce(1), "single"))
+
+        def finish_alone(batches: Iterator[pa.RecordBatch], f: Filters = _copy(filters)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = _texts(batch, 1)
+                found: list[list[tuple[int, int]]] = [[] for _ in texts]
+                for numbers, c in chunks(texts, length):
+                    text, start, size, keys = c.units(f)
+                    keep = known.repeated(c, start, size, keys)
+                    text, start, size = text[keep], start[keep], size[keep]
+                    for t, a, s in zip(numbers[text].tolist(), (start + c.offset[text]).tolist(), size.tolist(), strict=True):
+                        found[t].append((a, a + s))
+                rows_ = [_cut_out(t, spans, None, keep_text) for t, spans in zip(texts, found, strict=True)]
+                yield _finished(batch.column(0), rows_, batch.columns[2:])
+
+        done = (every if keep_text else rows).mapInArrow(finish_alone, schema)
+        return done if keep_text else done.drop("kept")
+    repeated = sorted_.where("repeated").select("name")
 
     # Each text that holds a sorted suffix meets what has been found of it.
     def places(batches: Iterator[pa.RecordBatch], f: Filters = _copy(filters)) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
             for numbers, c in chunks(texts, length):
-                text, start, size = c.units(f)
+                text, start, size, _ = c.units(f)
                 if not len(text):
                     continue
                 raw = c.data.tobytes()
-                marks = {t: _mark(texts[numbers[t]]) for t in np.unique(text).tolist()}
-                names = [_identity(raw[a : a + s]) for a, s in zip(start.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[numbers[t]] for t in text.tolist()], pa.int64()), pa.array([marks[t] for t in text.tolist()], pa.int64()), pa.array(names, pa.binary()), pa.array(start + c.offset[text]), pa.array(size.astype(np.int64))], ["doc_id", "mark", "name", "start", "size"])
-
-    found = rows.mapInArrow(places, "doc_id long, mark long, name binary, start long, size long").join(repeated, "name", "left_semi")
-    found = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "size")).alias("found"))
+                order = np.argsort(text, kind="stable")
+                edges = [0, *(np.flatnonzero(np.diff(text[order])) + 1).tolist(), len(order)]
+                out: list[tuple] = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    t = int(text[order[a]])
+                    at, names = int(numbers[t]), {}
+                    for i, s in zip(start[order[a:b]].tolist(), size[order[a:b]].tolist(), strict=True):
+                        names.setdefault(_identity(raw[i : i + s]), (s, []))[1].append(i + int(c.offset[t]))
+                    mark = _mark(texts[at])
+                    out += [(ids[at], mark, name, s, starts) for name, (s, starts) in names.items()]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "mark", "name", "size", "starts"])
+
+    found = rows.mapInArrow(places, "doc_id long, mark long, name binary, size long, starts array<long>").join(repeated, "name", "left_semi")
+    found = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("size", "starts")).alias("found"))
     found = found.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "found")
 
     def split(batches: Iterator[pa.RecordBatch], f: Filters = _copy(filters)) -> Iterator[pa.RecordBatch]:
@@ -384,36 +422,65 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([_mark(t) if i in touched else None for i, t in enumerate(texts)], pa.int64()), pa.array([t if i in touched or keep_text else None for i, t in enumerate(texts)], pa.binary()),
                 pa.array([len(t) for t in texts], pa.int64()), pa.array([None if i in touched else hashlib.sha256(t).hexdigest() for i, t in enumerate(texts)], pa.string()),
-            ], ["doc_id", "mark", "text", "n_bytes", "sha"])
+                *batch.columns[2:],
+            ], ["doc_id", "mark", "text", "n_bytes", "sha", *["rest"] * keep_text])
 
-    given = rows.mapInArrow(split, "doc_id long, mark long, text binary, n_bytes long, sha string")
-    joined = given.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "n_bytes", "sha", "found")
+    given = (every if keep_text else rows).mapInArrow(split, T.StructType([*T.StructType.fromDDL("doc_id long, mark long, text binary, n_bytes long, sha string").fields, *rest]))
+    joined = given.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "n_bytes", "sha", "found", *["rest"] * keep_text)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, n, sha, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans: list[dict] = []
-                for a, b in sorted((g["start"], g["start"] + g["size"]) for g in got or ()):
-                    if spans and a <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(b, spans[-1]["end"])
-                    else:
-                        spans.append({"start": a, "end": b})
-                if text is None:
-                    kept = b""
-                else:
-                    edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    sha = hashlib.sha256(kept).hexdigest()
-                out.append((doc, n, sum(s["end"] - s["start"] for s in spans), len(spans), sha, spans, kept.decode(errors="replace") if keep_text else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-
-    done = joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string")
+            texts, sizes, shas, got = (batch.column(i).to_pylist() for i in range(1, 5))
+            rows_ = []
+            for text, n, sha, found in zip(texts, sizes, shas, got, strict=True):
+                spans = [(a, a + g["size"]) for g in found or () for a in g["starts"]]
+                rows_.append((n, 0, 0, sha, [], None) if text is None else _cut_out(text, spans, sha, keep_text))
+            yield _finished(batch.column(0), rows_, batch.columns[5:])
+
+    done = joined.mapInArrow(finish, schema)
     return done if keep_text else done.drop("kept")
 
 
+def _cut_out(text: bytes, found: list[tuple[int, int]], sha: str | None, keep_text: bool) -> tuple:
+    spans: list[dict] = []
+    for a, b in sorted(found):
+        if spans and a <= spans[-1]["end"]:
+            spans[-1]["end"] = max(b, spans[-1]["end"])
+        else:
+            spans.append({"start": a, "end": b})
+    edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(text)]
+    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text
+    return len(text), sum(s["end"] - s["start"] for s in spans), len(spans), sha or hashlib.sha256(kept).hexdigest(), spans, kept.decode(errors="replace") if keep_text else None
+
+
+def _finished(ids: pa.Array, rows: list[tuple], rest: list[pa.Array]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", *["rest"] * len(rest)]
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *rest], names)
+
+
+class Singles:
+    """Sorted suffixes that turned out to stand alone: by hash, then byte for byte."""
+
+    def __init__(self, files: tuple[str, ...]):
+        self.files = files
+
+    def repeated(self, chunk: Chunk, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        hashes, texts = _singles(self.files, chunk.length)
+        out = np.ones(len(keys), bool)
+        for i in np.flatnonzero(np.isin(keys, hashes)).tolist():
+            out[i] = chunk.data[start[i] : start[i] + size[i]].tobytes() not in texts
+        return out
+
+
+@lru_cache(maxsize=1)
+def _singles(files: tuple[str, ...], length: int) -> tuple[np.ndarray, frozenset]:
+    texts = [bytes(t) for name in files for t in pq.read_table(SparkFiles.get(name)).column("text").to_pylist()]
+    hashes = [c.hash(np.zeros(1, np.int64), len(t)) for t in texts for c in (Chunk(np.frombuffer(t, np.uint8), *[np.empty(0, np.int64)] * 5, length),)]
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), frozenset(texts)
+
+
 def _mark(text: bytes) -> int:
     """Tells rows of one id apart; equal rows have equal results."""
     return xxhash.xxh64_intdigest(text) - (1 << 63)
@@ -426,9 +493,9 @@ def _copy(filters: Filters) -> Filters:
     return new
 
 
-def _sort(spark, rows: DataFrame, filters: Filters, length: int) -> DataFrame:
-    """``name``: identities of the suffixes that occur at two starts or more."""
-    ranges = partitions(spark)
+def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFrame:
+    """``name, repeated, text``: identities of the sorted suffixes that occur at two starts or more, and those (with their text) that do not."""
+    ranges = partitions(rows.sparkSession)
     f = _copy(filters)
 
     def run_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, int]]:
@@ -436,14 +503,15 @@ def _sort(spark, rows: DataFrame, filters: Filters, length: int) -> DataFrame:
         size = 0
         for batch in batches:
             for _, c in chunks(_texts(batch, 1), length):
-                _, start, sizes = c.units(f)
+                _, start, sizes, keys = c.units(f)
+                _, first, times = np.unique(keys, return_index=True, return_counts=True)
                 raw = c.data.tobytes()
-                for a, s in zip(start.tolist(), sizes.tolist(), strict=True):
+                for a, s, n in zip(start[first].tolist(), sizes[first].tolist(), times.tolist(), strict=True):
                     text = raw[a : a + s]
                     if text in run:
-                        run[text] += 1
+                        run[text] += n
                     else:
-                        run[text] = 1
+                        run[text] = n
                         size += s
                 if size > RUN:
                     yield run
@@ -451,17 +519,16 @@ def _sort(spark, rows: DataFrame, filters: Filters, length: int) -> DataFrame:
         if run:
             yield run
 
-    # Splitters: starts of texts' blocks, as many of them as the ranges need, whatever the input's size.
+    # Splitters: starts of blocks of as many texts as the ranges need, whatever the input's size.
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, c in chunks(_texts(batch, 1), length):
-                at = c.first
-                raw = c.data.tobytes()
-                tags = c.hash(at, 32)
+                raw, tags = c.data.tobytes(), c.hash(c.first, 32)
                 near = np.argsort(tags)[: 4 * SAMPLES]
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + 48] for a in at[near].tolist()], pa.binary()), pa.array(tags[near].view(np.int64))], ["s", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + 48] for a in c.first[near].tolist()], pa.binary()), pa.array(tags[near].view(np.int64))], ["s", "tag"])
 
-    taken = rows.mapInArrow(some, "s binary, tag long").orderBy("tag").limit(SAMPLES * ranges).collect()
+    spread = max(1, blocks // (4 * SAMPLES * ranges))
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) == 0).mapInArrow(some, "s binary, tag long").orderBy("tag").limit(SAMPLES * ranges).collect()
     ordered = sorted({bytes(r.s) for r in taken})
     splitters = [ordered[len(ordered) * (i + 1) // ranges] for i in range(ranges - 1) if len(ordered) > ranges]
 
@@ -474,29 +541,39 @@ def _sort(spark, rows: DataFrame, filters: Filters, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([front_coded(p) for p in parts.values()], pa.binary())], ["range", "run"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeats(blobs: list[bytes]) -> pa.RecordBatch:
-            out, before, total = [], None, 0
+        def judged(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            names, texts, before, total = [], [], None, 0
+
+            def close() -> None:
+                if before is not None:
+                    names.append(_identity(before))
+                    texts.append(None if total > 1 else before)
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([t is None for t in texts]), pa.array(texts, pa.binary())], ["name", "repeated", "text"])
+
             for text, shared, count in merged([decoded(b) for b in blobs]):
                 if before is not None and shared == len(text) == len(before):
                     total += count
-                    if total - count < 2 <= total:
-                        out.append(_identity(text))
                 else:
+                    close()
                     before, total = text, count
-                    if count > 1:
-                        out.append(_identity(text))
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["name"])
+                    if len(names) == 20_000:
+                        yield batch()
+                        names, texts = [], []
+            close()
+            yield batch()
 
         held, now = [], None
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if held and part != now:
-                    yield repeats(held)
+                    yield from judged(held)
                     held = []
                 now = part
                 held.append(blob)
         if held:
-            yield repeats(held)
+            yield from judged(held)
 
     dealt = rows.mapInArrow(runs, "range int, run binary").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(merge, "name binary")
+    return dealt.mapInArrow(merge, "name binary, repeated boolean, text binary")
