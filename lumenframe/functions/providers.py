@@ -77,8 +77,7 @@ def verify(prompt: Column, provider: Callable[[], Provider] = hash_verifier) ->
 _OPENINGS = [re.compile("^" + p, re.IGNORECASE) for p in X.ANSWER_OPENINGS]
 
 
-@F.pandas_udf("string")
-def without_openings(answers: pd.Series) -> pd.Series:
+def without_openings(answers: Column) -> Column:
     """Answers without their openings, again and again until none is left; an opening that is all of it stays."""
 
     def one(text: str | None) -> str | None:
@@ -89,4 +88,8 @@ def without_openings(answers: pd.Series) -> pd.Series:
                 text = p.sub("", text).strip() or text
         return text
 
-    return answers.map(one)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(answers)

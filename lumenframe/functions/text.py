@@ -22,6 +22,11 @@ def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     return _any([text.contains(p) for p in phrases])
 
@@ -77,7 +82,7 @@ def intent(text: Column) -> Column:
     upper, lower = r"\p{Lu}", r"\p{Ll}"
     code = text.rlike(rf"{BEFORE}(?:{upper}{{2,}}[0-9\-]*|{upper}+-[0-9]+){AFTER}")
     name = rf"{BEFORE}{upper}{lower}+(?:\s+{upper}{lower}+)+{AFTER}"
-    inner = F.transform(F.split(text, r"[.?!\n]+"), lambda s: F.regexp_replace(F.trim(s), r"^\S+\s*", ""))
+    inner = F.transform(F.split(text, r"[.?!\n]+"), lambda s: F.regexp_replace(strip(s), r"^\S+\s*", ""))
     wanted = contains_any(F.lower(text), X.TEXT_CUES) | code | F.exists(inner, lambda s: s.rlike(name)) | text.rlike('["“][^"”]{3,}["”]')
     made = lambda kind, dense, sparse: F.struct(F.lit(kind).alias("intent"), F.lit(dense).alias("dense_weight"), F.lit(sparse).alias("sparse_weight"))
     return F.when(wanted, made("OCR_TEXT", 0.4, 0.6)).otherwise(made("VISUAL_SCENE", 0.75, 0.25))
@@ -85,13 +90,13 @@ def intent(text: Column) -> Column:
 
 def prompts(text: Column) -> Column:
     """The prompt ensemble of an English query: frames around it, and around its first sentences if it has several."""
-    bare = F.regexp_replace(F.trim(text), r"\.+$", "")
-    bare = F.trim(F.regexp_replace(bare, rf"(?i)^(?:{'|'.join(X.PROMPT_OPENINGS)})\s+", ""))
-    sentences = F.filter(F.transform(F.split(bare, r"[.;\n]+"), F.trim), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 3)
+    bare = F.regexp_replace(strip(text), r"\.+$", "")
+    bare = strip(F.regexp_replace(bare, rf"(?i)^(?:{'|'.join(X.PROMPT_OPENINGS)})\s+", ""))
+    sentences = F.filter(F.transform(F.split(bare, r"[.;\n]+"), strip), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 3)
     framed = F.array(*[F.concat(F.lit(f), bare) for f in X.PROMPT_FRAMES])
     more = F.flatten(F.transform(F.slice(sentences, 1, 3), lambda s: F.array(*[F.concat(F.lit(f), s) for f in X.SENTENCE_FRAMES])))
     every = F.when(F.size(sentences) > 1, F.concat(framed, more)).otherwise(framed)
-    return F.array_distinct(F.filter(every, lambda p: F.length(F.trim(p)) > 3))
+    return F.array_distinct(F.filter(every, lambda p: F.length(strip(p)) > 3))
 
 
 def neutral_question(question: Column) -> Column:
@@ -109,12 +114,12 @@ def task_of_name(query_id: Column) -> Column:
 
 
 def without_question_label(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"(?iu)^(?:{'|'.join(X.QUESTION_LABELS)})\s*[:.]?\s*", ""))
+    return strip(F.regexp_replace(text, rf"(?iu)^(?:{'|'.join(X.QUESTION_LABELS)})\s*[:.]?\s*", ""))
 
 
 def split_by_sentence(lines: Column) -> Column:
     """``struct(query, question)`` of a file that is named a question: sentences with a mark or an opening are the question."""
-    sentences = F.filter(F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, r"(?<=[.!?])\s+"), F.trim))), lambda s: s != "")
+    sentences = F.filter(F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, r"(?<=[.!?])\s+"), strip))), lambda s: s != "")
     asks = lambda s: s.contains("?") | s.rlike(rf"(?iu)^(?:{'|'.join(X.QUESTION_OPENINGS)}){AFTER}")
     asked = F.filter(F.transform(F.filter(sentences, asks), without_question_label), lambda s: s != "")
     told = F.filter(sentences, lambda s: ~asks(s))
@@ -132,19 +137,19 @@ def split_by_line(lines: Column) -> Column:
 
 def _or_all(lines: Column, told: Column, asked: Column) -> Column:
     whole = F.array_join(lines, "\n")
-    pick = lambda parts: F.coalesce(F.nullif(F.trim(F.array_join(parts, " ")), F.lit("")), whole)
+    pick = lambda parts: F.coalesce(F.nullif(strip(F.array_join(parts, " ")), F.lit("")), whole)
     return F.struct(pick(told).alias("query"), pick(asked).alias("question"))
 
 
 def event_lines(lines: Column) -> Column:
     """Lines without their ordinal or label; all lines as they are if nothing is left."""
-    cleaned = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, rf"(?iu)^{X.EVENT_LABEL}\s*\d*\s*[:.]?\s*", ""))), lambda x: x != "")
+    cleaned = F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, rf"(?iu)^{X.EVENT_LABEL}\s*\d*\s*[:.]?\s*", ""))), lambda x: x != "")
     return F.when(F.size(cleaned) > 0, cleaned).otherwise(lines)
 
 
 def parse_query(query_id: Column, lines: Column) -> Column:
     """``struct(task, query, question, events)`` of a query file's name and lines: by name, else by content."""
-    lines = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(lines, strip), lambda x: x != "")
     whole = F.array_join(lines, "\n")
     none = F.array().cast("array<string>")
 
@@ -168,7 +173,7 @@ def parse_query(query_id: Column, lines: Column) -> Column:
 def natural_key(path: Column) -> Column:
     """Sorts digit runs by value: lower-cased, with runs of digits padded."""
     parts = F.regexp_extract_all(F.lower(path), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.coalesce(F.nullif(F.ltrim(F.lit("0"), p), F.lit("")), F.lit("0")), 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.coalesce(F.nullif(F.ltrim(p, F.lit("0")), F.lit("")), F.lit("0")), 20, "0")).otherwise(p)), "")
 
 
 # ---- answers
@@ -176,18 +181,18 @@ def natural_key(path: Column) -> Column:
 
 def clean_opening(answer: Column, question: Column) -> Column:
     """A long answer's quoted core, and an answer without the question that it repeats."""
-    ans = F.trim(answer)
-    core = F.trim(F.regexp_extract(ans, '["“]([^"”]+)["”]', 1))
+    ans = strip(answer)
+    core = strip(F.regexp_extract(ans, '["“]([^"”]+)["”]', 1))
     ans = F.when((F.length(core) > 2) & (F.length(ans) > 60), core).otherwise(ans)
-    asked = F.regexp_replace(F.trim(question), r"\?+$", "")
+    asked = F.regexp_replace(strip(question), r"\?+$", "")
     echoes = (F.length(question) > 10) & F.lower(ans).startswith(F.lower(asked))
     return F.when(echoes, F.regexp_replace(F.substr(ans, F.length(asked) + 1), "^[ :là,.\\-]+", "")).otherwise(ans)
 
 
 def finish_answer(answer: Column) -> Column:
     """Quotes and closing marks gone, refusals replaced, at most 100 characters."""
-    ans = F.regexp_replace(F.trim(F.lit("'"), F.trim(F.lit('"'), F.trim(answer))), "[.!?;:]+$", "")
-    cut = F.when(F.length(ans) > 100, F.trim(F.substring(ans, 1, 100))).otherwise(ans)
+    ans = F.regexp_replace(F.trim(F.trim(strip(answer), F.lit('"')), F.lit("'")), "[.!?;:]+$", "")
+    cut = F.when(F.length(ans) > 100, strip(F.substring(ans, 1, 100))).otherwise(ans)
     return F.when(contains_any(F.lower(ans), X.REFUSALS) | (cut == ""), X.UNKNOWN).otherwise(cut)
 
 
@@ -201,10 +206,10 @@ def answer_score(answer: Column, rank: Column) -> Column:
 
 def quoted_for_csv(answer: Column) -> Column:
     """An answer as a quoted field of at most 100 characters."""
-    text = F.trim(F.coalesce(answer, F.lit("")))
+    text = strip(F.coalesce(answer, F.lit("")))
     text = F.when(text.isin("", '""', "''", "None"), X.UNKNOWN).otherwise(text)
-    bare = F.trim(F.regexp_replace(F.trim(F.lit("'"), F.trim(F.lit('"'), text)), "\n", " "))
-    bare = F.when(F.length(bare) > 100, F.trim(F.substring(bare, 1, 100))).otherwise(bare)
+    bare = strip(F.regexp_replace(F.trim(F.trim(text, F.lit('"')), F.lit("'")), "\n", " "))
+    bare = F.when(F.length(bare) > 100, strip(F.substring(bare, 1, 100))).otherwise(bare)
     bare = F.when(bare == "", X.UNKNOWN).otherwise(bare)
     return F.concat(F.lit('"'), F.replace(bare, F.lit('"'), F.lit('""')), F.lit('"'))
 
@@ -218,6 +223,6 @@ def verification_score(answer: Column) -> Column:
 
 def answers_match(given: Column, wanted: Column) -> Column:
     """Equal, one within the other, or with a common word; never for empty ones."""
-    a, b = F.trim(F.lower(F.coalesce(given, F.lit("")))), F.trim(F.lower(F.coalesce(wanted, F.lit(""))))
+    a, b = strip(F.lower(F.coalesce(given, F.lit("")))), strip(F.lower(F.coalesce(wanted, F.lit(""))))
     words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
     return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | F.arrays_overlap(words(a), words(b)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import retrieval, understanding
 
-QUERIES = {**retrieval.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **understanding.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **understanding.ORACLE_SQL}

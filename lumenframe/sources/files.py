@@ -72,8 +72,7 @@ def string_leaves(value: object) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def json_text(raw: pd.Series) -> pd.Series:
+def json_text(raw: Column) -> Column:
     """``string_leaves`` of JSON texts; null for what isn't JSON."""
 
     def one(text: str | None) -> str | None:
@@ -82,7 +81,11 @@ def json_text(raw: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return raw.map(one)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(raw)
 
 
 def media_id(path: Column) -> Column:
@@ -100,7 +103,7 @@ def read_media_text(spark: SparkSession, root: str) -> DataFrame:
 
 def grouped_media(files: DataFrame) -> DataFrame:
     """The same of ``files(path, raw)``."""
-    texts = files.select(media_id(F.col("path")).alias("video_id"), "path", json_text("raw").alias("text")).where("text IS NOT NULL")
+    texts = files.select(media_id(F.col("path")).alias("video_id"), "path", json_text(F.col("raw")).alias("text")).where("text IS NOT NULL")
     joined = F.array_sort(F.collect_list(F.struct("path", "text")))
     return texts.groupBy("video_id").agg(F.concat(F.lit(" "), F.array_join(F.transform(joined, lambda s: s["text"]), " ")).alias("text"))
 
