@@ -10,7 +10,9 @@ bit filters, only ever leave out what is certainly unique.
 
 What is left is sorted: tasks sort their distinct suffixes into runs, cut them at sampled
 splitters and exchange them front-coded; a loser tree that carries common prefixes merges the runs
-of a range, and whatever stands there with an equal neighbour, byte for byte, is a repetition.
+of a range, and whatever stands there with an equal neighbour is a repetition. A suffix is sorted
+by its first bytes, and by two 64-bit hashes of all of it where those are equal: windows of one
+region overlap almost wholly, and exchanging every one in full would cost many times the text.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ LENGTH = 400
 GRAM, STEP = 16, 16
 #: Bytes that are worked on together, and margin on both sides of a part of a longer text.
 CHUNK = 1 << 19
-#: Bytes of suffixes in a run, and splitters sampled for each range.
-RUN, SAMPLES = 16 << 20, 40
-#: Suffixes that hashes took for repetitions in error: so many are told to all tasks (about 0.1 GB); if there are more, texts are joined with what is repeated.
-MOST_SINGLE = 200_000
+#: Bytes of suffixes in a run, splitters sampled for each range, and bytes that a suffix is sorted by before its digest.
+RUN, SAMPLES, HEAD = 16 << 20, 40, 32
+#: Suffixes that hashes took for repetitions in error: so many are told to all tasks (some MB); if there are more, texts are joined with what is repeated.
+MOST_SINGLE = 1_000_000
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
@@ -306,8 +308,9 @@ def merged(runs: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[bytes
         top = now
 
 
-def _identity(text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(text)
+def _identity(key: int, text: bytes) -> bytes:
+    """Two independent 64-bit hashes of a suffix, of which ``key`` is the first."""
+    return key.to_bytes(8, "little") + xxhash.xxh3_64_digest(text)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, most_single: int = MOST_SINGLE) -> DataFrame:
@@ -368,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     single = sorted_.where("NOT repeated")
     if single.count() <= most_single:
         # Few that only hashes took for repetitions: all tasks know them, and no text moves.
-        known = Singles(ship(single.select("text").coalesce(1), "single"))
+        known = Singles(ship(single.select("name", "key").coalesce(1), "single"))
 
         def finish_alone(batches: Iterator[pa.RecordBatch], f: Filters = _copy(filters)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -392,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
             for numbers, c in chunks(texts, length):
-                text, start, size, _ = c.units(f)
+                text, start, size, keys = c.units(f)
                 if not len(text):
                     continue
                 raw = c.data.tobytes()
@@ -402,8 +405,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     t = int(text[order[a]])
                     at, names = int(numbers[t]), {}
-                    for i, s in zip(start[order[a:b]].tolist(), size[order[a:b]].tolist(), strict=True):
-                        names.setdefault(_identity(raw[i : i + s]), (s, []))[1].append(i + int(c.offset[t]))
+                    for i, s, key in zip(*(x[order[a:b]].tolist() for x in (start, size, keys)), strict=True):
+                        names.setdefault(_identity(key, raw[i : i + s]), (s, []))[1].append(i + int(c.offset[t]))
                     mark = _mark(texts[at])
                     out += [(ids[at], mark, name, s, starts) for name, (s, starts) in names.items()]
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
@@ -461,24 +464,24 @@ def _finished(ids: pa.Array, rows: list[tuple], rest: list[pa.Array]) -> pa.Reco
 
 
 class Singles:
-    """Sorted suffixes that turned out to stand alone: by hash, then byte for byte."""
+    """Sorted suffixes that turned out to stand alone: by one hash, then by both."""
 
     def __init__(self, files: tuple[str, ...]):
         self.files = files
 
     def repeated(self, chunk: Chunk, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        hashes, texts = _singles(self.files, chunk.length)
+        hashes, names = _singles(self.files)
         out = np.ones(len(keys), bool)
         for i in np.flatnonzero(np.isin(keys, hashes)).tolist():
-            out[i] = chunk.data[start[i] : start[i] + size[i]].tobytes() not in texts
+            out[i] = _identity(int(keys[i]), chunk.data[start[i] : start[i] + size[i]].tobytes()) not in names
         return out
 
 
 @lru_cache(maxsize=1)
-def _singles(files: tuple[str, ...], length: int) -> tuple[np.ndarray, frozenset]:
-    texts = [bytes(t) for name in files for t in pq.read_table(SparkFiles.get(name)).column("text").to_pylist()]
-    hashes = [c.hash(np.zeros(1, np.int64), len(t)) for t in texts for c in (Chunk(np.frombuffer(t, np.uint8), *[np.empty(0, np.int64)] * 5, length),)]
-    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), frozenset(texts)
+def _singles(files: tuple[str, ...]) -> tuple[np.ndarray, frozenset]:
+    rows = [pq.read_table(SparkFiles.get(name)) for name in files]
+    keys = np.concatenate([t.column("key").to_numpy().view(np.uint64) for t in rows])
+    return keys, frozenset(x for t in rows for x in t.column("name").to_pylist())
 
 
 def _mark(text: bytes) -> int:
@@ -494,7 +497,7 @@ def _copy(filters: Filters) -> Filters:
 
 
 def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFrame:
-    """``name, repeated, text``: identities of the sorted suffixes that occur at two starts or more, and those (with their text) that do not."""
+    """``name, key, repeated``: both hashes of the sorted suffixes, the first of them, and whether they occur at two starts or more."""
     ranges = partitions(rows.sparkSession)
     f = _copy(filters)
 
@@ -506,13 +509,13 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
                 _, start, sizes, keys = c.units(f)
                 _, first, times = np.unique(keys, return_index=True, return_counts=True)
                 raw = c.data.tobytes()
-                for a, s, n in zip(start[first].tolist(), sizes[first].tolist(), times.tolist(), strict=True):
-                    text = raw[a : a + s]
+                for a, s, n, key in zip(start[first].tolist(), sizes[first].tolist(), times.tolist(), keys[first].tolist(), strict=True):
+                    text = raw[a : a + HEAD] + _identity(key, raw[a : a + s])
                     if text in run:
                         run[text] += n
                     else:
                         run[text] = n
-                        size += s
+                        size += len(text)
                 if size > RUN:
                     yield run
                     run, size = {}, 0
@@ -525,7 +528,7 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
             for _, c in chunks(_texts(batch, 1), length):
                 raw, tags = c.data.tobytes(), c.hash(c.first, 32)
                 near = np.argsort(tags)[: 4 * SAMPLES]
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + 48] for a in c.first[near].tolist()], pa.binary()), pa.array(tags[near].view(np.int64))], ["s", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + HEAD] for a in c.first[near].tolist()], pa.binary()), pa.array(tags[near].view(np.int64))], ["s", "tag"])
 
     spread = max(1, blocks // (4 * SAMPLES * ranges))
     taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) == 0).mapInArrow(some, "s binary, tag long").orderBy("tag").limit(SAMPLES * ranges).collect()
@@ -542,15 +545,16 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            names, texts, before, total = [], [], None, 0
+            names, keys, often, before, total = [], [], [], None, 0
 
             def close() -> None:
                 if before is not None:
-                    names.append(_identity(before))
-                    texts.append(None if total > 1 else before)
+                    names.append(before[HEAD:])
+                    keys.append(int.from_bytes(before[HEAD : HEAD + 8], "little", signed=True))
+                    often.append(total > 1)
 
             def batch() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([t is None for t in texts]), pa.array(texts, pa.binary())], ["name", "repeated", "text"])
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(often, pa.bool_())], ["name", "key", "repeated"])
 
             for text, shared, count in merged([decoded(b) for b in blobs]):
                 if before is not None and shared == len(text) == len(before):
@@ -560,7 +564,7 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
                     before, total = text, count
                     if len(names) == 20_000:
                         yield batch()
-                        names, texts = [], []
+                        names, keys, often = [], [], []
             close()
             yield batch()
 
@@ -576,4 +580,4 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
             yield from judged(held)
 
     dealt = rows.mapInArrow(runs, "range int, run binary").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(merge, "name binary, repeated boolean, text binary")
+    return dealt.mapInArrow(merge, "name binary, key long, repeated boolean")
