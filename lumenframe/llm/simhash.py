@@ -63,16 +63,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(nodes: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of ``nodes`` (distinct, uint64), linked at ``bits`` or fewer differing bits."""
+Rules = tuple[tuple[tuple[int, ...], int], ...]  # columns, and how many bits may differ in them together
+
+
+def _near(a: list[np.ndarray], b: list[np.ndarray], rules: Rules) -> np.ndarray:
+    ok: np.ndarray | bool = True
+    for columns, limit in rules:
+        ok = ok & (sum(np.bitwise_count(a[c] ^ b[c]).astype(np.int16) for c in columns) <= limit)
+    return ok
+
+
+def _forest(marks: list[np.ndarray], rules: Rules) -> list[tuple[int, int]]:
+    """Links (by row) of a spanning forest of rows that are linked by ``rules``."""
     links: list[tuple[int, int]] = []
-    rest = nodes
+    rest = np.arange(len(marks[0]))
+    at = lambda rows, shape: [m[rows].reshape(shape) for m in marks]
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            step = max(1, (1 << 22) // len(rest))
+            step = max(1, (1 << 21) // len(rest))
             some, front = front[:step], front[step:]
-            near = np.bitwise_count(some[:, None] ^ rest[None, :]) <= bits
+            near = _near(at(some, (-1, 1)), at(rest, (1, -1)), rules)
             hit = near.any(0)
             if hit.any():
                 found = rest[hit]
@@ -81,8 +92,8 @@ def _forest(nodes: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links within runs of equal ``keys`` (sorted)."""
+def _bucket_links(keys: np.ndarray, marks: list[np.ndarray], rules: Rules) -> np.ndarray:
+    """Links (by row) within runs of equal ``keys`` (sorted), none that follows from others of the call."""
     links: list[tuple[int, int]] = []
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(edge)
@@ -92,16 +103,15 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[in
             break
         count, first = sizes[live] - d, edge[:-1][live]
         at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        a, b = fps[at], fps[at + d]
-        x = a ^ b
-        ok = (np.bitwise_count(x) <= bits) & (x != 0)
-        links += zip(a[ok].tolist(), b[ok].tolist(), strict=True)
+        at = at[_near([m[at] for m in marks], [m[at + d] for m in marks], rules)]
+        links += zip(at.tolist(), (at + d).tolist(), strict=True)
     for i in np.flatnonzero(sizes > SMALL):
-        links += _forest(np.unique(fps[edge[i] : edge[i + 1]]), bits)
-    return _spanning(links)
+        first = edge[i]
+        links += ((a + first, b + first) for a, b in _forest([m[first : edge[i + 1]] for m in marks], rules))
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
-def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _spanning(links: list[list[int]]) -> list[tuple[int, int]]:
     """The links that join something not yet joined."""
     up: dict[int, int] = {}
 
@@ -123,35 +133,46 @@ def link_fingerprints(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``fps(fp)``, distinct, to ``(u, v)``: links whose closure is that of all pairs at ``bits`` or fewer differing bits."""
     if bits > MAX_BITS:
         raise ValueError(f"the balls cover {MAX_BITS} differing bits")
+    return _linked(fps.select(F.col("fp").alias("node"), F.col("fp").alias("m0")), RADII, (((0,), bits),))
+
+
+def _linked(marks: DataFrame, radii: tuple[int, ...], rules: Rules) -> DataFrame:
+    """Links of ``marks(node, m0, ...)``; ``m0`` is what balls of ``radii`` are enumerated of.
+
+    With radius 1, the end that has the 0 bit enumerates; with 2, both ends flip one bit and meet.
+    """
     rows, shift = [], 0
-    for seg, (width, radius) in enumerate(zip(WIDTHS, RADII, strict=True)):
-        key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    for seg, (width, radius) in enumerate(zip(WIDTHS, radii, strict=True)):
+        key = F.shiftrightunsigned("m0", shift).bitwiseAND(F.lit((1 << width) - 1))
         tagged = key + F.lit(seg << 22)
         rows.append(F.array(tagged))
-        if radius:
-            flips = [F.when(key.bitwiseAND(F.lit(1 << b)) == 0, tagged + F.lit(1 << b)) for b in range(width)]
-            rows.append(F.array_compact(F.array(*flips)))
+        bit = lambda b, key=key: key.bitwiseAND(F.lit(1 << b))
+        if radius == 1:
+            rows.append(F.array_compact(F.array(*[F.when(bit(b) == 0, tagged + F.lit(1 << b)) for b in range(width)])))
+        elif radius == 2:
+            rows.append(F.array(*[F.when(bit(b) == 0, tagged + F.lit(1 << b)).otherwise(tagged - F.lit(1 << b)) for b in range(width)]))
         shift += width
-    probes = fps.select(F.explode(F.concat(*rows).cast("array<int>")).alias("bucket"), "fp")
-    spread = probes.repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket")
+    names = [c for c in marks.columns if c != "node"]
+    probes = marks.select(F.explode(F.concat(*rows).cast("array<int>")).alias("bucket"), *marks.columns)
+    spread = probes.repartition(partitions(marks.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int32), np.empty(0, np.uint64)
+        held: list[np.ndarray] = [np.empty(0, np.int32), *[np.empty(0, np.int64) for _ in range(1 + len(names))]]
 
-        def out(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(keys) > 1 and (links := _bucket_links(keys, values, bits)):
-                ends = np.array(links, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys, nodes, *rest = columns
+            if len(keys) > 1 and len(links := _bucket_links(keys, [m.view(np.uint64) for m in rest], rules)):
+                ends = _spanning([x for x in nodes[links].tolist() if x[0] != x[1]])
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in ends], pa.int64()), pa.array([v for _, v in ends], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            held_k = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            held_f = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if len(held_k) < 1 << 17:
+            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]) < 1 << 17:
                 continue
-            whole = int(np.searchsorted(held_k, held_k[-1]))  # the last bucket may go on
-            yield from out(held_k[:whole], held_f[:whole])
-            held_k, held_f = held_k[whole:], held_f[whole:]
-        yield from out(held_k, held_f)
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+            yield from out([h[:whole] for h in held])
+            held = [h[whole:] for h in held]
+        yield from out(held)
 
     return spread.mapInArrow(run, "u long, v long")
 
@@ -175,9 +196,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, whole, without those whose component has a smaller id; a repeated id keeps one row, rows without an id stay."""
-    grouped = near_duplicates(docs, id_col, text_col, k, bits)
+#: Similarity of word shingles: a fingerprint of distinct word pairs finds candidates within 8 bits; two of distinct
+#: five-word shingles, with seeds of their own, differ in at most 24 of 128 bits at a similarity of about 0.8 or more.
+PAIR_BITS, SHINGLE_BITS, SHINGLE_SEEDS = 8, 24, (42, 43)
+
+
+def set_fingerprint(words: list[bytes], k: int, seed: int) -> int:
+    """Unsigned SimHash of the distinct word ``k``-shingles; 0 without words."""
+    if not words:
+        return 0
+    distinct = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in distinct), np.uint64, len(distinct))
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """``doc_id, component_id`` of documents whose word ``k``-shingles have a similarity of about 0.8 or more.
+
+    The similarity is that which fingerprints tell; components and odd rows are as in ``near_duplicates``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(x or b"").lower().split() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [np.fromiter((set_fingerprint(w, n, seed) for w in words), np.uint64, len(words)).view(np.int64) for n, seed in ((2, SHINGLE_SEEDS[0]), *((k, seed) for seed in SHINGLE_SEEDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "m0", "m1", "m2"])
+
+    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, m0 long, m1 long, m2 long")
+    marked = cut(marks.withColumn("node", F.xxhash64("m0", "m1", "m2")))
+    folded = marked.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(m).alias(m) for m in ("m0", "m1", "m2")])
+    links = _linked(folded.select("node", "m0", "m1", "m2"), (2, 2, 2), (((0,), PAIR_BITS), ((1, 2), SHINGLE_BITS)))
+    labels = connected_components(links)
+    placed = folded.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
+    return marked.join(placed.join(lowest, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """The rows of ``docs``, whole, without those whose component of ``near_copies`` has a smaller id; a repeated id keeps one row, rows without an id stay."""
+    grouped = near_copies(docs, id_col, text_col, k)
     judged = cut(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("n")))
     gone = judged.where("low < doc_id").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

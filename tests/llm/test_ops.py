@@ -429,3 +429,21 @@ def test_context_helps(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     total = ngramlm.train_and_score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > total[1]
+
+
+def test_near_copies(spark):
+    rng = random.Random(9)
+    words = ["w" + str(rng.randrange(9000)) for _ in range(9000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(150, 500))] for _ in range(60)]
+    rows = list(base)
+    for t in base[:40]:  # 1.5 % of the words: a similarity of about 0.86
+        t = list(t)
+        for at in rng.sample(range(len(t)), max(1, len(t) * 15 // 1000)):
+            t[at] = "new" + str(rng.randrange(10**6))
+        rows.append(t)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in rows]
+    close = [60 + i for i in range(40) if len(sets[i] & sets[60 + i]) >= 0.8 * len(sets[i] | sets[60 + i])]
+    assert len(close) >= 30 and sum(got[j] == j - 60 for j in close) >= 0.9 * len(close)
+    assert all(got[i] == i for i in range(60))
