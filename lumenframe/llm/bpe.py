@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units that a worker remembers, and the length in characters up to which it does.
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 1_000_000, 48
 #: The pattern of the byte-level pre-tokenizer (fixed by the tokenizer's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of up to so many bytes are worked on together.
@@ -138,7 +138,7 @@ class ByteBpe:
         known, new = self._counts, set()
         for text in texts:
             new.update(u for u in self._cut(text)[1:] if u not in known)
-            if len(new) > REMEMBERED // 4:
+            if len(new) > REMEMBERED // 10:
                 self.learn(list(new))
                 new = set()
         self.learn(list(new))
@@ -153,7 +153,7 @@ class ByteBpe:
             known.clear()
             new = {u for u in units if len(u) <= SHORT}
         split = {u: self._pattern.findall(" " + u) for u in new}
-        if len(self._pieces) > REMEMBERED:
+        if len(self._pieces) > REMEMBERED // 4:
             self._pieces.clear()
         pieces = self._pieces
         raws = {r for ps in split.values() for p in ps if (r := p.encode()) not in pieces and 1 < len(r) <= 4 * SHORT}
