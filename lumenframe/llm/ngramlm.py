@@ -10,7 +10,6 @@ once by every executor and memory-mapped there by its workers.
 from __future__ import annotations
 
 import fcntl
-import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,11 +29,10 @@ from .eliasfano import EliasFano
 #: Stands for the end of a text; no word holds a line break.
 END = b"\n"
 ADD = 0.1
-ORDER = 2
-#: n-grams of words that occur less often, after contexts that do, or that do themselves, are left to the lower level.
+ORDER = 3
+#: n-grams of words that occur less often, after contexts that do, or that do themselves, are left to the lower level,
+#: however large the input is; what an n-gram that occurs twice is made of does so too, so that only n-grams seen once are left out.
 MIN_WORD, MIN_CONTEXT, MIN_NGRAM = 2, 2, 2
-#: The same for words and contexts as a share of all tokens, so that the share of tokens that higher levels cover does not drift with the input.
-MIN_SHARE = 2e-7
 DISCOUNT = 0.6
 #: Entries of a shard; bytes of text that are worked on together; bytes of a model that an executor maps at most.
 SHARD, TOGETHER, MOST_BYTES = 2_000_000, 2 << 20, 200 << 30
@@ -234,7 +232,7 @@ def _build(counted: DataFrame, size: int, context_counts: bool, radix: int) -> L
     return Level(ship_written(blobs), size)
 
 
-def train_and_score(docs: DataFrame, order: int = ORDER, min_word: int = MIN_WORD, min_context: int = MIN_CONTEXT, min_ngram: int = MIN_NGRAM, min_share: float = MIN_SHARE, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = ORDER, min_word: int = MIN_WORD, min_context: int = MIN_CONTEXT, min_ngram: int = MIN_NGRAM, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not 0 (and from those with a null
@@ -256,7 +254,6 @@ def train_and_score(docs: DataFrame, order: int = ORDER, min_word: int = MIN_WOR
     end = xxhash.xxh64_intdigest(END)
     texts = words.where(F.col("k") == (end - (1 << 64) if end >> 63 else end)).agg(F.sum("c")).first()[0] or 0
     v, n = told.v, told.n
-    min_word, min_context = (max(x, math.ceil(min_share * n)) for x in (min_word, min_context))
     levels = [_build(words.withColumn("t", F.lit(0).cast("long")), v, False, 1)] if v else [Level((), 0)]
     for _ in range(2, order + 1) if v else ():
         before = list(levels)

@@ -431,6 +431,39 @@ def test_context_helps(spark):
     assert total[0] > total[1]
 
 
+def test_three_levels(spark):
+    rows = list(enumerate(["a b c", "d b e", "a b c f", "b a"] * 20))
+    train = [[None, *t.split(), "\n"] for i, t in rows if not held_out(i, 10)]
+    grams = {k: Counter(tuple(s[j - k + 1 : j + 1]) for s in train for j in range(max(1, k - 1), len(s))) for k in (1, 2, 3)}
+    n, v = sum(grams[1].values()), len(grams[1])
+    grams[1][(None,)] = len(train)
+    share = {k: {g: (m - 0.6) / grams[k - 1][g[:-1]] for g, m in grams[k].items() if m >= 2} for k in (2, 3)}
+
+    def score(s):
+        out = 0.0
+        for j in range(1, len(s)):
+            p = (grams[1][(s[j],)] + 0.1) / (n + 0.1 * (v + 1))
+            for k in (2, 3):
+                if j >= k - 1 and grams[k - 1][tuple(s[j - k + 1 : j])] >= 2:
+                    context = tuple(s[j - k + 1 : j])
+                    p = share[k].get((*context, s[j]), 0) + max(1e-9, 1 - sum(x for g, x in share[k].items() if g[:-1] == context)) * p
+            out += math.log10(p)
+        return out
+
+    for r in ngramlm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(score([None, *dict(rows)[r.doc_id].split(), "\n"]), abs=0.01)
+
+
+def test_thresholds_do_not_grow_with_the_input(spark):
+    held = next(i for i in range(100) if held_out(i, 10))
+    ids = [i for i in range(100) if not held_out(i, 10)]
+    rows = [(held, "x y"), *((i, "x y") for i in ids[:3])]
+    more = spark.createDataFrame([(i,) for i in ids[3:19]], "doc_id long").select("doc_id", F.repeat(F.lit("a "), 1_000_000).alias("text"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(more)
+    got = ngramlm.train_and_score(docs).where(F.col("doc_id") == held).first()
+    assert got.train_tokens > 16_000_000 and got.score > got.base_score + 10  # each word occurs three times
+
+
 def test_near_copies(spark):
     rng = random.Random(9)
     words = ["w" + str(rng.randrange(9000)) for _ in range(9000)]
