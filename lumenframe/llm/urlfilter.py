@@ -89,8 +89,9 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: fl
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``pages``.
 
     The longest rule that fits decides. Otherwise the page's host is blocked if its distrust is
-    more than ``threshold`` above its trust, and gets ``default`` if not; a host that no link
-    reaches has neither. A null url, or one without ``://``, has an empty host and path and gets
+    more than ``threshold`` above its trust, and gets ``default`` if not. A host whose ruled pages
+    are mostly allowed (blocked) has trust (distrust) of its own, with links or without; any other
+    host that no link reaches has neither. A null url, or one without ``://``, has an empty host and path and gets
     ``default``. A null html has no links. Repeated rows each keep their row.
     """
     host, path = host_and_path(F.col(url_col))
@@ -98,8 +99,6 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: fl
     rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
     edges = cut(host_edges(parsed))
-    if edges.isEmpty():
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     votes = judged.where("ruled IS NOT NULL AND host <> ''").groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(-1)).alias("n"))
     votes = cut(votes)
     trust = propagate(edges, votes.where("n > 0"), rounds)

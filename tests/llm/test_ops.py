@@ -265,6 +265,18 @@ def test_link_graph(spark):
     assert mass == pytest.approx(want)
 
 
+def test_an_unrelated_link_changes_no_verdict(spark):
+    pages = [(1, "http://bad.com/de/", ""), (2, "http://bad.com/en/", None), (3, "http://good.org/", ""), (4, "http://good.com/fr/", ""), (5, "http://good.com/en/", ""), (6, "http://alone.net/", "")]
+    link = [(7, "http://one.net/", '<a href="http://two.net/">')]
+    said = []
+    for rows in (pages, pages + link):
+        got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 7")
+        said.append({r.page_id: (r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in got.collect()})
+    assert said[0] == said[1]
+    assert {i: v[0] for i, v in said[0].items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+    assert said[0][2] == ("block", 0.0, 0.15) and said[0][5] == ("allow", 0.075, 0.0) and said[0][6] == ("allow", 0.0, 0.0)
+
+
 # ---- 5 search
 
 
