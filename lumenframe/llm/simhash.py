@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, written
 from .components import connected_components
 
 SEED = 42
@@ -196,43 +196,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Similarity of word shingles: a fingerprint of distinct word pairs finds candidates within 8 bits; two of distinct
-#: five-word shingles, with seeds of their own, differ in at most 24 of 128 bits at a similarity of about 0.8 or more.
-PAIR_BITS, SHINGLE_BITS, SHINGLE_SEEDS = 8, 24, (42, 43)
+#: Jaccard similarity of distinct word shingles, as a fraction, that makes two documents near copies.
+NEAR = (4, 5)
+#: Bands of as many minima of the shingles' hashes: two sets at a similarity of 0.8 share a band with probability 0.998, whatever was edited.
+BANDS, BAND_ROWS = 16, 5
 
 
-def set_fingerprint(words: list[bytes], k: int, seed: int) -> int:
-    """Unsigned SimHash of the distinct word ``k``-shingles; 0 without words."""
+def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word ``k``-shingles (of all words if they are fewer); empty without words."""
+    words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     distinct = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in distinct), np.uint64, len(distinct))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in distinct), np.uint64, len(distinct)))
+
+
+_DRAWN = np.random.default_rng(SEED).integers(0, (1 << 64) - 1, (3, BANDS * BAND_ROWS, 1), np.uint64, endpoint=True)
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the minima of each band, for hashes of one set."""
+    turn, odd, mix = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2, :, 0] | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096] ^ turn) * odd).min(1))
+    return ((least ^ least >> np.uint64(31)) * mix).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
+
+
+def _near_links(sets: list[np.ndarray], bands: np.ndarray) -> list[tuple[int, int]]:
+    """Links (by row) of a spanning forest of rows that share a band and are near copies."""
+    links: list[tuple[int, int]] = []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bucket_of = [np.unique(b, return_inverse=True)[1] for b in bands]
+    buckets = [np.split(np.argsort(b, kind="stable"), np.cumsum(np.bincount(b))[:-1]) for b in bucket_of]
+    fresh = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        front = [first] if fresh[first] else []
+        fresh[first] = False
+        while front:
+            x = front.pop()
+            met = []
+            for of, rows_of in zip(bucket_of, buckets, strict=True):
+                if len(rows := rows_of[of[x]]):
+                    rows_of[of[x]] = rows = rows[fresh[rows]]  # what is linked already is not met again
+                    met.append(rows)
+            if not met:
+                continue
+            rows = np.unique(np.concatenate(met))
+            low, high = np.minimum(sizes[rows], sizes[x]), np.maximum(sizes[rows], sizes[x])
+            rows = rows[low * NEAR[1] >= high * NEAR[0]]
+            step = max(1, (1 << 20) // max(1, 2 * int(sizes[x])))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                every = np.concatenate([sets[y] for y in some])
+                place = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
+                begin = np.cumsum(sizes[some]) - sizes[some]
+                both = np.add.reduceat((sets[x][place] == every).astype(np.int64), begin)
+                found = some[both * NEAR[1] >= (sizes[some] + sizes[x] - both) * NEAR[0]]
+                fresh[found] = False
+                links += ((x, y) for y in found.tolist())
+                front += found.tolist()
+    return links
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """``doc_id, component_id`` of documents whose word ``k``-shingles have a similarity of about 0.8 or more.
+    """``doc_id, component_id`` of documents whose distinct word ``k``-shingles have a Jaccard similarity of 0.8 or more.
 
-    The similarity is that which fingerprints tell; components and odd rows are as in ``near_duplicates``.
+    Candidates share a band of minima; whatever is joined by candidates meets in one task, where
+    similarities are counted from 64-bit hashes of the shingles. Components and odd rows are as in
+    ``near_duplicates``; documents with equal shingles are folded first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(x or b"").lower().split() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            columns = [np.fromiter((set_fingerprint(w, n, seed) for w in words), np.uint64, len(words)).view(np.int64) for n, seed in ((2, SHINGLE_SEEDS[0]), *((k, seed) for seed in SHINGLE_SEEDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "m0", "m1", "m2"])
-
-    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, m0 long, m1 long, m2 long")
-    marked = cut(marks.withColumn("node", F.xxhash64("m0", "m1", "m2")))
-    folded = marked.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(m).alias(m) for m in ("m0", "m1", "m2")])
-    links = _linked(folded.select("node", "m0", "m1", "m2"), (2, 2, 2), (((0,), PAIR_BITS), ((1, 2), SHINGLE_BITS)))
-    labels = connected_components(links)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_hashes(x, k) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                bands = [_bands(x).view(np.int64).tolist() if len(x) else [] for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "node", "bands", "hashes"])
+
+    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>, hashes binary")
+    marked = written(marks, "shingles")
+    folded = cut(marked.groupBy("node").agg(F.min("doc_id").alias("low")))
+    probes = marked.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct()
+    hub = F.min("node").over(Window.partitionBy("bucket"))
+    groups = cut(connected_components(probes.select(F.col("node").alias("u"), hub.alias("v")).where("u <> v").distinct()))
+    asked = marked.join(groups, "node").select(F.col("label").alias("group"), "node", "bands", "hashes")
+    spread = asked.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, bands, sets = None, [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                ends = _near_links(sets, np.array(bands, np.int64).T.copy())
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[u] for u, _ in ends], pa.int64()), pa.array([nodes[v] for _, v in ends], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for g, node, band, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    yield from out()
+                    group, nodes, bands, sets = g, [], [], []
+                if not nodes or nodes[-1] != node:  # documents with equal shingles follow each other
+                    nodes.append(node)
+                    bands.append(band)
+                    sets.append(np.frombuffer(hashes, np.uint64))
+        yield from out()
+
+    labels = connected_components(cut(spread.mapInArrow(verify, "u long, v long")))
     placed = folded.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
-    return marked.join(placed.join(lowest, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(placed.join(lowest, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:

@@ -492,3 +492,28 @@ def test_near_copies(spark):
     close = [60 + i for i in range(40) if len(sets[i] & sets[60 + i]) >= 0.8 * len(sets[i] | sets[60 + i])]
     assert len(close) >= 30 and sum(got[j] == j - 60 for j in close) >= 0.9 * len(close)
     assert all(got[i] == i for i in range(60))
+
+
+def test_near_copies_by_kind_of_edit(spark):
+    rng = random.Random(12)
+    words = ["w" + str(rng.randrange(9000)) for _ in range(9000)]
+    fresh = lambda n: ["new" + str(rng.randrange(10**6)) for _ in range(n)]
+    base = [[rng.choice(words) for _ in range(250)] for _ in range(100)]
+    kinds = {
+        "appended": lambda t: t + fresh(58),
+        "prefixed": lambda t: fresh(58) + t,
+        "truncated": lambda t: t[:202],
+        "block": lambda t: t[:100] + fresh(20) + t[120:],
+        "words": lambda t: [w if i % 55 else "new" for i, w in enumerate(t)],
+        "other": lambda t: t[:190],  # a similarity below 0.8
+    }
+    rows = {(i, kind): f(t) for kind, f in [("base", list), *kinds.items()] for i, t in enumerate(base)}
+    sets = {key: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for key, t in rows.items()}
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for kind in kinds:
+        ids = {key: n for n, key in enumerate(k for k in rows if k[1] in ("base", kind))}
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame([(n, " ".join(rows[key])) for key, n in ids.items()], "doc_id long, text string")).collect()}
+        pairs = [i for i in range(100) if close((i, "base"), (i, kind))]
+        found = [i for i in range(100) if got[ids[i, kind]] == ids[i, "base"]]
+        assert set(found) <= set(pairs), kind
+        assert len(pairs) == (0 if kind == "other" else 100) and len(found) >= 0.97 * len(pairs), kind
