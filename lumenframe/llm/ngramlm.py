@@ -2,7 +2,7 @@
 
 Level 1 holds every word of the training texts with its exact count, higher levels the n-grams
 that occur often enough, as context-relative values (context's place times the vocabulary, plus
-the word), which rise, so that a successor search within the context finds a child. Levels are
+the word), which rise, so that a successor search over a shard's keys finds a child. Levels are
 counted with map-side sums, cut by key ranges into shards, written to the shared folder, fetched
 once by every executor and memory-mapped there by its workers.
 """
