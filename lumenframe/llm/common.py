@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -19,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     folder = configured or tempfile.mkdtemp(prefix="lumenframe-")
     spark.sparkContext.setCheckpointDir(folder)
     return configured or spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -55,6 +63,21 @@ def ship_written(df: DataFrame) -> tuple[str, ...]:
     return tuple(f.rpartition("/")[2] for f in files)
 
 
+def freed(run: Run) -> Run:
+    """``run`` for a worker that gives its free memory back to the system at the task's end, as workers outlive tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session is set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,10 +6,12 @@ import numpy as np
 
 _U = np.uint64
 BLOCK = 512
+#: Sequences of up to so many entries for each value that is asked for are unpacked as a whole; longer ones are searched by buckets.
+DENSE = 32
 
 
 class EliasFano:
-    """A strictly rising sequence of unsigned 64-bit values.
+    """A sequence of unsigned 64-bit values that never fall.
 
     Layout, in 8-byte words: n, base, low width, buckets, words of highs, blocks, words of lows;
     then the unary high bits, the zeros before each block of 512 of them, and the packed low bits.
@@ -71,6 +73,40 @@ class EliasFano:
             at = np.where(beyond, at + width, at)
         return word * 64 + at
 
+    def _select1(self, k: np.ndarray) -> np.ndarray:
+        """Place of the kth one, from 0."""
+        ahead = np.arange(len(self.zeros)) * BLOCK - self.zeros.astype(np.int64)
+        block = np.searchsorted(ahead, k, side="right") - 1
+        left = k - ahead[block]
+        word = block * (BLOCK // 64)
+        for _ in range(BLOCK // 64 - 1):
+            here = np.bitwise_count(self.highs[word]).astype(np.int64)
+            beyond = left >= here
+            if not beyond.any():
+                break
+            left = np.where(beyond, left - here, left)
+            word = np.where(beyond, word + 1, word)
+        value = self.highs[word]
+        at = np.zeros(len(k), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            here = np.bitwise_count((value >> at.astype(_U)) & _U((1 << width) - 1)).astype(np.int64)
+            beyond = left >= here
+            left = np.where(beyond, left - here, left)
+            at = np.where(beyond, at + width, at)
+        return word * 64 + at
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The entries at places ``i``."""
+        if len(i) * DENSE >= self.n:
+            return self.all()[i]
+        return (((self._select1(i) - i).astype(_U) << _U(self.width)) | self._low(i)) + _U(self.base)
+
+    def all(self) -> np.ndarray:
+        """Every entry."""
+        ones = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n)
+        return (((ones - i).astype(_U) << _U(self.width)) | self._low(i)) + _U(self.base)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.width
         return (self.windows[bit >> 3] >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)
@@ -80,6 +116,10 @@ class EliasFano:
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
+        if len(values) * DENSE >= self.n:
+            entries = self.all()
+            at = np.minimum(np.searchsorted(entries, values), self.n - 1)
+            return np.where(entries[at] == values, at, out)
         x = values - _U(self.base)
         high = x >> _U(self.width)
         live = np.flatnonzero((values >= _U(self.base)) & (high < _U(self.buckets)))

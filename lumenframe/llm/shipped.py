@@ -1,8 +1,10 @@
-"""Bounded bit filters that executors fetch from the shared folder."""
+"""What executors fetch from the shared folder and map into memory; bounded bit filters among it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import fcntl
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,11 +16,29 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Bits a key, bits of a filter at most (256 MB; beyond that it lets more pass, and nothing is lost), and its files.
-BITS_A_KEY, MOST_BITS, FILES = 16, 1 << 31, 4
+#: Bits a key, bits of a filter at most (4 GB on an executor's disk, mapped, for 2 billion keys; beyond that it lets more pass, and nothing is lost), and its files.
+BITS_A_KEY, MOST_BITS, FILES = 16, 1 << 35, 4
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+def laid_out(files: tuple[str, ...], lay: Callable[[str], None]) -> str:
+    """The folder where ``lay`` has put what is in fetched ``files``; the first worker of an executor does it, and drops the files.
+
+    A new executor fetches them from the shared folder again.
+    """
+    done = f"{SparkFiles.getRootDirectory()}/mapped-{files[0]}"
+    with open(f"{done}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(f"{done}/ready"):
+            os.makedirs(done, exist_ok=True)
+            lay(done)
+            with open(f"{done}/ready", "w"):
+                pass
+            for name in files:
+                os.remove(SparkFiles.get(name))
+    return done
+
+
 def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     shift = np.uint64(64 - bits.bit_length() + 1)
     return [((keys * odd) ^ (keys >> np.uint64(29)) * odd) >> shift for odd in _ODD]
@@ -42,11 +62,14 @@ class BitFilter:
 
 @lru_cache(maxsize=8)
 def _loaded(files: tuple[str, ...], bits: int) -> np.ndarray:
-    words = np.zeros(bits // 64, np.uint64)
-    for name in files:
-        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
-            words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    return words
+    def lay(folder: str) -> None:
+        words = np.memmap(f"{folder}/bits", "<u8", "w+", shape=(bits // 64,))
+        for name in files:
+            for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+                words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+        words.flush()
+
+    return np.memmap(f"{laid_out(files, lay)}/bits", "<u8", "r")
 
 
 def bit_filter(keys: DataFrame) -> BitFilter:
