@@ -42,8 +42,13 @@ def raw_words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words without stop-words and single characters; all of them where that leaves none."""
-    kept = F.filter(raw_words(text), lambda w: ~w.isin(*X.STOP_WORDS) & (F.length(w) > 1))
-    return F.when(F.size(kept) > 0, kept).otherwise(raw_words(text))
+    return tokens_of(raw_words(text))
+
+
+def tokens_of(words: Column) -> Column:
+    """The same of a text's ``raw_words``, where those are a column of their own: so they are found once a text."""
+    kept = F.filter(words, lambda w: ~w.isin(*X.STOP_WORDS) & (F.length(w) > 1))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
 def _repeated(items: Column, times: int) -> Column:

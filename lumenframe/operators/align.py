@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +29,8 @@ def align(scores: DataFrame, n_events: int) -> DataFrame:
     """``query_id, video_id, path, score`` of ``scores`` for queries that all have ``n_events`` events.
 
     The best increasing choice of frames with a gap of at least g = min(8, max(1, (T - N) / N));
-    on ties the earlier frame. One chain of running maxima a gap (1 to 8), so the gap is a constant
-    of its plan. With fewer frames than events: the frames, the last one repeated, and score 0.
+    on ties the earlier frame. One chain of running maxima; what lies a gap back is chosen among
+    the eight gaps. With fewer frames than events: the frames, the last one repeated, and score 0.
     """
     wide = _wide(scores, n_events)
     gap = F.least(F.lit(MOST_GAP), F.greatest(F.lit(1), F.floor((F.col("t") - n_events) / n_events))).cast("int")
@@ -40,19 +38,16 @@ def align(scores: DataFrame, n_events: int) -> DataFrame:
     over = Window.partitionBy("query_id", "video_id").orderBy("frame_idx")
     upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     key = lambda total, path: F.struct(F.round(total, 9).alias("o"), (-F.col("frame_idx")).alias("j"), total.alias("sc"), path.alias("path"))
-    parts = []
-    for g in range(1, MOST_GAP + 1):
-        state = long.where(F.col("g") == g).withColumn("d", F.max(key(F.col("s0"), F.array("frame_idx"))).over(upto))
-        for k in range(1, n_events):
-            state = state.withColumn("p", F.lag("d", g).over(over))
-            step = F.when(F.col("p").isNotNull(), key(F.col("p.sc") + F.col(f"s{k}"), F.concat("p.path", F.array("frame_idx"))))
-            state = state.withColumn("d", F.max(step).over(upto))
-        last = state.groupBy("query_id", "video_id").agg(F.max_by("d", "frame_idx").alias("d"))
-        parts.append(last.select("query_id", "video_id", F.col("d.path").alias("path"), F.col("d.sc").alias("score")))
+    state = long.withColumn("d", F.max(key(F.col("s0"), F.array("frame_idx"))).over(upto))
+    for k in range(1, n_events):
+        state = state.withColumn("p", F.coalesce(*[F.when(F.col("g") == g, F.lag("d", g).over(over)) for g in range(1, MOST_GAP + 1)]))
+        step = F.when(F.col("p").isNotNull(), key(F.col("p.sc") + F.col(f"s{k}"), F.concat("p.path", F.array("frame_idx"))))
+        state = state.withColumn("d", F.max(step).over(upto))
+    last = state.groupBy("query_id", "video_id").agg(F.max_by("d", "frame_idx").alias("d"))
+    found = last.select("query_id", "video_id", F.col("d.path").alias("path"), F.col("d.sc").alias("score"))
     few = wide.where(F.col("t") < n_events).groupBy("query_id", "video_id").agg(F.max("t").alias("t"))
     path = F.transform(F.sequence(F.lit(0), F.lit(n_events - 1)), lambda i: F.least(i, F.col("t") - 1))
-    parts.append(few.select("query_id", "video_id", path.alias("path"), F.lit(0.0).alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+    return found.unionByName(few.select("query_id", "video_id", path.alias("path"), F.lit(0.0).alias("score")))
 
 
 def aligned_predictions(candidates: DataFrame, scores: DataFrame, n_events: int, frame_map: DataFrame, budget: int = 100) -> DataFrame:

@@ -11,11 +11,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Prompts that are held in a plan at most; more of them are scanned in several passes.
 PROMPTS_A_PASS = 4096
+#: Scores that a task makes at once.
+MOST_SCORES = 1 << 20
 #: Smoothing weights, share of the smoothed score, width of the Gaussian.
 KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
 SMOOTH_SHARE = 0.6
@@ -77,9 +80,9 @@ def _scan(frames: DataFrame, block: list) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(names)
-        for batch in batches:
+        for batch in (b.slice(at, rows) for b in batches for rows in (max(1, MOST_SCORES // m),) for at in range(0, b.num_rows, rows)):
             vectors = batch.column(2)
-            fits = np.array([v is not None and len(v) == matrix.shape[1] for v in vectors.to_pylist()], bool)
+            fits = pc.equal(pc.list_value_length(vectors), matrix.shape[1]).fill_null(False).to_numpy(zero_copy_only=False)
             x = np.zeros((batch.num_rows, matrix.shape[1]))
             if fits.any():
                 x[fits] = np.array(vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False), float).reshape(int(fits.sum()), -1)

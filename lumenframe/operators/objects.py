@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
 from ..functions.text import contains_any, word_in
+from ..sources.staging import staged
 
 BOOSTED, FRAMES = 30, 12
 #: No weight reaches it, so the bonus for a matched subject is never paid; kept as the rule is stated.
@@ -61,10 +62,11 @@ def boost(candidates: DataFrame, frame_scores: DataFrame, detections: DataFrame,
     first 30 candidates with frames and detections, and their 12 best frames, are looked at.
     """
     keys = ["query_id", "video_id"]
+    candidates = staged(candidates, "candidates")
     head = candidates.where(F.col("rank") <= BOOSTED).select(*keys, "rrf_score")
     seen = detections.select("video_id").distinct()
     wants = targets.groupBy("query_id").agg(F.max((saliency(F.col("entity")) >= 3.0).cast("int")).alias("wants_subject"))
-    frames = frame_scores.join(head, keys).join(seen, "video_id", "left_semi").join(wants, "query_id")
+    frames = staged(frame_scores.join(head, keys).join(seen, "video_id", "left_semi").join(wants, "query_id"), "frames")
     best_first = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.desc("frame_idx"))
     top = frames.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= FRAMES).select(*keys, "frame_idx")
     objects = detections.select("video_id", "frame_idx", F.lower("entity").alias("entity"), F.col("score").alias("confidence"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import boosted_tokens, tokens
+from ..functions.text import boosted_tokens, raw_words, tokens_of
+from ..sources.staging import staged
 from .dense import ranked
 
 #: Saturation, length share, and what replaces negative weights.
@@ -17,9 +18,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(media: DataFrame) -> DataFrame:
-    """``video_id, token, tf, dl`` of ``media(video_id, text)``; a text's length stays with its rows, which spares a join."""
-    words = media.select("video_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    return words.select("video_id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("video_id", "token").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl"))
+    """``video_id, token, tf, dl`` of ``media(video_id, text)``; a text's length stays with its rows, which spares a join.
+
+    Written once, as all statistics and the search read it: every text is parted into words in one scan.
+    """
+    words = media.select("video_id", raw_words(F.col("text")).alias("w")).select("video_id", tokens_of(F.col("w")).alias("t"))
+    # An inner explode would have the optimiser find the words a second time, for a filter below it.
+    rows = words.select("video_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token")).where("token IS NOT NULL")
+    return staged(rows.groupBy("video_id", "token").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl")), "postings")
 
 
 def corpus_statistics(post: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
-from ..functions.text import tokens
+from ..functions.text import raw_words, tokens, tokens_of
 from ..operators import align as A
 from ..operators import dense as D
 from ..operators import fusion as R
@@ -83,11 +83,11 @@ def d1(spark: SparkSession, sf: str) -> DataFrame:
 @register("D3_mean_query", f"""WITH {T.PROMPTS_SQL}, dims AS (SELECT query_id, i, avg(e[i + 1]) AS x FROM prompts, range({T.DIMS}) t(i) GROUP BY ALL),
     m AS (SELECT query_id, list(x ORDER BY i) AS v FROM dims GROUP BY ALL) SELECT query_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS embedding FROM m""")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
-    return D.mean_query(D.normalised(T.prompts(spark))).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+    return D.mean_query(D.normalised(T.prompts(spark, sf))).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
 def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return D.similarity(T.frames(spark, sf), T.prompts(spark))
+    return D.similarity(T.frames(spark, sf), T.prompts(spark, sf))
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    return D.dense_search(T.frames(spark, sf), T.prompts(spark), k)
+    return D.dense_search(T.frames(spark, sf), T.prompts(spark, sf), k)
 
 
 def _gauss(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +136,7 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
 @register("D11_knn", f"""WITH {T.SIMILARITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, prompt_idx ORDER BY round(score, 6) DESC, video_id || '/' || lpad(CAST(frame_idx AS VARCHAR), 8, '0')) AS rank FROM sims WHERE prompt_idx = 0)
     SELECT query_id, rank, video_id, frame_idx, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def d11(spark: SparkSession, sf: str) -> DataFrame:
-    near = D.nearest(T.frames(spark, sf), T.prompts(spark, per_query=T.PROMPTS).where("prompt_idx = 0"), 10)
+    near = D.nearest(T.frames(spark, sf), T.prompts(spark, sf).where("prompt_idx = 0"), 10)
     return r6(near, "score").select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", "frame_idx", "score")
 
 
@@ -145,7 +145,7 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("B1_tokens", f"WITH t AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, t[1] AS first_token FROM t")
 def b1(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    t = T.table(spark, sf, "documents").select("doc_id", raw_words(F.col("text")).alias("w")).select("doc_id", tokens_of(F.col("w")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.get("t", F.lit(0)).alias("first_token"))
 
 
@@ -172,8 +172,8 @@ def b7(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- fusion: the videos' frames and joined texts; text query n is prompt query n
 
-VIDEO_QUERIES = "video_queries AS (SELECT 'q' || item_id AS query_id, text AS query FROM benchmark WHERE item_id < 4)"
-VIDEO_MEDIA = "video_media AS (SELECT 'v' || (doc_id % 10) AS video_id, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"
+VIDEO_QUERIES = "video_queries AS (SELECT 'q' || item_id AS query_id, text AS query FROM benchmark)"
+VIDEO_MEDIA = f"video_media AS (SELECT 'v' || (doc_id // {T.TEXTS_A_VIDEO}) AS video_id, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"
 FUSED_SQL = f"""{PEAKS_SQL}, {VIDEO_QUERIES}, {VIDEO_MEDIA}, {bm25_sql('video_media', 'video_queries')}, parts AS (
     SELECT query_id, video_id, 0.75 / (60 + rank) AS w, rank AS dense_rank, NULL AS sparse_rank FROM dense
     UNION ALL SELECT query_id, video_id, 0.25 / (60 + rank), NULL, rank FROM sparse
@@ -182,8 +182,8 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rr
 
 
 def _video_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first four benchmark texts are the text side of the four prompt queries."""
-    return T.text_queries(spark, sf).where("query_id < 4").select(F.concat(F.lit("q"), "query_id").alias("query_id"), "query")
+    """Benchmark texts are the text side of the prompt queries."""
+    return T.text_queries(spark, sf).select(F.concat(F.lit("q"), "query_id").alias("query_id"), "query")
 
 
 def _rrf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -228,16 +228,18 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DETECTIONS_SQL = "detections AS (SELECT 'v' || (user_id % 10) AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx, event_type AS entity, event_id % 100 / CAST(100 AS DOUBLE) AS score FROM events WHERE user_id IS NOT NULL)"
-TARGETS = "(VALUES ('q0', 'click'), ('q0', 'view'), ('q1', 'purchase'), ('q2', 'person')) AS t(query_id, entity)"
+TARGETS = "(SELECT 'q' || item_id AS query_id, unnest(CASE item_id % 4 WHEN 0 THEN ['click', 'view'] WHEN 1 THEN ['purchase'] WHEN 2 THEN ['person'] ELSE [] END) AS entity FROM benchmark) AS t"
 
 
-def _targets(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {TARGETS}")
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two wanted classes of every fourth query, one of the next two, none of the last."""
+    wanted = F.array(F.array(F.lit("click"), F.lit("view")), F.array(F.lit("purchase")), F.array(F.lit("person")), F.array().cast("array<string>"))
+    return T.table(spark, sf, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.explode(F.get(wanted, F.col("item_id") % 4)).alias("entity"))
 
 
 @register("J2_entity_semi", f"WITH {DETECTIONS_SQL} SELECT video_id, entity, count(*) AS n, round(sum(score), 4) AS total FROM detections WHERE entity IN (SELECT entity FROM {TARGETS}) GROUP BY ALL")
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    hits = T.detections(spark, sf).join(_targets(spark).select("entity").distinct(), "entity", "left_semi")
+    hits = T.detections(spark, sf).join(_targets(spark, sf).select("entity").distinct(), "entity", "left_semi")
     return hits.groupBy("video_id", "entity").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
@@ -251,10 +253,10 @@ def j3(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "entity", F.struct(at(1).alias("x"), at(0).alias("y"), (at(3) - at(1)).alias("w"), (at(2) - at(0)).alias("h")).alias("box"))
 
 
-@register("J4_ordinal_join", f"WITH {T.FRAMES_SQL}, named AS (SELECT label, 'k' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name FROM embeddings), placed AS (SELECT 'v' || label AS video_id, name, CAST(row_number() OVER (PARTITION BY label ORDER BY name) - 1 AS INTEGER) AS frame_idx FROM named) SELECT video_id, name, frame_idx, round(e[1], 6) AS first FROM placed JOIN frames USING (video_id, frame_idx)")
+@register("J4_ordinal_join", f"WITH {T.FRAMES_SQL}, named AS (SELECT 'v' || (vec_id // {T.FRAMES_A_VIDEO}) AS video_id, 'k' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name FROM embeddings), placed AS (SELECT video_id, name, CAST(row_number() OVER (PARTITION BY video_id ORDER BY name) - 1 AS INTEGER) AS frame_idx FROM named) SELECT video_id, name, frame_idx, round(e[1], 6) AS first FROM placed JOIN frames USING (video_id, frame_idx)")
 def j4(spark: SparkSession, sf: str) -> DataFrame:
     """Key frame names, in order, meet vectors by their place."""
-    named = T.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "label").alias("video_id"), F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("name"))
+    named = T.table(spark, sf, "embeddings").select(T.video_of("vec_id", T.FRAMES_A_VIDEO).alias("video_id"), F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("name"))
     placed = named.withColumn("frame_idx", F.row_number().over(D.Window.partitionBy("video_id").orderBy("name")) - 1)
     return placed.join(T.frames(spark, sf), ["video_id", "frame_idx"]).select("video_id", "name", "frame_idx", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
@@ -282,7 +284,7 @@ final AS (SELECT *, before + coalesce(bonus * gate, 0) AS rrf FROM boosted)"""
 
 def _boosted(spark: SparkSession, sf: str) -> DataFrame:
     fused, _, series = _rrf(spark, sf)
-    return O.boost(R.fused_order(fused), series, T.detections(spark, sf), _targets(spark))
+    return O.boost(R.fused_order(fused), series, T.detections(spark, sf), _targets(spark, sf))
 
 
 @register("O3_weights", f"SELECT entity, {WEIGHT_SQL.format('entity')}::DOUBLE AS weight FROM (SELECT DISTINCT event_type AS entity FROM events UNION SELECT * FROM (VALUES ('person'), ('bowl'), ('dog'), ('hat')) t(entity))")
@@ -375,12 +377,12 @@ def v1(spark: SparkSession, sf: str) -> DataFrame:
 # ---- alignment: the prompts of a query are its events
 
 
-def _events(spark: SparkSession, n: int) -> DataFrame:
-    return T.prompts(spark, per_query=T.PROMPTS).where(F.col("prompt_idx") < n).withColumnRenamed("prompt_idx", "event_idx")
+def _events(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    return T.prompts(spark, sf).where(F.col("prompt_idx") < n).withColumnRenamed("prompt_idx", "event_idx")
 
 
 def _event_scores(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    return A.event_scores(T.frames(spark, sf), _events(spark, n))
+    return A.event_scores(T.frames(spark, sf), _events(spark, sf, n))
 
 
 def align_sql(n: int) -> str:

@@ -1,15 +1,18 @@
 """The engine's tables, derived from the generic ones; each has a SQL twin of the same name.
 
-``embeddings`` stand for frames (a label is a video), ``documents`` for media texts, ``benchmark``
-for query texts, ``events`` for detections. Prompts are vectors made by a rule.
+``embeddings`` stand for frames (so many in a row are a video), ``documents`` for media texts,
+``benchmark`` for queries, ``events`` for detections. Prompts are vectors made by a rule, three for
+every query. No video grows with the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES, PROMPTS, DIMS = 4, 3, 64
+PROMPTS, DIMS = 3, 64
+#: Frames and texts of a video.
+FRAMES_A_VIDEO, TEXTS_A_VIDEO = 50, 100
 EVENTS = ("view", "click", "purchase")
 
 
@@ -17,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def video_of(column: str, size: int) -> Column:
+    return F.concat(F.lit("v"), F.expr(f"{column} div {size}"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "label").alias("video_id"), (F.row_number().over(order) - 1).alias("frame_idx"), "embedding")
+    rows = table(spark, sf_dir, "embeddings").withColumn("video_id", video_of("vec_id", FRAMES_A_VIDEO))
+    return rows.select("video_id", (F.row_number().over(Window.partitionBy("video_id").orderBy("vec_id")) - 1).alias("frame_idx"), "embedding")
 
 
-def prompts(spark: SparkSession, queries: int = QUERIES, per_query: int = PROMPTS) -> DataFrame:
-    """Component i of prompt p of query q: ((i (7q + 3p + 1) + p) mod 11 - 5) / 10."""
-    rows = spark.range(queries * per_query).select((F.col("id") / per_query).cast("int").alias("q"), (F.col("id") % per_query).cast("int").alias("p"))
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component i of prompt p of benchmark item q: ((i (7q + 3p + 1) + p) mod 11 - 5) / 10."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(PROMPTS - 1))).alias("p"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: ((i * (7 * F.col("q") + 3 * F.col("p") + 1) + F.col("p")) % 11 - 5) / F.lit(10.0))
     return rows.select(F.concat(F.lit("q"), "q").alias("query_id"), F.col("p").alias("prompt_idx"), vector.alias("embedding"))
 
@@ -38,9 +45,9 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_of_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined into the ten videos that have frames."""
+    """Documents joined into videos, of so many each."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), " ")
-    return table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("v"), F.col("doc_id") % 10).alias("video_id")).agg(text.alias("text"))
+    return table(spark, sf_dir, "documents").groupBy(video_of("doc_id", TEXTS_A_VIDEO).alias("video_id")).agg(text.alias("text"))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +61,15 @@ def frame_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).where("frame_idx % 2 = 0").select("video_id", "frame_idx", (F.col("frame_idx") * 25 + 3).cast("long").alias("frame_id"))
 
 
-FRAMES_SQL = """frames AS (
-    SELECT 'v' || label AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame_idx,
+FRAMES_SQL = f"""frames AS (
+    SELECT 'v' || (vec_id // {FRAMES_A_VIDEO}) AS video_id, CAST(row_number() OVER (PARTITION BY vec_id // {FRAMES_A_VIDEO} ORDER BY vec_id) - 1 AS INTEGER) AS frame_idx,
            list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), unit_frames AS (
     SELECT video_id, frame_idx, list_transform(e, lambda x: x / CASE WHEN list_dot_product(e, e) = 0 THEN 1e-10 ELSE sqrt(list_dot_product(e, e)) END) AS e FROM frames
 )"""
 PROMPTS_SQL = f"""raw_prompts AS (
     SELECT q, p, list_transform(range({DIMS}), lambda i: ((i * (7 * q + 3 * p + 1) + p) % 11 - 5) / CAST(10 AS DOUBLE)) AS e
-    FROM range({QUERIES}) a(q), range({PROMPTS}) b(p)
+    FROM (SELECT item_id AS q FROM benchmark), range({PROMPTS}) b(p)
 ), prompts AS (
     SELECT 'q' || q AS query_id, CAST(p AS INTEGER) AS prompt_idx, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM raw_prompts
 )"""
