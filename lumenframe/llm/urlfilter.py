@@ -16,8 +16,8 @@ from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
-#: Rules that are compiled into one expression; so few can be held in a plan.
-MOST_RULES = 500
+#: Rules that are compiled into one expression; more of them are a table that hosts' suffixes are joined with.
+COMPILED = 200
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     text = verdict = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (len(r.text), r.text)):  # the longest is asked first
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
@@ -60,6 +58,18 @@ def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Col
     return text, verdict
 
 
+def match_rule_table(parsed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``parsed(host, path, ...)`` with the same ``rule`` and ``ruled``: every suffix of a host, from a label on, meets the rules of that host."""
+    spark = parsed.sparkSession
+    rows = cut(parsed.withColumn("row", F.monotonically_increasing_id()))
+    table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "suffix string, start string, rule string, ruled string")
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = rows.where("host <> ''").select("row", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(table, "suffix").where(F.col("path").startswith(F.col("start")))
+    best = met.groupBy("row").agg(F.max_by(F.struct("rule", "ruled"), F.struct(F.length("rule"), "rule")).alias("best"))
+    return rows.join(best, "row", "left").withColumns({"rule": F.col("best.rule"), "ruled": F.col("best.ruled")}).drop("row", "best")
+
+
 def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``(src, dst)``: distinct links between different hosts, from absolute and scheme-relative references in pages with a ``host``."""
     named = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), 1)))
@@ -92,12 +102,17 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: fl
     more than ``threshold`` above its trust, and gets ``default`` if not. A host whose ruled pages
     are mostly allowed (blocked) has trust (distrust) of its own, with links or without; any other
     host that no link reaches has neither. A null url, or one without ``://``, has an empty host and path and gets
-    ``default``. A null html has no links. Repeated rows each keep their row.
+    ``default``. A null html has no links. Repeated rows, and rows with a null id, each keep their
+    row. Urls and pages of any length are taken whole; other columns are not looked at, whatever
+    their names. An empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
+    if len(rules) > COMPILED:
+        judged = match_rule_table(parsed.drop("html"), rules)
+    else:
+        rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
+        judged = parsed.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
     edges = cut(host_edges(parsed))
     votes = judged.where("ruled IS NOT NULL AND host <> ''").groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(-1)).alias("n"))
     votes = cut(votes)
