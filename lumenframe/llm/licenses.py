@@ -1,9 +1,11 @@
 """Licence scan by diagonal voting, in built-in expressions alone.
 
-Every rolling word k-gram of a text that could stand in a template is hashed and joined to the
-templates' k-grams; matches are counted by template and diagonal (place in the text less place in
-the template), neighbouring diagonals are merged, and a merged span counts if it holds enough of
-its template. Only k-grams made of template words can match, so no other is hashed.
+Every rolling word k-gram of a text that stands in a template is hashed and joined to the
+templates' k-grams; matches are verified word by word and counted by template and diagonal (place
+in the text less place in the template). Diagonals up to a slack apart are one span: its words
+follow the template's, with no more than the slack of words put in or left out in all. A span
+counts if it holds enough of its template. Only k-grams of templates can match, so no other is
+hashed.
 """
 
 from __future__ import annotations
@@ -19,23 +21,53 @@ from .urlfilter import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices as they are commonly given, by label.
+#: Notices and licence texts as they are commonly given, by label (fixed values).
 TEMPLATES = (
     ("mit", "released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache", "licensed under the Apache License, Version 2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
     ("gpl", "licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+        either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General
+        Public License along with this program. If not, see http://www.gnu.org/licenses/"""),
+    ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the
+        names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"""),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
     ("cc-by", "licensed under CC BY 4.0"),
     ("cc-by-nc", "licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 GRAM = 3
-#: Diagonals at most so far apart are merged; the share of a template's k-grams that a span must hold.
+#: Diagonals of a span lie at most so far apart; the share of a template's k-grams that a span must hold.
 SLACK, LEAST = 3, 0.7
+#: Template k-grams that are compared as a list within the plan; with more of them, all k-grams of texts are hashed and joined.
+LISTED = 20_000
 
 
 def template_words(text: str) -> list[str]:
@@ -55,8 +87,9 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
     ``n_base`` counts all places of the ``phrases``, ``first_word`` and ``last_word`` are the
     smallest and largest of them (null without any). ``labels`` adds those of verified template
     spans, and ``score`` is the largest share of a template that a span holds. Null, empty and
-    wordless texts have zeros and no labels. Repeated rows and null ids keep their rows; other
-    columns are not looked at.
+    wordless texts have zeros and no labels. Texts of any length are taken whole. Repeated rows and
+    null ids keep their rows; other columns are not looked at, whatever their names. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     parsed = [(n, label, template_words(text)) for n, (label, text) in enumerate(templates)]
@@ -65,26 +98,30 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
     vocabulary = sorted({w for _, _, words in parsed for w in words})
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0).alias("words"))
-    known = lambda i: F.get("words", i).isin(vocabulary)
-    starts = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary) & reduce(lambda a, b: a & b, [known(i + j) for j in range(1, k)], F.lit(True)), i)))
-    grams = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get("words", i + j) for j in range(k)]).alias("gram")))
+    matches = [Row(template=n, label=label, size=len(ws) - k + 1, place=i, words=ws[i : i + k]) for n, label, ws in parsed for i in range(len(ws) - k + 1)]
+    lookup = spark.createDataFrame(matches, "template int, label string, size int, place int, words array<string>")
+    gram_of = lambda at: F.xxhash64(*[F.get("words", at + j) for j in range(k)])
+    lookup = lookup.select("template", "label", "size", "place", "words", gram_of(F.lit(0)).alias("gram"))
+    if len(matches) <= LISTED:
+        # Words first, as most k-grams hold one that no template has; then hashes.
+        hashes = [r.gram for r in lookup.select("gram").distinct().collect()]
+        known = lambda i: F.get("words", i).isin(vocabulary)
+        starts = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary) & reduce(lambda a, b: a & b, [known(i + j) for j in range(1, k)], F.lit(True)), i)))
+        starts = F.filter(starts, lambda i: gram_of(i).isin(hashes))
+    else:
+        starts = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (k - 1), F.lit(0))), lambda w, i: i)
+    grams = F.transform(starts, lambda i: F.struct(i.alias("at"), gram_of(i).alias("gram"), F.slice("words", i + 1, k).alias("given")))
     has = {p: F.array_contains("words", p.split()[-1]) for p, _ in phrases}
     places = [F.when(has[p], _places(F.col("words"), p.split())).otherwise(F.array().cast("array<int>")) for p, _ in phrases]
     staged = words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array(*places).alias("places"), grams.alias("grams"))
     rows = cut(staged.withColumn("row", F.monotonically_increasing_id()))
 
-    matches = [Row(template=n, label=label, size=len(ws) - k + 1, place=i, words=ws[i : i + k]) for n, label, ws in parsed for i in range(len(ws) - k + 1)]
-    lookup = spark.createDataFrame(matches, "template int, label string, size int, place int, words array<string>")
-    lookup = lookup.select("template", "label", "size", "place", F.xxhash64(*[F.get("words", F.lit(j)) for j in range(k)]).alias("gram"))
-    # The lookup has one row a template word: its size is that of the templates given.
-    found = rows.select("row", F.explode("grams").alias("g")).select("row", "g.at", "g.gram").join(F.broadcast(lookup), "gram")
+    found = rows.select("row", F.explode("grams").alias("g")).select("row", "g.*").join(lookup, "gram").where(F.col("given") == F.col("words"))
     found = found.withColumn("diagonal", F.col("at") - F.col("place"))
     votes = found.groupBy("row", "template", "label", "size", "diagonal").agg(F.collect_set("place").alias("held"))
-    # Within a row and a template, a diagonal more than the slack beyond its predecessor begins a new span.
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    begins = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
-    spans = votes.withColumn("begins", begins).withColumn("span", F.sum("begins").over(along))
-    merged = spans.groupBy("row", "template", "label", "size", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n"))
+    # From every diagonal of a row and a template on, what the next ones hold, as far as the slack goes.
+    onwards = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, slack)
+    merged = votes.select("row", "label", "size", F.size(F.array_distinct(F.flatten(F.collect_list("held").over(onwards)))).alias("n"))
     verified = merged.withColumn("share", F.col("n") / F.col("size")).where(F.col("share") >= least)
     added = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))
 
