@@ -198,3 +198,6 @@ PROPS = (
     "hat", "helmet", "backpack", "handbag", "tie", "costume", "box", "bag", "packaging",
     "vase", "clock", "toy",
 )
+
+#: What words of a query are known to show, for further prompts; none is given.
+DOMAIN_PROMPTS: dict[str, str] = {}

@@ -46,6 +46,18 @@ def hash_encoder(dims: int = 64) -> Provider:
     return lambda s: s.map(one)
 
 
+def picture_encoder(dims: int = 64) -> Provider:
+    """A unit vector seeded by a picture's checksum; null for what is no picture (here: empty)."""
+
+    def one(content: bytes | None) -> list[float] | None:
+        if not content:
+            return None
+        v = np.random.default_rng(crc32(content)).choice((-1.0, 1.0), dims)
+        return (v / np.linalg.norm(v)).astype("float32").tolist()
+
+    return lambda s: s.map(one)
+
+
 def identity_translator() -> Provider:
     return lambda s: s
 
@@ -64,6 +76,10 @@ def encode(text: Column, provider: Callable[[], Provider] = hash_encoder) -> Col
     return column(provider, ArrayType(FloatType()))(text)
 
 
+def encode_picture(content: Column, provider: Callable[[], Provider] = picture_encoder) -> Column:
+    return column(provider, ArrayType(FloatType()))(content)
+
+
 def translate(text: Column, provider: Callable[[], Provider] = identity_translator) -> Column:
     """The provider's text; the source where that has fewer than two words."""
     out = column(provider, StringType())(text)

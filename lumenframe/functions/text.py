@@ -6,7 +6,8 @@ lookarounds, as the JVM's ``\\b`` knows ASCII only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,6 +105,14 @@ def prompts(text: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda p: F.length(strip(p)) > 3))
 
 
+def with_domain_prompts(given: Column, query: Column, domains: Mapping[str, str] = X.DOMAIN_PROMPTS) -> Column:
+    """Prompts of what a query's words are known to show come first, three of each; without known words the prompts stay."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    none = F.array().cast("array<string>")
+    more = [F.when(word_in(low, re.escape(w)), F.array(F.lit(d), F.lit(f"a photo of {d}"), F.lit(f"a video scene of {d}"))).otherwise(none) for w, d in domains.items()]
+    return F.concat(*more, given) if more else given
+
+
 def neutral_question(question: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, f"(?iu){BEFORE}{p}{AFTER}", X.NEUTRAL), X.NEUTRAL_PHRASES, question)
 

@@ -80,11 +80,14 @@ def diverse_predictions(candidates: DataFrame, gauss: DataFrame, frame_map: Data
     return kept.unionByName(padding)
 
 
+def peak_frames(gauss: DataFrame) -> DataFrame:
+    """``query_id, video_id, frame_idx``: the best smoothed frame, on ties the earlier one."""
+    return gauss.groupBy("query_id", "video_id").agg(F.max_by("frame_idx", F.struct(F.round("gauss", 9), -F.col("frame_idx"))).alias("frame_idx"))
+
+
 def best_frames(candidates: DataFrame, gauss: DataFrame) -> DataFrame:
     """The first candidate's best smoothed frame of every query."""
-    top = candidates.where("rank = 1").select("query_id", "video_id")
-    peak = gauss.groupBy("query_id", "video_id").agg(F.max_by("frame_idx", F.struct(F.round("gauss", 9), -F.col("frame_idx"))).alias("frame_idx"))
-    return top.join(peak, ["query_id", "video_id"], "left")
+    return candidates.where("rank = 1").select("query_id", "video_id").join(peak_frames(gauss), ["query_id", "video_id"], "left")
 
 
 def _segmented(gauss: DataFrame, parts: int = 3) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import objects as O
 from ..operators import rerank as V
 from ..operators import select as S
 from ..operators import sparse as B
+from ..sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,38 @@ def candidates(queries: DataFrame, corpus: Corpus, options: Options, encoder=P.h
     return ranked, series
 
 
+def search(corpus: Corpus, text: str, k: int = 5, encoder=P.hash_encoder) -> DataFrame:
+    """The interactive driver: ``video_id, rank, rrf_score, best_frame, dense_score`` of the first ``k`` (1 to 20) videos for one text."""
+    query = corpus.frames.sparkSession.createDataFrame([("q", "kis", text, "", [])], "query_id string, task string, query string, question string, events array<string>")
+    ranked, series = candidates(query, corpus, INTERACTIVE, encoder)
+    best = D.video_peaks(series).select("query_id", "video_id", "best_frame", F.col("score").alias("dense_score"))
+    return ranked.where(F.col("rank") <= max(1, min(20, k))).join(best, ["query_id", "video_id"], "left").select("video_id", "rank", "rrf_score", "best_frame", "dense_score")
+
+
+def predictions(queries: DataFrame, corpus: Corpus, options: Options = BATCH, encoder=P.hash_encoder, verifier=P.hash_verifier) -> DataFrame:
+    """From queries to what is handed in: ``task, query_id, rank, video_id, frame_id, answer, frame_ids``.
+
+    ``queries(query_id, task, query, question, events)`` of all tasks go through one search; scenes
+    get frames, questions the answer of the best of four videos, event sequences a frame an event.
+    """
+    ranked, series = candidates(queries, corpus, options, encoder)
+    ranked, series = staged(ranked, "ranked"), staged(series, "series")
+    none, no_frames = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    out = scenes(ranked, series, corpus).select(F.lit("kis").alias("task"), "query_id", "rank", "video_id", "frame_id", none.alias("answer"), no_frames.alias("frame_ids"))
+    asked = ranked.where("task = 'qa'").where(F.col("rank") <= V.ANSWERED).join(queries.select("query_id", "question"), "query_id")
+    best = S.peak_frames(S.gaussian_smoothed(series))
+    told = asked.join(S.frame_ids(best, corpus.frame_map).select("query_id", "video_id", "frame_id"), ["query_id", "video_id"], "left")
+    said = N.clean_opening(P.verify(F.concat_ws(" ", N.neutral_question(F.col("question")), "video_id", "frame_id"), verifier), F.coalesce("question", F.lit("")))
+    answered = told.select("query_id", "rank", "video_id", F.coalesce("frame_id", F.lit("0000")).alias("frame_id"), N.finish_answer(P.without_openings(said)).alias("answer"))
+    found = answers(ranked, series, corpus, staged(answered, "answered"), options)
+    out = out.unionByName(found.select(F.lit("qa").alias("task"), "query_id", "rank", "video_id", "frame_id", "answer", no_frames.alias("frame_ids")))
+    lengths = queries.where("task = 'trake'").select(F.size("events").alias("n")).where("n > 0").distinct().sort("n")
+    for n in (r.n for r in lengths.collect()):  # one plan for all sequences of a length
+        rows = sequences(ranked, queries, corpus, n, encoder)
+        out = out.unionByName(rows.select(F.lit("trake").alias("task"), "query_id", "rank", "video_id", none.alias("frame_id"), none.alias("answer"), "frame_ids"))
+    return out
+
+
 def scenes(ranked: DataFrame, series: DataFrame, corpus: Corpus) -> DataFrame:
     """Known-item predictions: up to a hundred frames a query."""
     return S.diverse_predictions(ranked.where("task = 'kis'").select("query_id", "video_id", "rank"), S.gaussian_smoothed(series), corpus.frame_map)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.providers import encode_picture, picture_encoder
 from ..functions.text import natural_key, parse_query
 
 #: Detection confidence kept; detection and picture names in order of preference.
@@ -31,6 +32,47 @@ def _binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
+def _children(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """Path, whether it is a folder, and size of what is in a folder of any store; nothing if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    return sorted((s.getPath().toString(), s.isDirectory(), s.getLen()) for s in system.listStatus(where))
+
+
+def first_usable(spark: SparkSession, paths: Sequence[str], least_bytes: int = 5) -> str | None:
+    """The first path that is a file of more than ``least_bytes`` bytes: a list of places where a truth file may be."""
+    for path in paths:
+        if any(not folder and size > least_bytes for _, folder, size in _children(spark, path)):
+            return path
+    return None
+
+
+def first_folder(spark: SparkSession, roots: Sequence[str], walk: str | None = None, named: str = "objects", more_than: int = 5) -> str | None:
+    """The first of ``roots`` that exists; else the first folder under ``walk`` whose name holds ``named`` and that has more than so many entries."""
+    for root in roots:
+        if _children(spark, root):
+            return root
+    waiting = [walk] if walk else []
+    while waiting:
+        inside = _children(spark, waiting.pop(0))
+        for path, folder, _ in inside:
+            if folder:
+                if named in path.rstrip("/").rpartition("/")[2].lower() and len(_children(spark, path)) > more_than:
+                    return path
+                waiting.append(path)
+    return None
+
+
+def read_vectors_of(spark: SparkSession, roots: Sequence[str], mount: str) -> DataFrame:
+    """``read_vectors`` of the first of ``roots`` that has vector files, else of all of ``mount`` but paths of key frames and videos."""
+    for root in roots:
+        if _children(spark, root) and not _binary(spark, root, "*.[nN][pP][yY]").limit(1).isEmpty():
+            return read_vectors(spark, root)
+    return read_vectors(spark, mount, without=("keyframe", "video"))
+
+
 def read_vectors(spark: SparkSession, root: str, without: tuple[str, ...] = ()) -> DataFrame:
     """``video_id, frame_idx, embedding`` from .npy matrices, one file a video; of two files of one name the later path counts.
 
@@ -215,6 +257,22 @@ def resolve_pictures(frames: DataFrame, pictures: DataFrame) -> DataFrame:
     return out.select("video_id", "frame_idx", F.coalesce("named", "placed").alias("path"))
 
 
+def read_pictures(spark: SparkSession, root: str) -> DataFrame:
+    """``video_id, path, content`` of picture files, a folder a video."""
+    files = _binary(spark, root, "*.{jpg,jpeg,png,JPG,JPEG,PNG}")
+    return files.select(keyframe_parts(F.col("path"))[0].alias("video_id"), "path", "content")
+
+
+def picture_features(pictures: DataFrame, encoder=picture_encoder) -> DataFrame:
+    """``video_id, frame_idx, path, embedding`` of ``pictures(video_id, path, content)``: unit vectors of pictures in order.
+
+    A picture that the encoder fails on (it gives null) is left out, and those behind it move up.
+    """
+    made = pictures.select("video_id", "path", encode_picture(F.col("content"), encoder).alias("embedding")).where("embedding IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("path")) - 1
+    return made.select("video_id", place.alias("frame_idx"), "path", "embedding")
+
+
 def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f)

@@ -55,6 +55,28 @@ def zip_folder(folder: str, archive: str) -> None:
             out.write(f, f"submission/{query}.csv")
 
 
+def frame_texts_json(texts: DataFrame) -> DataFrame:
+    """``video_id, json`` of ``texts(video_id, frame_id, text)``: an object of frames, in their order, with characters as they are; of two texts of a frame the smaller counts."""
+    rows = texts.groupBy("video_id", "frame_id").agg(F.min("text").alias("text"))
+    in_object = lambda x: F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x")))
+    quoted = lambda x: F.substring(in_object(x), F.lit(6), F.length(in_object(x)) - 6)
+    member = F.concat(quoted(F.col("frame_id").cast("string")), F.lit(":"), quoted(F.col("text")))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("frame_id", member.alias("m")))), lambda s: s["m"])
+    return rows.groupBy("video_id").agg(F.concat(F.lit("{"), F.array_join(joined, ","), F.lit("}")).alias("json"))
+
+
+def write_frame_texts(texts: DataFrame, path: str, spark: SparkSession) -> None:
+    """A JSON file a video, in a folder of its own; videos that have one are left as they are."""
+    try:
+        done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"video_id=([^/]+)/", 1).alias("video_id")).distinct()
+        done.schema  # noqa: B018  asks for the folder
+        texts = texts.join(done, texts["video_id"].cast("string") == done["video_id"], "left_anti")
+    except Exception as e:  # the folder's absence has no class of its own
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    frame_texts_json(texts).select("video_id", F.col("json").alias("value")).write.mode("append").partitionBy("video_id").text(path)
+
+
 def not_yet_written(rows: DataFrame, path: str, spark: SparkSession, key: str = "video_id") -> DataFrame:
     """Rows whose key is not in the Parquet table at ``path`` (all of them if there is none)."""
     try:

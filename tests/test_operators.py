@@ -184,3 +184,35 @@ def test_answers_and_encoder(spark):
     v = rows.select(P.encode(F.lit("a b")).alias("v")).first().v
     assert np.linalg.norm(v) == pytest.approx(1, abs=1e-6)
     assert rows.select(N.quoted_for_csv(F.lit(None).cast("string"))).first()[0] == '"Không rõ"'
+
+
+def test_places_of_files(spark, tmp_path):
+    for name, text in (("a/x.json", "{}"), ("b/truth.json", '{"task1": []}'), ("m/1/keyframes/v.npy", ""), ("m/my_objects/1.json", ""), ("m/small_objects/1.json", "")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for n in range(7):
+        (tmp_path / f"m/my_objects/{n}.json").write_text("{}")
+    paths = [str(tmp_path / x) for x in ("none.json", "a/x.json", "b/truth.json")]
+    assert files.first_usable(spark, paths) == paths[2] and files.first_usable(spark, paths[:2]) is None
+    assert files.first_folder(spark, [str(tmp_path / "none"), str(tmp_path / "a")]) == str(tmp_path / "a")
+    assert files.first_folder(spark, [str(tmp_path / "none")], str(tmp_path / "m")).endswith("/m/my_objects")
+    np.save(tmp_path / "m/1/w.npy", np.eye(3, dtype="float32"))
+    got = files.read_vectors_of(spark, [str(tmp_path / "none"), str(tmp_path / "a")], str(tmp_path / "m"))
+    assert sorted((r.video_id, r.frame_idx) for r in got.collect()) == [("w", 0), ("w", 1), ("w", 2)]
+
+
+def test_frame_texts_skip_what_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([("v1", 2, 'é "x"'), ("v1", 10, "b\n"), ("v2", 1, None)], "video_id string, frame_id int, text string")
+    path = str(tmp_path / "ocr")
+    sinks.write_frame_texts(rows.where("video_id = 'v1'"), path, spark)
+    sinks.write_frame_texts(rows.withColumn("text", F.lit("new")), path, spark)
+    got = {f.parent.name: f.read_text() for f in (tmp_path / "ocr").glob("*/part-*")}
+    assert got == {"video_id=v1": '{"2":"é \\"x\\"","10":"b\\n"}\n', "video_id=v2": '{"1":"new"}\n'}
+
+
+def test_pictures_that_fail_move_others_up(spark, tmp_path):
+    for name, content in (("v/1.jpg", b"a"), ("v/2.jpg", b""), ("v/3.jpg", b"c"), ("w/1.png", b"d")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {(r.video_id, r.frame_idx): r.path.rpartition("/")[2] for r in files.picture_features(files.read_pictures(spark, str(tmp_path))).collect()}
+    assert got == {("v", 0): "1.jpg", ("v", 1): "3.jpg", ("w", 0): "1.png"}
