@@ -28,7 +28,7 @@ from .common import freed
 #: Steps of a walk, sampled ones of each, walks with bits of their own.
 STEPS, SAMPLED, WALKS = 32, 13, 7
 #: Hits that make a window a candidate, at least, and one for so many characters of the item; sampled steps after which walks that begin like no item's are given up.
-HITS, CHARS_A_HIT, CHECKS = 2, 45, (4, 7, 10)
+HITS, CHARS_A_HIT, CHECKS = 2, 60, (4, 7, 10)
 #: Items of fewer characters are searched by trigrams alone, of fewer than PAIRS by pairs.
 SHORT, PAIRS = 80, 10
 #: Bytes of text that are worked on together; bytes of items that one pass holds.
