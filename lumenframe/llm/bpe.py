@@ -1,23 +1,30 @@
 """Byte-level BPE by units, with the exact token count at every prefix.
 
 A text is cut where a single space stands between two other characters: a byte-level BPE
-tokenizer always starts a new piece there, so units are encoded on their own and remembered.
-What is remembered is bounded, and only speeds things up.
+tokenizer always starts a new piece there, so units are encoded on their own. Of some texts at a
+time, every distinct unit is encoded once, and texts are put together from numbers of units. Some
+units are remembered for later texts; what is remembered is bounded, and only speeds things up.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Units that a worker remembers, and the length in characters up to which it does.
-REMEMBERED, SHORT = 1_000_000, 48
+#: Units that a worker remembers (some 60 MB), and the length in characters up to which it does.
+REMEMBERED, SHORT = 400_000, 48
+#: Longer texts are worked on in parts of so many characters.
+LONG = 1 << 22
 #: The pattern of the byte-level pre-tokenizer (fixed by the tokenizer's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of up to so many bytes are worked on together.
@@ -49,121 +56,179 @@ class ByteBpe:
         for b, i in ranks.items():
             self.size_of[i] = len(b)
         self.longest = max(map(len, ranks))
-        self._ids: dict[str, bytes] = {}
         self._counts: dict[str, bytes] = {}
         self._pieces: dict[bytes, bytes] = {}
         self._pairs: dict[int, bool] = {}
         self._pattern = regex.compile(PATTERN)
         self._prepare_batches()
 
+    # ---- units of many texts
+
+    def _entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Array]:
+        """Where each text's units begin and how many they are, each unit's number, first units of texts, and the others' distinct ones.
+
+        Numbers below the count of distinct units are theirs, the others those of first units, which no space precedes.
+        """
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        lengths = pc.binary_length(flat).to_numpy()
+        edged = (lengths == 0) | (lengths != pc.binary_length(pc.utf8_trim_whitespace(flat)).to_numpy())
+        order = np.arange(len(texts))
+        slow = np.add.reduceat(edged, np.cumsum(sizes) - sizes, dtype=np.int64) > 0
+        if slow.any():  # a space beside white space is no cut
+            parted = [CUT.split(texts[i]) for i in np.flatnonzero(slow).tolist()]
+            flat = pa.concat_arrays([flat.filter(pa.array(np.repeat(~slow, sizes))), pa.array([u for us in parted for u in us], pa.string())])
+            sizes = np.concatenate((sizes[~slow], np.array([len(us) for us in parted])))
+            order = np.concatenate((order[~slow], order[slow]))
+        begins = np.cumsum(sizes) - sizes
+        rest = np.ones(len(flat), bool)
+        rest[begins] = False
+        coded = flat.filter(pa.array(rest)).dictionary_encode()
+        entries = np.empty(len(flat), np.int64)
+        entries[rest] = coded.indices.to_numpy(zero_copy_only=False)
+        entries[begins] = len(coded.dictionary) + np.arange(len(texts))
+        heads = flat.take(pa.array(begins)).to_pylist()
+        place, count = np.empty_like(begins), np.empty_like(sizes)
+        place[order], count[order] = begins, sizes
+        return place, count, entries, heads, coded.dictionary
+
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Units of ``text``; all but the first stand behind one space."""
-        units = text.split(" ")
-        if all(units) and not any(map(_edged, units)):
-            return units
-        return CUT.split(text)
+    def _spread(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``pool`` holds of each entry, one after another; where each entry's begins, and its size."""
+        n = sizes[entries]
+        ends = np.cumsum(n)
+        at = ends - n
+        index = np.repeat((starts[entries] - at).astype(np.int32), n)
+        index += np.arange(len(index), dtype=np.int32)
+        return pool[index], at, n
+
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > LONG and (cut := CUT.search(text, at + LONG)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def _plain(self, text: str) -> bool:
+        return len(text) <= LONG and (self.special is None or not self.special.search(text))
 
     # ---- ids
 
     def ids(self, text: str) -> np.ndarray:
         """The ids that the library gives without added special tokens; special strings in the text are special."""
-        if self.special is None or not self.special.search(text):
-            return self._plain_ids(text)
         parts, at = [], 0
-        for m in self.special.finditer(text):
-            parts += [self._plain_ids(text[at : m.start()]), np.array([self.specials[m[0]]], np.uint32)]
+        for m in self.special.finditer(text) if self.special else ():
+            parts += [*map(self._plain_ids, self._parts(text[at : m.start()])), np.array([self.specials[m[0]]], np.uint32)]
             at = m.end()
-        return np.concatenate([*parts, self._plain_ids(text[at:])])
+        return np.concatenate([*parts, *map(self._plain_ids, self._parts(text[at:]))])
 
     def _plain_ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        known, units = self._ids, text.split(" ")
-        if None in (rows := list(map(known.get, units[1:]))) or "" in units or _edged(units[0]):
-            units = self._cut(text)
-            if missing := [u for u in set(units[1:]) if u not in known and len(u) <= SHORT]:
-                if len(known) + len(missing) > REMEMBERED:
-                    known.clear()
-                    missing = [u for u in set(units[1:]) if len(u) <= SHORT]
-                got = np.array(self.core.encode_ordinary(" " + " ".join(missing)), np.uint32)
-                ends = np.searchsorted(np.cumsum(self.size_of[got]), np.cumsum([len(u.encode()) + 1 for u in missing])) + 1
-                at = 0
-                for u, end in zip(missing, ends.tolist(), strict=True):
-                    known[u] = got[at:end].tobytes()
-                    at = end
-            rows = [known[u] if len(u) <= SHORT else np.array(self.core.encode_ordinary(" " + u), np.uint32).tobytes() for u in units[1:]]
-        head = np.array(self.core.encode_ordinary(units[0]), np.uint32).tobytes()
-        return np.frombuffer(b"".join((head, *rows)), np.uint32)
+        return self._some_ids([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """``ids`` of each text."""
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, ids in zip(plain, self._some_ids([texts[i] for i in plain]), strict=True):
+            out[i] = ids
+        return [self.ids(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
+    def _some_ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        place, count, entries, heads, units = self._entries(texts)
+        pool, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(units):
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), " ")[0].as_py()
+            pool = np.asarray(self.core.encode_to_numpy(" " + joined, disallowed_special=()), np.uint32)
+            ends = np.searchsorted(np.cumsum(self.size_of[pool]), np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64) + 1)) + 1
+            sizes = np.diff(ends, prepend=0)
+        first = [self.core.encode_ordinary(h) for h in heads]
+        pool = np.concatenate((pool, np.fromiter(chain.from_iterable(first), np.uint32)))
+        sizes = np.concatenate((sizes, np.fromiter(map(len, first), np.int64, len(first))))
+        ids, at, n = self._spread(pool, np.cumsum(sizes) - sizes, sizes, entries)
+        ends = at + n
+        return [ids[at[a] : ends[a + k - 1]] for a, k in zip(place.tolist(), count.tolist(), strict=True)]
 
     # ---- counts at prefixes
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """At i: how many tokens the library gives for ``text[: i + 1]``."""
-        if self.special is None or not self.special.search(text):
-            return self._plain_counts(text)
         parts, at, before = [], 0, 0
-        for m in self.special.finditer(text):
+        for m in self.special.finditer(text) if self.special else ():
             # Until its last character, a special string is ordinary text.
-            inside = self._plain_counts(text[at : m.end() - 1])
+            inside = self._long_counts(text[at : m.end() - 1])
             ahead = int(inside[m.start() - at - 1]) if m.start() > at else 0
             parts += [inside + before, np.array([before + ahead + 1])]
             before, at = before + ahead + 1, m.end()
-        return np.concatenate([*parts, self._plain_counts(text[at:]) + before])
-
-    def _plain_counts(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int64)
-        known, units = self._counts, text.split(" ")
-        head = []
-        if None in (rows := list(map(known.get, units[1:]))) or "" in units or _edged(units[0]):
-            units = self._cut(text)
-            self.learn(units[1:])
-            rows = [known[u] if len(u) <= SHORT else None for u in units[1:]]
-        if None not in rows and len(units[0]) <= SHORT:
-            head = self._unit(units[0]) if units[0] else []
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            local = np.frombuffer(b"".join((bytes(head), *rows)), np.uint8)
-            sizes = np.concatenate(([len(head)], sizes)) if len(head) else sizes
-        else:
-            long = [np.array(self._unit(units[0]), np.int64)] if units[0] else []
-            long += [np.frombuffer(r, np.uint8) if r is not None else np.array(self._unit(" " + u), np.int64) for u, r in zip(units[1:], rows, strict=True)]
-            sizes = np.fromiter(map(len, long), np.int64, len(long))
-            local = np.concatenate(long)
-        total = local[np.cumsum(sizes) - 1].astype(np.int64)
-        return local + np.repeat(np.cumsum(total) - total, sizes)
-
-    def learn_texts(self, texts: list[str]) -> None:
-        """Remember what ``prefix_counts`` of these texts needs, all at once."""
-        known, new = self._counts, set()
-        for text in texts:
-            new.update(u for u in self._cut(text)[1:] if u not in known)
-            if len(new) > REMEMBERED // 10:
-                self.learn(list(new))
-                new = set()
-        self.learn(list(new))
-
-    def learn(self, units: list[str]) -> None:
-        """Remember the counts of those ``units`` that are short, all new pieces in one pass."""
-        known = self._counts
-        new = {u for u in units if u not in known and len(u) <= SHORT}
-        if not new:
-            return
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {u for u in units if len(u) <= SHORT}
-        split = {u: self._pattern.findall(" " + u) for u in new}
+        return np.concatenate([*parts, self._long_counts(text[at:]) + before])
+
+    def _long_counts(self, text: str) -> np.ndarray:
+        parts, before = [np.empty(0, np.int64)], 0
+        for part in self._parts(text):
+            counts = self._some_counts([part])[0].astype(np.int64)
+            parts.append(counts + before)
+            before += int(counts[-1]) if len(counts) else 0
+        return np.concatenate(parts)
+
+    def prefix_counts_of(self, texts: list[str]) -> list[np.ndarray]:
+        """``prefix_counts`` of each text."""
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, counts in zip(plain, self._some_counts([texts[i] for i in plain]), strict=True):
+            out[i] = counts
+        return [self.prefix_counts(t) if counts is None else counts for t, counts in zip(texts, out, strict=True)]
+
+    def _some_counts(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        place, count, entries, heads, distinct = self._entries(texts)
+        units, known = distinct.to_pylist(), self._counts
+        rows = list(map(known.get, units))
+        missing = [i for i, r in enumerate(rows) if r is None]
+        for i, row in zip(missing, self.learn([units[i] for i in missing]), strict=True):
+            rows[i] = row
+        # What is too long to be remembered, and first units, are behind the others.
+        rows += [bytes(self._unit(h)) if len(h) <= SHORT else None for h in heads]
+        long = {i: np.array(self._unit(" " + units[i] if i < len(units) else heads[i - len(units)]), np.int32) for i, r in enumerate(rows) if r is None}
+        sizes = np.fromiter((len(long[i]) if r is None else len(r) for i, r in enumerate(rows)), np.int64, len(rows))
+        inside = np.array([r is not None for r in rows])
+        starts = np.empty(len(rows), np.int64)
+        starts[inside] = np.cumsum(sizes[inside]) - sizes[inside]
+        starts[~inside] = sizes[inside].sum() + np.cumsum(sizes[~inside]) - sizes[~inside]
+        pool = np.concatenate((np.frombuffer(b"".join(r for r in rows if r is not None), np.uint8).astype(np.int32), *long.values()))
+        total = np.zeros(len(rows), np.int64)
+        total[sizes > 0] = pool[(starts + sizes - 1)[sizes > 0]]
+        counts, at, n = self._spread(pool, starts, sizes, entries)
+        before = np.cumsum(total[entries]) - total[entries]
+        before -= np.repeat(before[np.sort(place)], count[np.argsort(place)])
+        counts += np.repeat(before.astype(np.int32), n)
+        ends = at + n
+        return [counts[at[a] : ends[a + k - 1]] for a, k in zip(place.tolist(), count.tolist(), strict=True)]
+
+    def learn(self, units: list[str]) -> list[bytes | None]:
+        """The counts of distinct ``units`` (None: too long), all new pieces in one pass; they are remembered, the oldest units are not."""
+        split = {u: self._pattern.findall(" " + u) for u in units if len(u) <= SHORT}
         if len(self._pieces) > REMEMBERED // 4:
             self._pieces.clear()
-        pieces = self._pieces
+        pieces, out = self._pieces, []
         raws = {r for ps in split.values() for p in ps if (r := p.encode()) not in pieces and 1 < len(r) <= 4 * SHORT}
         self._learn_pieces([r for r in raws if len(r) <= BATCH_BYTES])
-        for u, ps in split.items():
+        for u in units:
+            if (ps := split.get(u)) is None:
+                out.append(None)
+                continue
             rows = [pieces.get(p.encode()) for p in ps]
             if len(ps) <= 2 and rows[0] is not None and rows[-1] is not None and not ps[0].isspace() and ps[-1] not in CONTRACTIONS:
-                known[u] = rows[0] if len(ps) == 1 else rows[0] + bytes([rows[0][-1] + c for c in rows[1]])
+                out.append(rows[0] if len(ps) == 1 else rows[0] + bytes([rows[0][-1] + c for c in rows[1]]))
             else:
-                known[u] = bytes(self._unit(" " + u))
+                out.append(bytes(self._unit(" " + u)))
+        known = self._counts
+        if len(known) + len(split) > REMEMBERED:
+            for u in list(islice(known, max(0, len(known) + len(split) - REMEMBERED // 2))):
+                del known[u]
+        known.update(zip(islice(split, REMEMBERED // 2), (r for r in out if r is not None), strict=False))
+        return out
 
     def _unit(self, unit: str) -> list[int]:
         """Counts at the prefixes of a unit; where white space ends a prefix it is one piece, whatever follows."""
@@ -297,11 +362,6 @@ class ByteBpe:
             self._pieces[raw] = row.tobytes()
 
 
-
-def _edged(unit: str) -> bool:
-    return unit[:1].isspace() or unit[-1:].isspace()
-
-
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One tokenizer a worker process."""

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import cut, partitions
-from .tokencount import DEFAULT, tokenizer_path
+from .common import cut, freed, partitions
+from .tokencount import DEFAULT, groups, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces that one shard packs.
@@ -33,18 +33,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT,
         bpe, end = byte_bpe(tokenizer_path(tokenizer)), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple[int | None, int, int, int, int]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.concatenate((bpe.ids(text or "").astype("<u4"), end)).tobytes()
-                n = len(raw) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    out.append((doc, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
-                    at, k = at + size, k + 1
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in groups(texts):
+                for doc, ids in zip(docs_[a:b], bpe.ids_of([t or "" for t in texts[a:b]]), strict=True):
+                    raw = np.concatenate((ids.astype("<u4"), end)).tobytes()
+                    n = len(raw) // 4
+                    at, k = 0, 0
+                    while at < n:
+                        size = (n - at) % capacity or capacity
+                        out.append((doc, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
+                        at, k = at + size, k + 1
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +92,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = D
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
 
     Null and empty texts are one piece that holds the end id alone. Repeated rows and rows with a
-    null id are packed as often as they occur; an empty table gives no pieces.
+    null id are packed as often as they occur; an empty table gives no pieces. Texts of any length
+    are taken whole; columns other than the id and the text are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     cutted = cut(pieces(docs, capacity, tokenizer, end_id, id_col, text_col))
     shards = max(1, -(-cutted.count() // shard))
-    dealt = cutted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(shards)).cast("int"))
+    # By a number of the row, so that equal rows do not meet.
+    dealt = cutted.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     dealt = dealt.repartition(max(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

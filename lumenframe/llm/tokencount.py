@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
+from .common import freed
 
 DEFAULT = "byte_bpe_50k.json"
-#: Characters of text whose new words are learnt together.
+#: Characters of text that are worked on together.
 TOGETHER = 1 << 22
 
 
@@ -22,7 +24,7 @@ def tokenizer_path(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for k, text in enumerate(texts):
         size += len(text or "")
@@ -48,19 +50,18 @@ def token_prefixes(docs: DataFrame, tokenizer: str = DEFAULT, id_col: str = "doc
         bpe = byte_bpe(tokenizer_path(name))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _groups(texts):
-                some = texts[a:b]
-                bpe.learn_texts([t for t in some if t])
+            for a, b in groups(texts):
                 rows = []
-                for text in some:
-                    counts = bpe.prefix_counts(text) if text else np.empty(0, np.int64)
-                    fit = np.flatnonzero(counts <= budget)
-                    rows.append((len((text or "").encode()), len(counts), int(counts[-1]) if len(counts) else 0, int(fit[-1]) + 1 if len(fit) else 0, counts.astype(np.int32) if keep else None))
+                for counts in bpe.prefix_counts_of([t or "" for t in texts[a:b]]):
+                    n = int(counts[-1]) if len(counts) else 0
+                    fit = np.flatnonzero(counts <= budget) if n > budget else ()
+                    rows.append((len(counts), n, len(counts) if n <= budget else int(fit[-1]) + 1 if len(fit) else 0, counts.astype(np.int32) if keep else None))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int32()))], ["doc_id", "n_bytes", "n_chars", "n_tokens", "within", "prefix_counts"])
+                sizes = pc.binary_length(batch.column(1).slice(a, b - a)).fill_null(0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), sizes, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "n_bytes", "n_chars", "n_tokens", "within", "prefix_counts"])
 
     schema = "doc_id long, n_bytes long, n_chars long, n_tokens long, within long, prefix_counts array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), schema)
 
 
 def tokens_of_prefix(chars: Column | int) -> Column:
