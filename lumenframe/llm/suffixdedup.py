@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, ship, written
+from .common import cut, freed, partitions, ship, written
 from .shipped import BitFilter, bit_filter
 
 LENGTH = 400
@@ -320,11 +320,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     input. ``spans`` are the removed runs as (start, end). ``kept`` is what is left, decoded with
     replacement where a cut parts a character. Repeated rows repeat each other's strings, whatever
     their ids; null ids and further columns do not matter, an empty table gives an empty one.
+    Texts of any length are taken whole, in parts that overlap.
     """
     if length < 2 * GRAM + STEP:
         raise ValueError(f"length is at least {2 * GRAM + STEP}")
     other = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*other, F.lit(0).alias("_")).alias("rest"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(other or [F.lit(0).alias("none")])).alias("rest"))
     rows = every.select("doc_id", "text")
     filters = Filters()
 
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for _, c in chunks(_texts(batch, 1), length):
                 yield _longs(*c.block_keys(), names=["whole", "left", "right"])
 
-    counted = cut(rows.mapInArrow(blocks, "whole long, left long, right long").groupBy("whole", "left", "right").agg(F.count("*").alias("n")))
+    counted = cut(rows.mapInArrow(freed(blocks), "whole long, left long, right long").groupBy("whole", "left", "right").agg(F.count("*").alias("n")))
     n_blocks = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sides = counted.select(F.explode(F.array("left", "right")).alias("k"), "n").where("k <> 0").groupBy("k").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
     filters.blocks = bit_filter(cut(counted.groupBy(F.col("whole").alias("k")).agg(F.sum("n").alias("n")).where("n > 1").select("k")))
@@ -348,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 _, _, _, whole, core = c.steps(np.flatnonzero(f.sides(left) | f.sides(right)))
                 yield _longs(whole, core, names=["whole", "core"])
 
-    counted = cut(rows.mapInArrow(steps, "whole long, core long").groupBy("whole", "core").agg(F.count("*").alias("n")))
+    counted = cut(rows.mapInArrow(freed(steps), "whole long, core long").groupBy("whole", "core").agg(F.count("*").alias("n")))
     cores = counted.groupBy(F.col("core").alias("k")).agg(F.sum("n").alias("all"), F.min("n").alias("least"))
     filters.steps = bit_filter(cut(counted.groupBy(F.col("whole").alias("k")).agg(F.sum("n").alias("n")).where("n > 1").select("k")))
     filters.cores = bit_filter(cut(cores.where("all > 1 AND least = 1").select("k")))
@@ -362,7 +363,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 ok = f.cores(core)
                 yield _longs(c.singles(b[ok], low[ok], n[ok])[2], names=["k"])
 
-    filters.ones = bit_filter(cut(rows.mapInArrow(singles, "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")))
+    filters.ones = bit_filter(cut(rows.mapInArrow(freed(singles), "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")))
 
     sorted_ = written(_sort(rows, filters, length, n_blocks), "suffixes")
     span = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string"
@@ -386,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 rows_ = [_cut_out(t, spans, None, keep_text) for t, spans in zip(texts, found, strict=True)]
                 yield _finished(batch.column(0), rows_, batch.columns[2:])
 
-        done = (every if keep_text else rows).mapInArrow(finish_alone, schema)
+        done = (every if keep_text else rows).mapInArrow(freed(finish_alone), schema)
         return done if keep_text else done.drop("kept")
     repeated = sorted_.where("repeated").select("name")
 
@@ -412,7 +413,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "mark", "name", "size", "starts"])
 
-    found = rows.mapInArrow(places, "doc_id long, mark long, name binary, size long, starts array<long>").join(repeated, "name", "left_semi")
+    found = rows.mapInArrow(freed(places), "doc_id long, mark long, name binary, size long, starts array<long>").join(repeated, "name", "left_semi")
     found = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("size", "starts")).alias("found"))
     found = found.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "found")
 
@@ -428,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 *batch.columns[2:],
             ], ["doc_id", "mark", "text", "n_bytes", "sha", *["rest"] * keep_text])
 
-    given = (every if keep_text else rows).mapInArrow(split, T.StructType([*T.StructType.fromDDL("doc_id long, mark long, text binary, n_bytes long, sha string").fields, *rest]))
+    given = (every if keep_text else rows).mapInArrow(freed(split), T.StructType([*T.StructType.fromDDL("doc_id long, mark long, text binary, n_bytes long, sha string").fields, *rest]))
     joined = given.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "n_bytes", "sha", "found", *["rest"] * keep_text)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +441,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 rows_.append((n, 0, 0, sha, [], None) if text is None else _cut_out(text, spans, sha, keep_text))
             yield _finished(batch.column(0), rows_, batch.columns[5:])
 
-    done = joined.mapInArrow(finish, schema)
+    done = joined.mapInArrow(freed(finish), schema)
     return done if keep_text else done.drop("kept")
 
 
@@ -531,7 +532,7 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + HEAD] for a in c.first[near].tolist()], pa.binary()), pa.array(tags[near].view(np.int64))], ["s", "tag"])
 
     spread = max(1, blocks // (4 * SAMPLES * ranges))
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) == 0).mapInArrow(some, "s binary, tag long").orderBy("tag").limit(SAMPLES * ranges).collect()
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) == 0).mapInArrow(freed(some), "s binary, tag long").orderBy("tag").limit(SAMPLES * ranges).collect()
     ordered = sorted({bytes(r.s) for r in taken})
     splitters = [ordered[len(ordered) * (i + 1) // ranges] for i in range(ranges - 1) if len(ordered) > ranges]
 
@@ -579,5 +580,5 @@ def _sort(rows: DataFrame, filters: Filters, length: int, blocks: int) -> DataFr
         if held:
             yield from judged(held)
 
-    dealt = rows.mapInArrow(runs, "range int, run binary").repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(merge, "name binary, key long, repeated boolean")
+    dealt = rows.mapInArrow(freed(runs), "range int, run binary").repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(freed(merge), "name binary, key long, repeated boolean")
