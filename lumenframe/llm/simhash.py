@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, written
+from .common import cut, freed, partitions, written
 from .components import connected_components
 
 SEED = 42
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x, k) for x in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), "doc_id long, fp long")
 
 
 Rules = tuple[tuple[tuple[int, ...], int], ...]  # columns, and how many bits may differ in them together
@@ -131,8 +132,6 @@ def _spanning(links: list[list[int]]) -> list[tuple[int, int]]:
 
 def link_fingerprints(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``fps(fp)``, distinct, to ``(u, v)``: links whose closure is that of all pairs at ``bits`` or fewer differing bits."""
-    if bits > MAX_BITS:
-        raise ValueError(f"the balls cover {MAX_BITS} differing bits")
     return _linked(fps.select(F.col("fp").alias("node"), F.col("fp").alias("m0")), RADII, (((0,), bits),))
 
 
@@ -181,18 +180,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest id reachable over links of ``bits`` or fewer differing bits,
-    the row's own included. Null and empty texts have fingerprint zero and link like any other.
+    the row's own included. Texts of any length are taken whole. Null and empty texts have fingerprint zero and link like any other.
     Rows with a null id keep their row; they take the component of their fingerprint, null only
     if no row in it has an id. Repeated rows are returned as often as they occur. An empty table
     gives an empty result; other columns of ``docs`` are not looked at.
     """
+    if bits > MAX_BITS:
+        raise ValueError(f"the balls cover {MAX_BITS} differing bits")
     marked = cut(fingerprints(docs, id_col, text_col, k))
     # As text: ids and counts by fingerprint are combined before the exchange, so copies cost a row a task.
     folded = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    labels = connected_components(link_fingerprints(folded.select("fp"), bits))
-    placed = folded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = placed.join(lowest, "label").select("fp", "component_id")
+    if folded.where("low IS NULL").isEmpty():
+        # Fingerprints are linked under their smallest ids, so a component's label is its smallest id.
+        labels = connected_components(_linked(folded.select(F.col("low").alias("node"), F.col("fp").alias("m0")), RADII, (((0,), bits),)))
+        by_fp = folded.join(labels, F.col("node") == F.col("low"), "left").select("fp", F.coalesce("label", "low").alias("component_id"))
+    else:
+        labels = connected_components(link_fingerprints(folded.select("fp"), bits))
+        placed = folded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+        lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
+        by_fp = placed.join(lowest, "label").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -200,6 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 NEAR = (4, 5)
 #: Bands of as many minima of the shingles' hashes: two sets at a similarity of 0.8 share a band with probability 0.998, whatever was edited.
 BANDS, BAND_ROWS = 16, 5
+#: Nodes of a group of candidates that meet in one task; hubs of a bucket that a larger group's nodes are compared with; rounds in which labels go along what is linked.
+MEETING, HUBS, ROUNDS = 2000, 4, 2
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -223,10 +231,38 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
     return ((least ^ least >> np.uint64(31)) * mix).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
 
 
+def _packed_set(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, as steps by planes of bytes."""
+    steps = np.diff(np.unique(hashes >> np.uint64(16)), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def _unpacked_set(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets, none of which is empty, are near copies of ``x``."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    low, high = np.minimum(sizes, len(x)), np.maximum(sizes, len(x))
+    out = low * NEAR[1] >= high * NEAR[0]
+    rows = np.flatnonzero(out)
+    step = max(1, (1 << 20) // max(1, 2 * len(x)))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        every = np.concatenate([others[y] for y in some.tolist()])
+        place = np.minimum(np.searchsorted(x, every), len(x) - 1)
+        both = np.add.reduceat((x[place] == every).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+        out[some] = both * NEAR[1] >= (sizes[some] + len(x) - both) * NEAR[0]
+    return out
+
+
 def _near_links(sets: list[np.ndarray], bands: np.ndarray) -> list[tuple[int, int]]:
     """Links (by row) of a spanning forest of rows that share a band and are near copies."""
     links: list[tuple[int, int]] = []
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     bucket_of = [np.unique(b, return_inverse=True)[1] for b in bands]
     buckets = [np.split(np.argsort(b, kind="stable"), np.cumsum(np.bincount(b))[:-1]) for b in bucket_of]
     fresh = np.ones(len(sets), bool)
@@ -243,68 +279,139 @@ def _near_links(sets: list[np.ndarray], bands: np.ndarray) -> list[tuple[int, in
             if not met:
                 continue
             rows = np.unique(np.concatenate(met))
-            low, high = np.minimum(sizes[rows], sizes[x]), np.maximum(sizes[rows], sizes[x])
-            rows = rows[low * NEAR[1] >= high * NEAR[0]]
-            step = max(1, (1 << 20) // max(1, 2 * int(sizes[x])))
-            for at in range(0, len(rows), step):
-                some = rows[at : at + step]
-                every = np.concatenate([sets[y] for y in some])
-                place = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
-                begin = np.cumsum(sizes[some]) - sizes[some]
-                both = np.add.reduceat((sets[x][place] == every).astype(np.int64), begin)
-                found = some[both * NEAR[1] >= (sizes[some] + sizes[x] - both) * NEAR[0]]
-                fresh[found] = False
-                links += ((x, y) for y in found.tolist())
-                front += found.tolist()
+            found = rows[_similar(sets[x], [sets[y] for y in rows.tolist()])]
+            fresh[found] = False
+            links += ((x, y) for y in found.tolist())
+            front += found.tolist()
     return links
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """``doc_id, component_id`` of documents whose distinct word ``k``-shingles have a Jaccard similarity of 0.8 or more.
-
-    Candidates share a band of minima; whatever is joined by candidates meets in one task, where
-    similarities are counted from 64-bit hashes of the shingles. Components and odd rows are as in
-    ``near_duplicates``; documents with equal shingles are folded first.
-    """
+def _met_links(sets: list[np.ndarray], bands: np.ndarray, asked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (by row) of each row that is ``asked`` with every row that shares a band and is a near copy."""
+    links: list[tuple[int, int]] = []
+    for x in np.flatnonzero(asked).tolist():
+        rows = np.flatnonzero((bands == bands[:, x : x + 1]).any(0))
+        rows = rows[rows != x]
+        links += ((x, y) for y in rows[_similar(sets[x], [sets[y] for y in rows.tolist()])].tolist())
+    return links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_hashes(x, k) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                bands = [_bands(x).view(np.int64).tolist() if len(x) else [] for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "node", "bands", "hashes"])
 
-    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>, hashes binary")
-    marked = written(marks, "shingles")
-    folded = cut(marked.groupBy("node").agg(F.min("doc_id").alias("low")))
-    probes = marked.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct()
-    hub = F.min("node").over(Window.partitionBy("bucket"))
-    groups = cut(connected_components(probes.select(F.col("node").alias("u"), hub.alias("v")).where("u <> v").distinct()))
-    asked = marked.join(groups, "node").select(F.col("label").alias("group"), "node", "bands", "hashes")
-    spread = asked.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
+def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Links among ``rows(*keys, node, bands, hashes, asked)`` that have equal keys: those of rows that are asked, or, where ``asked`` is null, a spanning forest of all."""
+    spread = rows.select(*keys, "node", "bands", "hashes", "asked").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, bands, sets = None, [], [], []
+        now, nodes, bands, sets, asked = None, [], [], [], []
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
-                ends = _near_links(sets, np.array(bands, np.int64).T.copy())
+                marks = np.array(bands, np.int64).T.copy()
+                ends = _near_links(sets, marks) if asked[0] is None else _met_links(sets, marks, np.array(asked, bool))
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[u] for u, _ in ends], pa.int64()), pa.array([nodes[v] for _, v in ends], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for g, node, band, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
+            for *key, node, band, hashes, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     yield from out()
-                    group, nodes, bands, sets = g, [], [], []
-                if not nodes or nodes[-1] != node:  # documents with equal shingles follow each other
+                    now, nodes, bands, sets, asked = key, [], [], [], []
+                if nodes and nodes[-1] == node:  # documents with equal shingles follow each other
+                    asked[-1] = asked[-1] or ask
+                else:
                     nodes.append(node)
                     bands.append(band)
-                    sets.append(np.frombuffer(hashes, np.uint64))
+                    sets.append(_unpacked_set(hashes))
+                    asked.append(ask)
         yield from out()
 
-    labels = connected_components(cut(spread.mapInArrow(verify, "u long, v long")))
+    return spread.mapInArrow(freed(verify), "u long, v long")
+
+
+def _large_links(nodes: DataFrame, together: int) -> DataFrame:
+    """Links of large groups of candidates, ``nodes(group, node, bands, hashes)``, whose closure is that of all near copies in them.
+
+    Each node is compared with some hubs of its fullest bucket, and labels go along what is linked;
+    that joins most of a group. What has not the label of a group's largest part is compared with
+    all of the group, in blocks. No task gets more than two blocks of a group.
+    """
+    nodes = written(nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("group", "bands", "hashes")]), "large")
+    probes = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    hubs = probes.groupBy("bucket").agg(F.count("*").alias("n"), F.array(*[F.min_by("node", F.xxhash64("node", F.lit(r))) for r in range(HUBS)]).alias("hubs"))
+    fullest = probes.join(hubs, "bucket").groupBy("node").agg(F.max_by("hubs", F.struct("n", "bucket")).alias("hubs"))
+    asked = fullest.select("node", F.explode(F.array_distinct("hubs")).alias("hub")).where("node <> hub")
+    sets = nodes.select("node", "hashes")
+    both = asked.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("hashes").alias("others")), "hub").select("node", "hub", "hashes", "others")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, known = [], {}
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if b not in known:
+                    known = {b: _unpacked_set(b)}  # a hub's rows follow each other
+                hits.append(bool(_similar(_unpacked_set(a), [known[b]])[0]))
+            yield from pa.Table.from_batches([batch.select([0, 1]).rename_columns(["u", "v"])]).filter(pa.array(hits, pa.bool_())).to_batches()
+
+    links = cut(both.mapInArrow(freed(compare), "u long, v long"))
+    parts = nodes.select("group", "node", F.col("node").alias("part"))
+    ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for _ in range(ROUNDS):
+        least = ends.join(parts.select(F.col("node").alias("v"), "part"), "v").groupBy("u").agg(F.min("part").alias("least"))
+        parts = parts.join(least, F.col("node") == F.col("u"), "left").select("group", "node", F.least("part", "least").alias("part"))
+    parts = cut(parts)
+    sizes = parts.groupBy("group", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    open_ = main.where("n > most")
+    if open_.isEmpty():
+        return links
+    rows = nodes.join(parts.select("node", "part"), "node").join(open_, "group").withColumn("asked", F.col("part") != F.col("main"))
+    blocks, lists = F.ceil(F.col("n") / together).cast("int"), F.ceil((F.col("n") - F.col("most")) / together).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = rows.select("*", F.array(of(blocks)).alias("in"), F.sequence(F.lit(0), lists - 1).alias("by"), F.lit(False).alias("ask"))
+    query = rows.where("asked").select("*", F.sequence(F.lit(0), blocks - 1).alias("in"), F.array(of(lists)).alias("by"), F.lit(True).alias("ask"))
+    dealt = every.unionByName(query).drop("asked").withColumnRenamed("ask", "asked").withColumn("in", F.explode("in")).withColumn("by", F.explode("by"))
+    return links.unionByName(_met(dealt, ["group", "in", "by"]))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, together: int = MEETING) -> DataFrame:
+    """``doc_id, component_id`` of documents whose distinct word ``k``-shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates share a band of minima. What candidates join, up to ``together`` of it, meets in one
+    task, larger groups in blocks; similarities are counted from 48 bits of the shingles' hashes.
+    Components and odd rows are as in
+    ``near_duplicates``; documents with equal shingles are folded first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_hashes(x, k) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                # Copies in one task tell their shingles once.
+                first = [n for n in dict.fromkeys(nodes.tolist()) if n not in told]
+                told.update(first)
+                mine = dict.fromkeys(first, True)
+                fresh = [mine.pop(n, False) and len(x) > 0 for n, x in zip(nodes.tolist(), sets, strict=True)]
+                bands = [_bands(x).view(np.int64).tolist() if f else None for f, x in zip(fresh, sets, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(bands, pa.list_(pa.int64())), pa.array([_packed_set(x) if f else None for f, x in zip(fresh, sets, strict=True)], pa.binary())], ["doc_id", "node", "bands", "hashes"])
+
+    marks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), "doc_id long, node long, bands array<long>, hashes binary")
+    marked = written(marks, "shingles")
+    folded = cut(marked.groupBy("node").agg(F.min("doc_id").alias("low")))
+    probes = marked.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct()
+    # A node and the hubs of its buckets are joined to the smallest of those hubs: that many nodes share few hubs keeps links few.
+    hubs = probes.join(probes.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    least = hubs.select("node", "hubs", F.array_min("hubs").alias("v"))
+    ends = least.select("node", "v").unionByName(least.select(F.explode("hubs").alias("node"), "v"))
+    groups = cut(connected_components(ends.select(F.col("node").alias("u"), "v").where("u <> v").distinct()))
+    sizes = cut(groups.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > together))
+    asked = marked.where("hashes IS NOT NULL").join(groups, "node").select(F.col("label").alias("group"), "node", "bands", "hashes", F.lit(None).cast("boolean").alias("asked"))
+    if sizes.isEmpty():
+        links = _met(asked, ["group"])
+    else:
+        large = sizes.select(F.col("label").alias("group"))
+        links = _met(asked.join(large, "group", "left_anti"), ["group"]).unionByName(_large_links(asked.join(large, "group", "left_semi").drop("asked"), together))
+    labels = connected_components(cut(links))
     placed = folded.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     lowest = placed.groupBy("label").agg(F.min("low").alias("component_id"))
     return marked.select("doc_id", "node").join(placed.join(lowest, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
@@ -314,9 +421,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, whole, without those whose component of ``near_copies`` has a smaller id; a repeated id keeps one row, rows without an id stay."""
     grouped = near_copies(docs, id_col, text_col, k)
     judged = cut(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("n")))
-    gone = judged.where("low < doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = judged.where("low < doc_id").select("doc_id")
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
     if judged.where("n > 1").isEmpty():
         return kept
-    named = kept.where(F.col(id_col).isNotNull())
-    return named.dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    named = kept.where(F.col(f"`{id_col}`").isNotNull())
+    return named.dropDuplicates([id_col]).unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
