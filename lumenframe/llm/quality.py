@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freed
 
 #: Labelled rows that a fit looks at: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -58,7 +58,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = np.array([statistics(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], float).reshape(batch.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T)], ["doc_id", *STATISTICS])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS))
 
 
 Condition = tuple[int, bool, float]  # statistic, whether above, threshold
@@ -151,11 +151,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, pen
     return RuleModel(intercept, [(rule, float(b)) for rule, b in zip(ordered, beta.tolist(), strict=True) if abs(b) > 1e-6])
 
 
+def _sampled(labels: DataFrame, sample: int, id_col: str, label_col: str, folds: int) -> DataFrame:
+    """``doc_id, label`` of at most ``sample`` labelled rows outside the held-out fold."""
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").where(_fold(folds) != 0)
+    return marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+
+
 def fit_quality(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> RuleModel:
     """The rules for documents whose ``with_statistics`` is ``stats``, from at most ``sample`` labelled rows outside the held-out fold."""
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").where(_fold(folds) != 0)
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = stats.join(some, "doc_id").orderBy("doc_id", "label").select(*STATISTICS, "label").limit(2 * sample).toPandas()
+    rows = stats.join(_sampled(labels, sample, id_col, label_col, folds), "doc_id").orderBy("doc_id", "label").select(*STATISTICS, "label").limit(2 * sample).toPandas()
     data = rows.to_numpy(float).reshape(-1, len(STATISTICS) + 1)
     return fit_rules(data[:, :-1], data[:, -1])
 
@@ -170,7 +174,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     Fitted on at most ``sample`` labelled rows, none of which has crc32(id as text) mod ``folds``
     equal to 0; such rows are ``held_out``, rows with a null id are not. Null and empty texts are
     scored from their (zero) statistics. Without labels every score is 0.5. Labels of unknown
-    documents, null labels and further columns are ignored; repeated rows are scored each.
+    documents, null labels and further columns are ignored, whatever their names; repeated rows are
+    scored each, and several labels of one id all count. Texts of any length are measured whole.
     """
     stats = cut(with_statistics(docs, id_col, text_col))
     held_out = F.coalesce(_fold(folds) == 0, F.lit(False))
@@ -180,11 +185,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> DataFrame:
     """The rows of ``docs``, whole, whose score is ``threshold`` or more; fitted and scored as in ``quality_scores``."""
-    model = fit_quality(cut(with_statistics(docs, id_col, text_col)), labels, sample, id_col, label_col, folds)
+    # Only what the fit looks at is measured for it: at most ``sample`` ids, which all tasks are told.
+    wanted = F.broadcast(_sampled(labels, sample, id_col, label_col, folds).select(F.col("doc_id").alias("wanted")).distinct())
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").cast("long") == F.col("wanted"), "left_semi")
+    model = fit_quality(with_statistics(known, "id", "text"), labels, sample, id_col, label_col, folds)
 
     @F.arrow_udf(", ".join(f"{c} double" for c in STATISTICS))
     def measured(texts: pa.Array) -> pa.Array:
         rows = np.array([statistics(x) for x in texts.cast(pa.binary()).to_pylist()], float).reshape(len(texts), len(STATISTICS))
         return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(STATISTICS))
 
-    return docs.withColumn("_measured", measured(F.col(text_col))).where(model.column("_measured.") >= threshold).drop("_measured")
+    name = "measured"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return docs.withColumn(name, measured(F.col(text_col))).where(model.column(f"{name}.") >= threshold).drop(name)
