@@ -193,10 +193,29 @@ TEXTS = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", " \n", "'s", "'re
 def test_ids_and_prefix_counts(bpe, library, text):
     ids = lambda t: library.encode(t, add_special_tokens=False).ids
     assert bpe.ids(text).tolist() == ids(text)
-    bpe.learn_texts([text])
     assert bpe.prefix_counts(text).tolist() == [len(ids(text[: i + 1])) for i in range(len(text))]
 
 
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(TEXTS, max_size=8))
+def test_many_texts_at_once(bpe, library, texts):
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    assert [x.tolist() for x in bpe.ids_of(texts)] == [ids(t) for t in texts]
+    assert [x.tolist() for x in bpe.prefix_counts_of(texts)] == [[len(ids(t[: i + 1])) for i in range(len(t))] for t in texts]
+
+
+def test_very_long_texts_and_units(bpe, library, monkeypatch):
+    monkeypatch.setattr("lumenframe.llm.bpe.LONG", 50)
+    monkeypatch.setattr("lumenframe.llm.bpe.REMEMBERED", 30)
+    rng = random.Random(4)
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    for _ in range(20):
+        text = "".join(rng.choice(["word ", "it's ", "é", " ", "\n", "12", "x" * 60, "ab ", "<|endoftext|>"]) for _ in range(120))
+        assert bpe.ids(text).tolist() == ids(text) == bpe.ids_of([text, "a b"])[0].tolist()
+        counts = bpe.prefix_counts(text)
+        assert len(counts) == len(text) and all(counts[i] == len(ids(text[: i + 1])) for i in range(0, len(text), 7))
+
+
 def test_token_counts(spark, odd, library):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(odd, 50).collect())
     n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
@@ -252,6 +271,52 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
+def brute_urls(pages, rules, rounds=12):
+    parsed = []
+    for page, url, html in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        parsed.append((page, host, path, max(fits, key=lambda r: (len(r.text), r.text), default=None), html))
+    edges = {(h, d.lower()) for _, h, _, _, html in parsed if h for d in re.findall(r'href="https?://([^/?#"]+)', html or "") if d.lower() != h}
+    votes = defaultdict(int)
+    for _, h, _, r, _ in parsed:
+        if r and h:
+            votes[h] += 1 if r.verdict == "allow" else -1
+
+    def rank(edges, seeds):
+        out, mass = defaultdict(list), {h: 0.15 / len(seeds) for h in seeds}
+        for a, b in edges:
+            out[a].append(b)
+        for _ in range(rounds):
+            new = defaultdict(float, {h: 0.15 / len(seeds) for h in seeds})
+            for h, m in mass.items():
+                for b in out[h]:
+                    new[b] += 0.85 * m / len(out[h])
+            mass = new
+        return mass
+
+    trust, distrust = rank(edges, [h for h, n in votes.items() if n > 0]), rank({(b, a) for a, b in edges}, [h for h, n in votes.items() if n < 0])
+    return sorted((p or -1, h, path, r.text if r else "", r.verdict if r else "block" if distrust.get(h, 0) > trust.get(h, 0) + 1e-12 else "allow") for p, h, path, r, _ in parsed)
+
+
+def test_url_verdicts(spark, monkeypatch):
+    rng = random.Random(6)
+    hosts = ["a.example.org", "example.org", "b.com", "X.b.com", "c.net", "d.net", "e.net", "f.net", "g.de"]
+    for links in (0, 1, 3):
+        pages = []
+        for n in range(80):
+            url = f"http://{rng.choice(hosts)}{rng.choice(['/es/1', '/en/1x', '/fr/', '/de/2?q#r', '/', ''])}"
+            pages.append((rng.choice([n, None, 5]), rng.choice([url, url, url, None, "no"]), "".join(f'<a href="https://{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, links)))))
+        df = spark.createDataFrame([(*p, "x", "y", 1) for p in pages], "page_id long, url string, html string, host string, rule string, row int").repartition(3)
+        want = brute_urls(pages, urlfilter.RULES)
+        for compiled in (200, 0):
+            monkeypatch.setattr(urlfilter, "COMPILED", compiled)
+            got = urlfilter.filter_urls(df).collect()
+            assert sorted((r.page_id or -1, r.host, r.path, r.rule or "", r.verdict) for r in got) == want
+            assert links > 1 or {r.verdict for r in got if r.host == "c.net"} <= {"allow", "block"}
+
+
 def test_link_graph(spark):
     pages = [(1, "http://good.org/", '<a href="http://friend.net/">'), (2, "http://bad.com/de/", ""), (3, "http://farm.net/", '<a href=//bad.com/x> <a href="https://bad.com/y">'), (4, "http://friend.net/", '<a href="/local">'), (5, "http://alone.net/", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -292,10 +357,25 @@ def test_top_k(spark):
             best = sorted((-int(v @ w), i) for i, w in good if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for block in (64, 8192):
-        assert sorted(tuple(r) for r in topk.top_k(df, block=block, chunk=3).collect()) == sorted(want)
+        assert sorted(tuple(r) for r in topk.top_k(df, block=block, least=block).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [-3e38, 0.0]), (3, [1e6, 1e6]), (50, [1e6, 1e6])], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df).collect()}
+    most = (1 << 63) - 1
+    assert got[0, 1] == got[0, 3] == most and got[0, 2] == -most - 1 and got[50, 3] == 2 * int(256 * 1e6) ** 2
+
+
+def test_top_k_with_many_equal_rows_and_clashing_names(spark):
+    rows = [(n % 3 + 1, [float(n % 5), 1.0], 1, 1, 1) for n in range(300)] + [(50, [1.0, 1.0], 1, 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, asks int, v int").repartition(3)
+    got = topk.top_k(df, block=32, least=32).collect()
+    want = sorted((-int(256 * v[0] * 256 + 256 * 256), i) for i, v, *_ in rows if i != 50)[:5]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(50, k + 1, i, -x) for k, (x, i) in enumerate(want)]
+
+
 def test_top_k_query(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
@@ -349,6 +429,48 @@ def test_leaks(spark, odd):
     assert decontam.find_leaks(odd, strange).count() == 0 and decontam.find_leaks(docs.limit(0), items).count() == 0
 
 
+LETTERS = st.sampled_from("abé日 ")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(LETTERS, min_size=1, max_size=90), st.text(LETTERS, max_size=150)), min_size=1, max_size=6))
+def test_many_distances_at_once(pairs):
+    best, end = decontam.infix_distances(*map(list, zip(*pairs, strict=True)))
+    assert list(zip(best.tolist(), end.tolist(), strict=True)) == [decontam.infix_distance(p, t) for p, t in pairs]
+
+
+def edited(rng, text, share):
+    s = list(text)
+    for _ in range(int(share * len(text))):
+        at, how = rng.randrange(len(s)), rng.random()
+        s[at : at + (how < 0.67)] = rng.choice("abcdefgh ") if how > 0.33 else ""
+    return "".join(s)
+
+
+def test_recall_by_length_and_edits():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: decontam.normalised(" ".join(rng.choice(words) for _ in range(n))[:n])
+    for n, least in ((6, 1), (10, 1), (20, 1), (45, 1), (79, 1), (90, 0.75), (120, 0.85), (200, 0.9), (400, 0.9)):
+        items = [decontam.Item(i, text(n)) for i in range(60)]
+        finder = decontam.Finder(items, 0.8)
+        for share in (0, 0.1, 0.15, 0.2):
+            texts = [decontam.normalised(f"{text(200)} {edited(rng, i.text, share)} {text(200)}") for i in items]
+            found = {(t, i): e for t, i, e, *_ in finder.matches(texts)}
+            assert all(e == decontam.infix_distance(items[i].text, texts[t])[0] for (t, i), e in list(found.items())[:20])
+            within = [k for k, i in enumerate(items) if decontam.infix_distance(i.text, texts[k])[0] <= finder.allowed[k]]
+            assert sum((k, k) in found for k in within) >= (least if share == 0.2 else 1 if share == 0 else max(0.9, least * (n < 80))) * len(within), (n, share)
+
+
+def test_scripts_without_spaces():
+    rng = random.Random(2)
+    text = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items = [decontam.Item(i, text(90)) for i in range(10)]
+    texts = [text(100) + edited(rng, i.text, share) + text(100) for share in (0, 0.1) for i in items]
+    found = {(t, i) for t, i, *_ in decontam.Finder(items, 0.8).matches(texts)}
+    assert all((t, t % 10) in found for t in range(20))
+
+
 # ---- 7 quality
 
 
@@ -386,17 +508,59 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def brute_licenses(text, k=3, slack=3, least=0.7):
+    w = licenses.template_words(text or "")
+    labels, score = set(), 0.0
+    for label, template in licenses.TEMPLATES:
+        t = licenses.template_words(template)
+        held = defaultdict(set)
+        for at in range(len(w) - k + 1):
+            for place in range(len(t) - k + 1):
+                if w[at : at + k] == t[place : place + k]:
+                    held[at - place].add(place)
+        for d in held:
+            share = len(set().union(*(held[e] for e in range(d, d + slack + 1) if e in held))) / (len(t) - k + 1)
+            if share >= least:
+                labels.add(label)
+                score = max(score, share)
+    base = {x for p, x in licenses.PHRASES if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+    return ",".join(sorted(labels | base)), round(score or float(bool(base)), 9)
+
+
+def test_license_spans(spark, monkeypatch):
+    rng = random.Random(8)
+    bsd = licenses.template_words(next(t for label, t in licenses.TEMPLATES if label == "bsd"))
+    parted = " x ".join(" ".join(bsd[i : i + 3]) for i in range(len(bsd) - 2))  # every k-gram, none in its place
+    texts = [parted, " ".join(bsd), " ".join(bsd) + " and " + licenses.TEMPLATES[0][1], "a " * 5000 + licenses.TEMPLATES[2][1] + " b" * 5000 + " " + licenses.TEMPLATES[5][1]]
+    for _ in range(40):  # words left out, put in and changed
+        words = []
+        for w in licenses.template_words(rng.choice(licenses.TEMPLATES)[1]) * rng.choice([1, 1, 2]):
+            words += rng.choices([[w], [], [w, "new"], ["other"]], [30, 1, 1, 1])[0]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(n, t, 1, "x", "y") for n, t in enumerate(texts)], "doc_id long, text string, row int, gram string, words string").repartition(3)
+    for listed in (licenses.LISTED, 0):
+        monkeypatch.setattr(licenses, "LISTED", listed)
+        got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(df).collect()}
+        assert got == {n: brute_licenses(t) for n, t in enumerate(texts)}
+        assert got[0] == ("", 0.0) and got[1][0] == "bsd" and got[3][0] == "apache,mit"
+
+
 # ---- 10 language model
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60, unique=True), st.lists(st.integers(0, (1 << 64) - 1), max_size=20))
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=200, unique=True), st.lists(st.integers(0, (1 << 64) - 1), max_size=20))
 def test_elias_fano(values, others):
     v = np.array(sorted(values), np.uint64)
     ef = EliasFano(np.frombuffer(EliasFano.encode(v), np.uint8))
     where = {x: i for i, x in enumerate(sorted(values))}
     asked = values + others
     assert ef.find(np.array(asked, np.uint64)).tolist() == [where.get(x, -1) for x in asked]
+    assert ef.all().tolist() == sorted(values)
+    for x in asked[:20]:  # few values are searched by buckets
+        assert ef.find(np.array([x], np.uint64)).tolist() == [where.get(x, -1)]
+    for i in range(0, len(values), 7):
+        assert ef.get(np.array([i])).tolist() == [sorted(values)[i]]
 
 
 def test_scores(spark, odd):
@@ -466,6 +630,23 @@ def test_three_levels(spark):
         assert r.score == pytest.approx(score([None, *dict(rows)[r.doc_id].split(), "\n"]), abs=0.01)
 
 
+def test_texts_in_parts(spark, odd):
+    for df in (odd, documents(spark)):
+        rows = [sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngramlm.train_and_score(df, together=n).collect()) for n in (1 << 20, 900)]
+        for a, b in zip(*rows, strict=True):
+            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-4)
+
+
+def test_counts_beyond_two_bytes_and_levels_in_shards():
+    rng = np.random.default_rng(3)
+    hi, lo = rng.integers(0, 1 << 40, 5000, np.uint64), rng.integers(0, 1 << 30, 5000, np.uint64)
+    run = ngramlm._summed([(hi, lo, np.full(5000, 70_000)), (hi[:9], lo[:9], np.full(9, 1 << 33))])
+    made = list(ngramlm._shards(run, run[2] * 2, 1 << 30))
+    assert len(made) > 1 and sum(m[2] for m in made) == len(run[0]) and sum(m[3] for m in made) == run[2].sum()
+    order = np.lexsort((lo, hi))
+    assert (ngramlm._order(hi << np.uint64(20), lo << np.uint64(30)) == order).all()
+
+
 def test_thresholds_do_not_grow_with_the_input(spark):
     held = next(i for i in range(100) if held_out(i, 10))
     ids = [i for i in range(100) if not held_out(i, 10)]
@@ -494,6 +675,47 @@ def test_near_copies(spark):
     assert all(got[i] == i for i in range(60))
 
 
+def test_large_groups_of_near_copies_meet_in_blocks(spark):
+    rng = random.Random(21)
+    rows = []
+    for family in range(2):
+        text = ["w" + str(rng.randrange(5000)) for _ in range(200)]
+        for i in range(60):  # a drifting chain, of which only neighbours are near copies
+            rows.append(list(text))
+            at = rng.randrange(0, 190)
+            text[at : at + 12] = ["f" + str(rng.randrange(10**6)) for _ in range(12 if i != 30 else 5)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    groups = [{r.doc_id: r.component_id for r in simhash.near_copies(df, together=n).collect()} for n in (simhash.MEETING, 7)]
+    assert groups[0] == groups[1] and len(set(groups[0].values())) < 20
+
+
+def test_clashing_columns(spark):
+    names = ["_gone", "_measured", "measured", "_", "none", "low", "node", "rest", "row", "score", "found", "item_id"]
+    texts = ["one two three four five six seven", None, "", "x " * 400, "one two three four five six seven"]
+    rows = [(n, t, *range(len(names))) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    whole = [tuple(r) for r in docs.collect()]
+    assert [tuple(r) for r in quality.keep_good(docs, labels, threshold=0.0).sort("doc_id").collect()] == whole
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [0, 1, 3] and simhash.keep_one_of_each(docs).columns == docs.columns
+    done = suffixdedup.remove_repeats(docs, 64, keep_text=True)
+    assert sorted(r.rest["_"] for r in done.collect()) == [3] * 5
+    assert [tuple(r) for r in decontam.drop_leaks(docs, labels.selectExpr("doc_id AS item_id", "'nothing like it at all' AS text")).sort("doc_id").collect()] == whole
+    assert packing.pack_documents(docs).count() == tokencount.count_tokens(docs).count() == ngramlm.train_and_score(docs).count() == simhash.near_duplicates(docs).count() == 5
+
+
+def test_equal_rows_are_packed_in_many_shards(spark):
+    docs = spark.range(0, 1000, 1, 1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    got = packing.pack_documents(docs, capacity=16, shard=50).groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()
+    assert len(got) == 20 and max(r["count"] for r in got) < 120
+
+
+def test_packed_sets():
+    for n in (0, 1, 2, 500):
+        x = np.unique(np.random.default_rng(n).integers(0, (1 << 64) - 1, n, np.uint64))
+        assert (simhash._unpacked_set(simhash._packed_set(x)) == np.unique(x >> np.uint64(16))).all()
+
+
 def test_near_copies_by_kind_of_edit(spark):
     rng = random.Random(12)
     words = ["w" + str(rng.randrange(9000)) for _ in range(9000)]
