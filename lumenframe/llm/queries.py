@@ -14,6 +14,7 @@ from .simhash import near_duplicates
 from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 from .topk import top_k
+from .turns import repair
 from .urlfilter import filter_urls
 
 
@@ -57,6 +58,10 @@ def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_scores": op10_ngram_scores,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 #: DuckDB SQL for those that SQL can express.
