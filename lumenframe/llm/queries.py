@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import find_leaks
+from .htmltext import extract_text
 from .licenses import scan_licenses
 from .ngramlm import train_and_score
 from .packing import pack_documents
@@ -62,6 +63,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_ngram_scores": op10_ngram_scores,
     "op11_turn_repair": op11_turn_repair,
+    "op12_html_text": op12_html_text,
 }
 
 #: DuckDB SQL for those that SQL can express.

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from html import unescape
 
 import pytest
 
-from lumenframe.llm import turns
+from lumenframe.llm import htmltext, turns
 
 DATA = "/root/testdata/sf0.001"
 
@@ -153,3 +154,60 @@ def test_long_conversations_in_blocks(spark, monkeypatch):
     for r in parted:
         assert hashlib.sha256("\n".join(f"{t.role}:{t.text}" for t in r.turns or []).encode()).hexdigest() == r.repaired_sha256
         assert re.fullmatch("(s?(ua)+)?", "".join(t.role[:1] for t in r.turns or []))
+
+
+# ---- 12 HTML extraction
+
+
+def article_of(html):
+    """The article of a page as the tables have them, by patterns alone."""
+    body = re.search(r"<article>(.*?)(</article>|<footer>|$)", html, re.S)
+    blocks = re.split(r"</?(?:p|h1|article)>", body[1])
+    return "\n".join(t for t in (" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks) if t)
+
+
+def test_pages(spark):
+    for sf in ("0.001", "0.1"):
+        pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+        got = {r.page_id: r for r in htmltext.extract_text(pages).collect()}
+        for r in pages.collect():
+            assert got[r.page_id].text == article_of(r.html) and got[r.page_id].url == r.url
+            assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+LONG = "This is a sentence of the article that is long enough to be told from menus, as articles have. " * 3
+LAYOUTS = {
+    "plain sections": (
+        "<html><body><div class='top-bar'><div id='mainMenu'><a href=a>Home</a> <a href=b>News of the day</a></div></div><div id=wrap><div class='col sidebar'><p>" + LONG + "</p></div>"
+        "<div class='post-body no-sidebar'><h2>A title &amp; more</h2><p>" + LONG + "<p>Short one.<p>" + LONG + " <a href=x>linked words</a> end.</div><div class=comments><p>" + LONG + "</p></div></div><div class='site-footer'>Imprint</div></body></html>",
+        ["A title & more", LONG.strip(), "Short one.", LONG.strip() + " linked words end."],
+    ),
+    "no sections at all": ("<p><a href=1>One</a><p><a href=2>Two</a><p><a href=3>Three</a><p><a href=4>Four</a><p><a href=4>Five</a><p>" + LONG + "<p>Brief.<p>" + LONG + "<ul><li><a href=5>x</a><li><a href=6>y</a></ul>", [LONG.strip(), "Brief.", LONG.strip()]),
+    "article with all around it": (
+        "<!doctype html><html class=has-comments><head><title>T</title><script>if (a < b) { '<p>no</p>' }</script></head><body class='home with-sidebar'><header><h1>Site</h1><nav><ul><li><a>x</a></ul></nav></header>"
+        "<div role=alert>We use cookies " + LONG + "</div><main><article class=entry><header><h1>Head&shy;line</h1><p>By someone</p></header><p>First&nbsp;words\n\n of it.</p><aside><p>" + LONG + "</p></aside><form><label>Mail</label><input><p>" + LONG + "</p></form>"
+        "<p>Buy<span class='ad-slot'> now cheap</span> less.</p><ul><li>one<li>two</ul><pre>a\n b</pre><blockquote>said <b>so</blockquote><p>&lt;b&gt; &#8364; &unknown; </p><footer>tags</footer></article>"
+        "<section id=comments><article class='comment'><p>" + LONG + "</p></article></section></main><footer>" + LONG + "</footer></body></html>",
+        ["Head­line", "First words of it.", "Buy less.", "one", "two", "a b", "said so", "<b> € &unknown;"],
+    ),
+    "unclosed menu": ("<body><nav><ul><li><a>a</a><li><a>b</a><article><p>Text here.</article>", ["Text here."]),
+    "one paragraph holds most": ("<body><div class=menu>Menu</div><article><div><p>" + LONG * 9 + "</p></div><div><p>Last.</p></div></article></body>", [(LONG * 9).strip(), "Last."]),
+    "hidden parts": ("<div><p>Seen text.</p><div hidden><p>" + LONG + "</p></div><p style='display: none'>x</p><noscript>y</noscript></div>", ["Seen text."]),
+    "nothing": ("<html><body><nav>a</nav><footer>b</footer></body></html>", []),
+    "bare text": ("just words &amp; more", ["just words & more"]),
+    "broken": ("<p>a<![if x]>b</p><![CDATA[c]]><p>d<!-- e", None),
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_layouts(name):
+    html, want = LAYOUTS[name]
+    got = htmltext.main_text(html)
+    assert want is None or got.split("\n") == (want or [""])
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "<p>" + "w " * 300_000), (3, "u", "<" * 3000 + "x"), (4, "u", "<div>" * 3000 + "deep")]
+    got = htmltext.extract_text(spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "page_id long, url string, html string, text int, n_chars string, lines string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 599_999), (3, len(htmltext.main_text(rows[4][2]))), (4, 4)]
+    assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
