@@ -2,15 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
+import duckdb
 import pytest
 
-from lumenframe.llm import htmltext, turns
+from lumenframe.llm import htmltext, resample, turns
+from lumenframe.llm.queries import ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -211,3 +214,68 @@ def test_odd_pages(spark):
     got = htmltext.extract_text(spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "page_id long, url string, html string, text int, n_chars string, lines string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 599_999), (3, len(htmltext.main_text(rows[4][2]))), (4, 4)]
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- 13 importance resampling
+
+
+def brute_sample(docs, target, share=25, low=20):
+    def features(text):
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+        return len(w), [zlib.crc32(f.encode()) % 10_000 for f in [*w, *map(" ".join, itertools.pairwise(w))]]
+
+    every, wanted = [features(t) for _, t in docs], Counter(b for t in target for b in features(t)[1])
+    raw = Counter(b for _, f in every for b in f)
+    S, T = raw.total(), wanted.total()
+    gain = {b: math.floor(1000 * math.log((wanted[b] + 1) * (S + 10_000) / ((raw[b] + 1) * (T + 10_000)))) for b in raw}
+    out = []
+    for (i, _), (n, f) in zip(docs, every, strict=True):
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    fit = sorted((r for r in out if r[4] >= low), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    ranks = defaultdict(list)
+    for k, r in enumerate(fit[: share * len(fit) // 100]):
+        ranks[r].append(k + 1)
+    return sorted((r[0] or -1, *r[1:4], ranks[r].pop(0) if ranks[r] else 0) for r in sorted(out, key=lambda r: (r[0] is None, r[0] or 0)))
+
+
+def sampled(df, target, **how):
+    return sorted((r.doc_id or -1, r.n_features, r.weight, r.score, r["rank"] or 0) for r in resample.resample(df, target, **how).collect())
+
+
+def test_resample(spark):
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, target = [(r.doc_id, r.text) for r in docs.collect()], [r.text for r in items.collect()]
+    want = brute_sample(rows, target)
+    assert sampled(docs, items) == want and sum(r[4] > 0 for r in want) > 20
+    assert sampled(docs.repartition(7), items, together=500) == want
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    twin = con.sql(f"SELECT doc_id, n_features, weight, score, rank FROM ({ORACLE_SQL['op13_resampling']})").fetchall()
+    assert sorted((i or -1, *r, k or 0) for i, *r, k in twin) == want
+
+
+def test_odd_samples(spark):
+    long = "Wör a1 " * 9 + "x" * 5000 + " -- " * 900 + "b c" * 700
+    rows = [(1, None), (2, ""), (3, "- ?"), (None, "a b " * 30), (4, long), (4, long), (5, "A " * 19), (6, "a " * 20), (7, "\x00z\x7f " * 40), *((8, "same words here " * 9),) * 40]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, at int, buckets string, given int").repartition(4)
+    target = spark.createDataFrame([("same words",), (None,)], "text string")
+    for together in (1 << 20, 64):
+        assert sampled(df, target, together=together) == brute_sample(rows, ["same words", None])
+        assert sampled(df, target.limit(0), together=together) == brute_sample(rows, [])
+    assert resample.resample(df.limit(0), target).count() == 0
+    kept = resample.resample(df, target, with_text=True).where("rank IS NOT NULL").collect()
+    assert kept and all((r.doc_id, r.text) in rows for r in kept)
+
+
+def test_parts_share_a_word():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("ab é--") for _ in range(rng.randrange(60)))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        got = [p.split(" ") for p in resample.parts(text, rng.randrange(1, 12))]
+        assert [w for k, p in enumerate(got) for w in p[k > 0 :]] == words
+        assert all(a[-1] == b[0] for a, b in itertools.pairwise(got))
