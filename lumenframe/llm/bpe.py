@@ -27,6 +27,8 @@ REMEMBERED, SHORT = 400_000, 48
 LONG = 1 << 22
 #: The pattern of the byte-level pre-tokenizer (fixed by the tokenizer's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the pattern's ``\s`` holds for, which is not all that ``str.isspace`` does (U+001C to U+001F). A piece is white space if it ends so.
+SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Pieces of up to so many bytes are worked on together.
 BATCH_BYTES = 40
 BASE, MIX, MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), (1 << 64) - 1
@@ -219,7 +221,7 @@ class ByteBpe:
                 out.append(None)
                 continue
             rows = [pieces.get(p.encode()) for p in ps]
-            if len(ps) <= 2 and rows[0] is not None and rows[-1] is not None and not ps[0].isspace() and ps[-1] not in CONTRACTIONS:
+            if len(ps) <= 2 and rows[0] is not None and rows[-1] is not None and ps[0][-1] not in SPACES and ps[-1] not in CONTRACTIONS:
                 out.append(rows[0] if len(ps) == 1 else rows[0] + bytes([rows[0][-1] + c for c in rows[1]]))
             else:
                 out.append(bytes(self._unit(" " + u)))
@@ -242,9 +244,9 @@ class ByteBpe:
                 counts = [counts[0], self._piece("'")[0] + self._piece(piece[1])[0], counts[2]]
             done = len(out)  # beyond start, if a run of white space reached into this piece
             out += [before + c for c in counts[max(0, done - start) :]]
-            if piece.isspace() and end < len(unit):
+            if piece[-1] in SPACES and end < len(unit):
                 stop = end
-                while stop < len(unit) and unit[stop].isspace():
+                while stop < len(unit) and unit[stop] in SPACES:
                     stop += 1
                 if stop > end and stop > len(out):
                     run = self._piece(unit[start:stop])
