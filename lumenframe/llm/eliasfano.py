@@ -111,12 +111,16 @@ class EliasFano:
         bit = i * self.width
         return (self.windows[bit >> 3] >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 if it is not there: the successor within its bucket of high bits."""
+    def sparse(self, asked: int) -> bool:
+        """Whether so few values are searched by buckets."""
+        return asked * DENSE < self.n
+
+    def find(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Index of each value, -1 if it is not there: the successor within its bucket of high bits, and between places where these are given."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
-        if len(values) * DENSE >= self.n:
+        if not self.sparse(len(values)):
             entries = self.all()
             at = np.minimum(np.searchsorted(entries, values), self.n - 1)
             return np.where(entries[at] == values, at, out)
@@ -130,6 +134,8 @@ class EliasFano:
         lo = np.zeros(len(live), np.int64)
         later = np.flatnonzero(h)
         lo[later] = self._select0(h[later] - 1) - (h[later] - 1)
+        if within is not None:
+            lo, hi = np.maximum(lo, within[0][live]), np.minimum(hi, within[1][live])
         end = hi.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):

@@ -48,6 +48,8 @@ GATHERED, RANGE, SAMPLE = 1 << 20, 3 << 19, 2048
 SAMPLED, MOST_BYTES = (8, 1000), 200 << 30
 #: Probabilities are kept as 16-bit steps of their logarithm, counts in 16 bits with a list of those beyond.
 STEPS, WIDE = 4000.0, 65535
+#: Shares that contexts' children use are kept in these parts of one.
+SHARE = float(1 << 52)
 _ZERO, _ONE = np.uint64(0), np.uint64(1)
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 CHUNK_SCHEMA = "row array<long>, doc_id array<long>, held_out array<boolean>, size array<int>, lead int, opens boolean, ends boolean, codes binary, hashes binary, counts binary"
@@ -249,25 +251,25 @@ def _shards(run: Run, context_counts: np.ndarray | None, radix: int) -> Iterator
     for a, b in zip(begin := np.flatnonzero(np.concatenate(([True], apart[1:] != apart[:-1]))).tolist(), [*begin[1:], len(hi)], strict=True):
         h, w, c = hi[a:b], lo[a:b], n[a:b]
         wide = np.flatnonzero(c >= WIDE)
-        head = np.array([len(h), len(wide), int(h[-1] - h[0]) + 1], "<u8").tobytes()
+        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        head = np.array([len(h), len(wide), len(edge)], "<u8").tobytes()
         parts = [head, EliasFano.encode((h - h[0]) * np.uint64(radix) + w), _padded(np.minimum(c, WIDE).astype("<u2").tobytes()), wide.astype("<i8").tobytes(), c[wide].astype("<u8").tobytes()]
         if context_counts is not None:
             t = np.maximum(context_counts[a:b], c)
             terms = np.minimum(65535, np.rint(-STEPS * np.log10(np.maximum(c - DISCOUNT, 1e-3) / t)))
-            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            left = np.ones(int(h[-1] - h[0]) + 1)
-            left[(h[edge] - h[0]).astype(np.int64)] = 1 - np.add.reduceat(10 ** (-terms / STEPS), edge)
-            pointers = np.searchsorted(h - h[0], np.arange(len(left) + 1, dtype=np.uint64)).astype(np.uint64)
-            parts += [_padded(terms.astype("<u2").tobytes()), _padded(np.minimum(65535, np.rint(-STEPS * np.log10(np.maximum(left, 1e-16)))).astype("<u2").tobytes()), EliasFano.encode(pointers)]
+            # Whole numbers of the last place of a double: a context that goes on in the next shard sums to the same, wherever it is parted.
+            used = np.add.reduceat(np.rint(SHARE * 10 ** (-terms / STEPS)).astype(np.int64), edge)
+            pointers = np.concatenate((edge, [len(h)])).astype(np.uint64)
+            parts += [_padded(terms.astype("<u2").tobytes()), used.astype("<i8").tobytes(), EliasFano.encode(h[edge] - h[0]), EliasFano.encode(pointers)]
         yield int(h[0]), int(w[0]), b - a, int(c.sum()), b"".join(parts)
 
 
 class Shard:
-    """A mapped shard: values relative to the first context, counts, and, above words, logarithms, each context's share left to the level below, and pointers to its children."""
+    """A mapped shard: values relative to the first context, counts, and, above words, logarithms, and for each context that occurs the share its children use and a pointer to them."""
 
     def __init__(self, path: str, above: bool):
         raw = np.memmap(path, np.uint8, "r")
-        n, wide, self.span = raw[:24].view("<u8").tolist()
+        n, wide, contexts = raw[:24].view("<u8").tolist()
         self.keys = EliasFano(raw[24:])
         at = 24 + self.keys.nbytes
 
@@ -279,8 +281,9 @@ class Shard:
 
         self.counts, self.wide, self.more = taken(n, "<u2"), taken(wide, "<i8"), taken(wide, "<u8")
         if above:
-            self.terms, self.left = taken(n, "<u2"), taken(self.span, "<u2")
-            self.pointers = EliasFano(raw[at:])
+            self.terms, self.used = taken(n, "<u2"), taken(contexts, "<i8")
+            self.contexts = EliasFano(raw[at:])
+            self.pointers = EliasFano(raw[at + self.contexts.nbytes :])
 
     def count(self, at: np.ndarray) -> np.ndarray:
         out = self.counts[at].astype(np.int64)
@@ -307,13 +310,15 @@ class MappedLevel:
             if a == b:
                 continue
             context = hi[a:b] - first
-            at = np.flatnonzero(context < shard.span)
-            if self.above and len(at):  # only contexts with children are searched
-                edge = np.flatnonzero(np.concatenate(([True], context[at][1:] != context[at][:-1])))
-                own = context[at][edge].astype(np.int64)
-                ends = shard.pointers.get(np.concatenate((own, own + 1)))
-                at = at[np.repeat(ends[len(own) :] > ends[: len(own)], np.diff(np.concatenate((edge, [len(at)]))))]
-            got = shard.keys.find(context[at] * self.radix + lo[a:b][at])
+            at, within = np.arange(b - a), None
+            if self.above:  # only contexts with children are searched, among these
+                edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+                own, sizes = shard.contexts.find(context[edge]), np.diff(np.concatenate((edge, [b - a])))
+                at, own, sizes = at[np.repeat(own >= 0, sizes)], own[own >= 0], sizes[own >= 0]
+                if shard.keys.sparse(len(at)):
+                    ends = shard.pointers.get(np.concatenate((own, own + 1))).astype(np.int64)
+                    within = (np.repeat(ends[: len(own)], sizes), np.repeat(ends[len(own) :], sizes))
+            got = shard.keys.find(context[at] * self.radix + lo[a:b][at], within)
             at, got = at[got >= 0], got[got >= 0]
             place[a + at] = got + ahead
             if self.above:
@@ -331,9 +336,9 @@ class MappedLevel:
 
     def left(self, contexts: np.ndarray) -> np.ndarray:
         """Share that each context leaves to the level below; a context may go on in the next shard, contexts that are -1 leave all."""
-        out = np.ones(len(contexts))
+        used = np.zeros(len(contexts), np.int64)
         if not self.shards:
-            return out
+            return np.ones(len(contexts))
         asked = contexts.astype(np.uint64)
         # Shards that may hold a context: from the last that begins before it to the last that begins with it.
         low = np.maximum(0, np.searchsorted(self.first[0], asked, side="left") - 1)
@@ -346,11 +351,10 @@ class MappedLevel:
                 if a == b:
                     continue
                 at = order[a:b]
-                place = asked[at] - self.first[0][k]
-                at, place = at[place < self.shards[k].span], place[place < self.shards[k].span]
-                out[at] -= 1 - 10 ** (self.shards[k].left[place.astype(np.int64)] / -STEPS)
+                own = self.shards[k].contexts.find(asked[at] - self.first[0][k])
+                used[at[own >= 0]] += self.shards[k].used[own[own >= 0]]
             low[order] += 1
-        return np.maximum(1e-9, out)
+        return np.maximum(1e-9, 1 - used / SHARE)
 
 
 def _laid_out(files: tuple[str, ...]) -> list[tuple[int, int, int, str]]:

@@ -185,7 +185,7 @@ def test_loser_tree(runs):
 # ---- 3 and 8 tokens
 
 
-TEXTS = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", " \n", "'s", "'re", "'ll", "é", "日本", "12", ".", "!!", "\xa0", "<|endoftext|>", "<|", "👍", "\r\n", "ing"]), max_size=14).map("".join) | st.text(max_size=30)
+TEXTS = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", " \n", "'s", "'re", "'ll", "é", "日本", "12", ".", "!!", "\xa0", "\x1c", "\x1d\x1e", "\x1f", "\x0b", "\x85", "\u2028", "\x00", "\x7f", "<|endoftext|>", "<|", "👍", "\r\n", "ing"]), max_size=14).map("".join) | st.text(max_size=30)
 
 
 @settings(max_examples=200, deadline=None)
@@ -204,6 +204,17 @@ def test_many_texts_at_once(bpe, library, texts):
     assert [x.tolist() for x in bpe.prefix_counts_of(texts)] == [[len(ids(t[: i + 1])) for i in range(len(t))] for t in texts]
 
 
+def test_control_characters(bpe, library):
+    rng = random.Random(6)
+    alphabet = [chr(c) for c in (*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x200B, 0x3000, 0xFEFF)] + ["a", "1", ".", "'s"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 8))) for _ in range(20_000)] + ["\x0b\n\n\x1c", "\xa0\xa0\x1c"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [int(c[-1]) for c in bpe.prefix_counts_of(texts)] == want
+    assert [len(x) for x in bpe.ids_of(texts)] == want
+    for text in texts[:1500]:
+        assert bpe.prefix_counts(text).tolist() == [len(library.encode(text[: i + 1], add_special_tokens=False).ids) for i in range(len(text))]
+
+
 def test_very_long_texts_and_units(bpe, library, monkeypatch):
     monkeypatch.setattr("lumenframe.llm.bpe.LONG", 50)
     monkeypatch.setattr("lumenframe.llm.bpe.REMEMBERED", 30)
@@ -637,6 +648,36 @@ def test_texts_in_parts(spark, odd):
             assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-4)
 
 
+def test_scores_do_not_depend_on_chunks_or_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    some = None
+    for parts, together in ((1, 8 << 20), (6, 50_000), (3, 700)):
+        got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in ngramlm.train_and_score(docs.repartition(parts), together=together).collect()}
+        some = some or got
+        assert {i: g[:2] for i, g in got.items()} == {i: g[:2] for i, g in some.items()}
+        assert max(abs(got[i][2] - some[i][2]) / abs(some[i][2]) for i in some) < 1e-9
+
+
+def test_a_context_may_be_parted_between_shards(tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    hi, lo = np.sort(rng.choice(np.array([3, 4, 9, 1 << 34], np.uint64), 4000)), rng.integers(0, 3000, 4000, np.uint64)
+    run = ngramlm._summed([(hi, lo, rng.integers(2, 90, 4000))])
+    told = []
+    for n in (1, 2, 4, 50):
+        rows = []
+        for k, at in enumerate(np.array_split(np.arange(len(run[0])), n)):
+            for first, word, size, _, blob in ngramlm._shards(tuple(x[at] for x in run), np.full(len(at), 1 << 18), 3001):
+                rows.append((first, word, size, str(tmp_path / f"{n}-{k}-{len(rows)}")))
+                with open(rows[-1][3], "wb") as out:
+                    out.write(blob)
+        monkeypatch.setattr(ngramlm, "_laid_out", lambda files, rows=rows: sorted(rows))
+        level = ngramlm.MappedLevel(ngramlm.Level(("x",), len(run[0]), 1), 3001)
+        assert (level.find(run[0], run[1])[0] == np.arange(len(run[0]))).all()
+        assert level.find(run[0][:3], run[1][:3] + np.uint64(1))[0].max() < len(run[0])
+        told.append(level.left(np.array([3, 4, 5, 9, 1 << 34, -1, (1 << 34) + 1])))
+    assert all((t == told[0]).all() for t in told) and told[0][2] == told[0][5] == told[0][6] == 1 and (told[0][[0, 1, 3, 4]] < 1).all()
+
+
 def test_counts_beyond_two_bytes_and_levels_in_shards():
     rng = np.random.default_rng(3)
     hi, lo = rng.integers(0, 1 << 40, 5000, np.uint64), rng.integers(0, 1 << 30, 5000, np.uint64)
