@@ -37,7 +37,12 @@ def term_statistics(post: DataFrame) -> DataFrame:
     """``token, df, idf``: negative weights become a share of the mean weight."""
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     n = F.broadcast(corpus_statistics(post).select("n"))  # one row
-    raw = df.join(n).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return weights_of(df.join(n), F.col("n"))
+
+
+def weights_of(df: DataFrame, n: Column) -> DataFrame:
+    """The same of ``df(token, df)`` among ``n`` texts."""
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
     return raw.join(mean).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import providers as P
 from ..functions import text as N
 from ..operators import align as A
+from ..operators import blockmax as M
 from ..operators import dense as D
 from ..operators import fusion as R
 from ..operators import objects as O
@@ -76,7 +77,8 @@ def candidates(queries: DataFrame, corpus: Corpus, options: Options, encoder=P.h
     weights = known.select("query_id", "task", dense_weight.alias("dw"), sparse_weight.alias("sw"))
     dense, series = D.dense_search(corpus.frames, prompt_vectors(known, encoder), options.dense_k)
     words = F.when((F.col("task") == "qa") & F.lit(options.question_in_keywords), F.concat_ws(" ", "query", "question")).otherwise(F.col("query"))
-    sparse = B.sparse_search(corpus.media, known.select("query_id", words.alias("query")), options.sparse_k)
+    asked = known.select("query_id", words.alias("query"))
+    sparse = M.block_max_search(M.block_index(corpus.media), B.query_terms(asked), options.sparse_k)[0] if options.sparse_k else B.sparse_search(corpus.media, asked)
     fused = R.fused_order(R.reciprocal_rank_fusion(dense.join(weights, "query_id"), sparse.join(weights, "query_id"), F.col("dw"), F.col("sw")))
     ranked = fused.select("query_id", "video_id", "rank", "rrf_score")
     if options.object_boost and corpus.detections is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as X
 from ..functions.text import raw_words, tokens, tokens_of
 from ..operators import align as A
+from ..operators import blockmax as M
 from ..operators import dense as D
 from ..operators import fusion as R
 from ..operators import objects as O
@@ -166,7 +167,8 @@ def b3(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("B7_bm25_topk", f"WITH {BM25_SQL} SELECT query_id, rank, video_id, round(score, 5) AS score FROM sparse WHERE rank <= 20")
 def b7(spark: SparkSession, sf: str) -> DataFrame:
-    top = B.sparse_search(T.media(spark, sf), T.text_queries(spark, sf), 20, tokens(F.col("query")))
+    asked = B.query_terms(T.text_queries(spark, sf), tokens(F.col("query")))
+    top = M.block_max_search(M.block_index(T.media(spark, sf)), asked, 20)[0]
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", F.round("score", 5).alias("score"))
 
 

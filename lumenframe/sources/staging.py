@@ -27,3 +27,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows cross to Python in batches of bounded size, however wide they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def partitions(spark: SparkSession) -> int:
+    """Tasks of a shuffle, as the session is set."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
