@@ -134,8 +134,8 @@ def _walk(mean: float, k: int, first: bool) -> Callable[[pa.Table], pa.Table]:
         begins = np.cumsum(m) - m  # of each row's blocks, among all rows'
         blocks, sizes, most, least = (numbers[_ranges(base + 2 * n + k * m, m)] for k in range(4))
         tops, block_range = _impact(most, least, mean), int(blocks.max(initial=0)) + 1
-        before = np.cumsum(sizes) - sizes
-        posting = base[of_block] + before - np.repeat(before[np.minimum(begins, len(before) - 1)], m)  # where each block's postings begin
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        posting = base[of_block] + before[:-1] - np.repeat(before[begins], m)  # where each block's postings begin
         flat = column["asked"].flatten()
         asked, weights, floors = flat.field(0).dictionary_encode(), flat.field(1).to_numpy(), flat.field(2).to_numpy(zero_copy_only=False)
         of_row = np.repeat(np.arange(data.num_rows), column["asked"].value_lengths().to_numpy())
@@ -177,13 +177,13 @@ def _walk(mean: float, k: int, first: bool) -> Callable[[pa.Table], pa.Table]:
             keep = found >= floor - MARGIN
             out.append((q, found_docs[keep], found[keep]))
             looked.append((q, read, int(sizes[part].sum())))
-        names = pa.array(np.concatenate((np.repeat([q for q, *_ in out], [len(d) for _, d, _ in out]), [q for q, *_ in looked])).astype(np.int32))
-        n = sum(len(d) for _, d, _ in out)
-        place = pa.array(np.concatenate([d for _, d, _ in out]).astype(np.int32)) if n else pa.array([], pa.int32())
+        names = pa.array([q for q, d, _ in out for _ in d] + [q for q, *_ in looked], pa.int32())
+        place = pa.array([x for _, d, _ in out for x in d.tolist()], pa.int32())
+        n = len(place)
         none = pa.nulls(n, pa.int64())
         return pa.table({
             "query_id": asked.dictionary.take(names), "video_id": pa.concat_arrays([ids.take(place), pa.nulls(len(looked), ids.type)]),
-            "score": pa.concat_arrays([pa.array(np.concatenate([s for *_, s in out]) if n else np.empty(0)), pa.nulls(len(looked), pa.float64())]),
+            "score": pa.array([x for *_, s in out for x in s.tolist()] + [None] * len(looked), pa.float64()),
             "read": pa.concat_arrays([none, pa.array([r for _, r, _ in looked], pa.int64())]), "postings": pa.concat_arrays([none, pa.array([p for *_, p in looked], pa.int64())]),
         })
 
