@@ -10,10 +10,12 @@ from ..functions.text import raw_words, tokens, tokens_of
 from ..operators import align as A
 from ..operators import blockmax as M
 from ..operators import dense as D
+from ..operators import framepass as P
 from ..operators import fusion as R
 from ..operators import objects as O
 from ..operators import select as S
 from ..operators import sparse as B
+from ..sources.staging import staged
 from . import tables as T
 
 QUERIES: dict = {}
@@ -91,16 +93,18 @@ def _similarity(spark: SparkSession, sf: str) -> DataFrame:
     return D.similarity(T.frames(spark, sf), T.prompts(spark, sf))
 
 
-def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return D.fused_prompts(_similarity(spark, sf))
+def _dense(spark: SparkSession, sf: str, k: int | None = None) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """Ranked videos, and the blocks and prompts that series are made of."""
+    blocks, files = P.frame_blocks(T.frames(spark, sf)), P.ship_prompts(T.prompts(spark, sf))
+    return P.top_videos(blocks, files, k), blocks, files
 
 
-def _dense(spark: SparkSession, sf: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    return D.dense_search(T.frames(spark, sf), T.prompts(spark, sf), k)
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    return P.frame_series(P.frame_blocks(T.frames(spark, sf)), P.ship_prompts(T.prompts(spark, sf)))
 
 
 def _gauss(spark: SparkSession, sf: str) -> DataFrame:
-    return S.gaussian_smoothed(_fused(spark, sf))
+    return S.gaussian_smoothed(_series(spark, sf).drop("smooth"))
 
 
 @register("D4_similarity", f"WITH {T.SIMILARITY_SQL} SELECT query_id, prompt_idx, video_id, frame_idx, round(score, 6) AS score FROM sims")
@@ -110,17 +114,17 @@ def d4(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("D5_prompt_fusion", f"WITH {T.SIMILARITY_SQL} SELECT query_id, video_id, frame_idx, round(score, 6) AS score FROM fused")
 def d5(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(_fused(spark, sf), "score")
+    return r6(_series(spark, sf).drop("smooth"), "score")
 
 
 @register("D6_smooth5", f"WITH {SMOOTH_SQL} SELECT query_id, video_id, frame_idx, round(score, 6) AS score, round(smooth, 6) AS smooth FROM smooth")
 def d6(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(D.smoothed(_fused(spark, sf)), "score", "smooth")
+    return r6(_series(spark, sf), "score", "smooth")
 
 
 @register("D7_video_peak", f"WITH {PEAKS_SQL} SELECT query_id, video_id, best_frame, n_frames, round(score, 6) AS score FROM peaks")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(D.video_peaks(D.smoothed(_fused(spark, sf))), "score")
+    return r6(P.peaks_of(P.frame_blocks(T.frames(spark, sf)), P.ship_prompts(T.prompts(spark, sf))), "score")
 
 
 @register("D8_topk_videos", f"WITH {PEAKS_SQL} SELECT query_id, rank, video_id, best_frame, round(score, 6) AS score FROM dense WHERE rank <= 5")
@@ -130,8 +134,9 @@ def d8(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("D9_frame_series", f"WITH {PEAKS_SQL} SELECT query_id, rank, video_id, frame_idx, round(s.score, 6) AS score FROM dense d JOIN smooth s USING (query_id, video_id) WHERE rank <= 3")
 def d9(spark: SparkSession, sf: str) -> DataFrame:
-    hits, series = _dense(spark, sf, 3)
-    return r6(hits.select("query_id", "video_id", F.col("rank").cast("long").alias("rank")).join(series.select("query_id", "video_id", "frame_idx", "score"), ["query_id", "video_id"]), "score")
+    hits, blocks, files = _dense(spark, sf, 3)
+    hits = staged(hits.select("query_id", "video_id", F.col("rank").cast("long").alias("rank")), "hits")
+    return r6(hits.join(P.frame_series(blocks, files, hits).drop("smooth"), ["query_id", "video_id"]), "score")
 
 
 @register("D11_knn", f"""WITH {T.SIMILARITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, prompt_idx ORDER BY round(score, 6) DESC, video_id || '/' || lpad(CAST(frame_idx AS VARCHAR), 8, '0')) AS rank FROM sims WHERE prompt_idx = 0)
@@ -188,8 +193,8 @@ def _video_queries(spark: SparkSession, sf: str) -> DataFrame:
     return T.text_queries(spark, sf).select(F.concat(F.lit("q"), "query_id").alias("query_id"), "query")
 
 
-def _rrf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    dense, series = _dense(spark, sf)
+def _rrf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, tuple[str, ...]]]:
+    dense, *series = _dense(spark, sf)
     sparse = B.sparse_search(T.media_of_videos(spark, sf), _video_queries(spark, sf), None, tokens(F.col("query")))
     return R.reciprocal_rank_fusion(dense, sparse, 0.75, 0.25), dense, series
 
@@ -285,8 +290,10 @@ final AS (SELECT *, before + coalesce(bonus * gate, 0) AS rrf FROM boosted)"""
 
 
 def _boosted(spark: SparkSession, sf: str) -> DataFrame:
-    fused, _, series = _rrf(spark, sf)
-    return O.boost(R.fused_order(fused), series, T.detections(spark, sf), _targets(spark, sf))
+    fused, _, (blocks, files) = _rrf(spark, sf)
+    ranked = staged(R.fused_order(fused), "ranked")
+    series = P.frame_series(blocks, files, ranked.where(F.col("rank") <= O.BOOSTED))
+    return O.boost(ranked, series, T.detections(spark, sf), _targets(spark, sf))
 
 
 @register("O3_weights", f"SELECT entity, {WEIGHT_SQL.format('entity')}::DOUBLE AS weight FROM (SELECT DISTINCT event_type AS entity FROM events UNION SELECT * FROM (VALUES ('person'), ('bowl'), ('dog'), ('hat')) t(entity))")

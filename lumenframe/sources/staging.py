@@ -37,3 +37,11 @@ def bounded_batches(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session is set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shipped(df: DataFrame, name: str) -> tuple[str, ...]:
+    """``df`` written to the shared folder, and its files fetched by every executor; their names, for ``SparkFiles``."""
+    files = sorted(staged(df, name).inputFiles())
+    for f in files:
+        df.sparkSession.sparkContext.addFile(f)
+    return tuple(f.rpartition("/")[2] for f in files)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.text import tokens
 from lumenframe.operators import blockmax as M
+from lumenframe.operators import dense as D
+from lumenframe.operators import framepass as P
 from lumenframe.operators import sparse as B
 
 
@@ -48,3 +50,60 @@ def test_block_max_search_with_repeated_words_and_nothing_to_find(spark, common_
     assert [r.query_id for r in walk.collect()] == ["q"]
     assert M.block_max_search(M.block_index(media.limit(0)), terms, 3)[0].count() == 0
     assert M.block_max_search(M.block_index(media), terms.limit(0), 3)[0].count() == 0
+
+
+# ---- one pass over frames
+
+
+@pytest.fixture(scope="module")
+def long_videos(spark):
+    """Videos around the bounds of a block, of one to three frames, a frame without a vector and one of another length."""
+    rng = np.random.default_rng(3)
+    sizes = [P.CHUNK - 1, P.CHUNK, P.CHUNK + 1, P.CHUNK + 2, 2 * P.CHUNK + 3, 1, 2, 3, 40]
+    rows = [(f"v{v}", i, x.tolist()) for v, n in enumerate(sizes) for i, x in enumerate(rng.normal(size=(n, 6)).astype("f4"))]
+    rows += [("odd", 0, None), ("odd", 1, [1.0] * 6), ("odd", 2, [0.0] * 6), ("odd", 3, [1.0] * 5), ("odd", 4, [2.0, 0.0, 1.0, 0.0, 0.0, 1.0])]
+    frames = spark.createDataFrame(rows, "video_id string, frame_idx int, embedding array<float>").repartition(6)
+    prompts = spark.createDataFrame([(f"q{q}", p, rng.normal(size=6).tolist()) for q in range(15) for p in range(1 + q % 4)], "query_id string, prompt_idx int, embedding array<double>")
+    return frames, prompts
+
+
+def near(a, b):
+    assert len(a) == len(b)
+    for x, y in zip(a, b, strict=True):
+        assert x[:-1] == y[:-1] and (x[-1] == y[-1] or x[-1] == pytest.approx(y[-1], abs=1e-9)), (x, y)
+
+
+def test_one_pass_equals_the_chain_of_windows(spark, long_videos):
+    frames, prompts = long_videos
+    hits, series = D.dense_search(frames, prompts, 3)
+    want = sorted((r.query_id, r["rank"], r.video_id, r.best_frame, r.n_frames, r.score) for r in hits.collect())
+    blocks, files = P.frame_blocks(frames), P.ship_prompts(prompts)
+    got = P.top_videos(blocks, files, 3)
+    near(sorted((r.query_id, r["rank"], r.video_id, r.best_frame, r.n_frames, r.score) for r in got.collect()), want)
+    every = sorted((r.query_id, r.video_id, r.best_frame, r.n_frames, r.score or 0) for r in D.video_peaks(series).collect())
+    near(sorted((r.query_id, r.video_id, r.best_frame, r.n_frames, r.score or 0) for r in P.peaks_of(blocks, files).collect()), every)
+    pairs = spark.createDataFrame([("q1", "v4"), ("q14", "v4"), ("q3", "v7"), ("q3", "odd"), ("q0", "none"), ("none", "v1")], "query_id string, video_id string")
+    for column in ("score", "smooth"):
+        told = sorted((r.query_id, r.video_id, r.frame_idx, r[column] or 0) for r in series.join(pairs, ["query_id", "video_id"]).collect())
+        near(sorted((r.query_id, r.video_id, r.frame_idx, r[column] or 0) for r in P.frame_series(blocks, files, pairs).collect()), told)
+
+
+def test_best_videos_are_all_that_is_exchanged(spark, long_videos, capsys):
+    frames, prompts = long_videos
+    top = P.top_videos(P.frame_blocks(frames.where("frame_idx < 40").repartition("video_id")), P.ship_prompts(prompts), 2)
+    top.explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow (") and "Exchange hashpartitioning" not in plan.split("MapInArrow")[0]
+    assert top.groupBy("query_id").count().where("count <> 2").isEmpty()
+
+
+def test_prompts_of_many_queries_come_in_blocks(spark, long_videos, monkeypatch):
+    frames, _ = long_videos
+    rng = np.random.default_rng(5)
+    prompts = spark.createDataFrame([(f"q{q:05}", p, rng.normal(size=6).tolist()) for q in range(2500) for p in range(3)], "query_id string, prompt_idx int, embedding array<double>")
+    some = frames.where("video_id IN ('v5', 'v6', 'v7', 'odd')")
+    files = P.ship_prompts(prompts.coalesce(1))
+    got = P.peaks_of(P.frame_blocks(some), files).collect()
+    assert len(got) == 2500 * 4
+    want = {(r.query_id, r.video_id): r.score for r in D.video_peaks(D.smoothed(D.fused_prompts(D.similarity(some, prompts)))).collect()}
+    assert all((r.score or 0) == pytest.approx(want[r.query_id, r.video_id] or 0, abs=1e-9) for r in got)
