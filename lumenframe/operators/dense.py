@@ -136,7 +136,7 @@ def video_peaks(smooth: DataFrame) -> DataFrame:
     return best.select("query_id", "video_id", F.col("b.frame_idx").alias("best_frame"), F.when(F.col("n_frames") >= 3, mixed).otherwise(F.col("b.score")).alias("score"), "n_frames")
 
 
-def ranked(df: DataFrame, score: str = "score", k: int | None = None, by: str = "query_id", tie: str = "video_id", digits: int = 6) -> DataFrame:
+def ranked(df: DataFrame, score: str = "score", k: int | None = None, by: str | list[str] = "query_id", tie: str = "video_id", digits: int = 6) -> DataFrame:
     """``rank`` from 1 by the rounded score, ties by id; a limit becomes a per-group top-k in the plan."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round(score, digits)), tie)
     out = df.withColumn("rank", F.row_number().over(order))
@@ -148,7 +148,3 @@ def dense_search(frames: DataFrame, prompts: DataFrame, k: int | None = None) ->
     frame_scores = smoothed(fused_prompts(similarity(frames, prompts)))
     return ranked(video_peaks(frame_scores), k=k), frame_scores
 
-
-def nearest(frames: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k most similar frames of every query vector ``queries(query_id, prompt_idx, embedding)``."""
-    return ranked(similarity(frames, queries).withColumn("frame", F.concat_ws("/", "video_id", F.lpad(F.col("frame_idx").cast("string"), 8, "0"))), k=k, tie="frame").drop("frame")

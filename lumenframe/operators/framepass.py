@@ -28,7 +28,7 @@ CHUNK, HALO, MOST_SCORES, HELD = 1024, len(KERNEL) // 2, 1 << 21, 1 << 16
 #: Scores are ranked by six digits, peaks by nine.
 DIGITS, PEAK_DIGITS = 6, 9
 
-PromptBlock = tuple[list[str], np.ndarray, np.ndarray]  # queries, where their prompts begin, unit vectors
+PromptBlock = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]  # queries, where their prompts begin, unit vectors, prompts' numbers
 
 
 def frame_blocks(frames: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def _read_blocks(files: tuple[str, ...]) -> Iterator[PromptBlock]:
         whole = pa.Table.from_batches(rows)
         names = whole.column("query_id").to_pylist()
         starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
-        return [names[i] for i in starts], np.array(starts), np.array(whole.column("embedding").to_pylist(), float)
+        return [names[i] for i in starts], np.array(starts), np.array(whole.column("embedding").to_pylist(), float), whole.column("prompt_idx").to_numpy()
 
     for name in files:
         held: list[pa.RecordBatch] = []
@@ -113,7 +113,7 @@ class Frames:
 
     def fused(self, a: int, z: int, block: PromptBlock) -> tuple[np.ndarray, np.ndarray]:
         """Frames by queries: half the best and half the mean of the prompts' scores, and the smoothed series."""
-        _, starts, matrix = block
+        _, starts, matrix, _ = block
         low, high = self.starts[a], self.starts[z - 1] + self.sizes[z - 1]
         vectors = self.vectors.slice(low, high - low)
         fits = pc.equal(vectors.value_lengths(), matrix.shape[1]).fill_null(False).to_numpy(zero_copy_only=False)
@@ -236,7 +236,7 @@ def frame_series(blocks: DataFrame, files: tuple[str, ...], pairs: DataFrame | N
             frames = Frames(batch)
             asked = batch.column(3) if batch.num_columns > 3 else None
             for block in prompt_blocks(files):
-                names, starts, matrix = block
+                names, starts, matrix, numbers = block
                 ends = np.append(starts, len(matrix))
                 for a, z in frames.ranges(len(matrix)) if asked is None else ((s, s + 1) for s in range(batch.num_rows)):
                     part = block
@@ -245,7 +245,7 @@ def frame_series(blocks: DataFrame, files: tuple[str, ...], pairs: DataFrame | N
                         if not len(mine):
                             continue
                         sizes = ends[mine + 1] - starts[mine]
-                        part = [names[i] for i in mine], np.cumsum(sizes) - sizes, np.concatenate([matrix[starts[i] : ends[i + 1]] for i in mine])
+                        part = [names[i] for i in mine], np.cumsum(sizes) - sizes, np.concatenate([matrix[starts[i] : ends[i + 1]] for i in mine]), numbers
                     raw, smooth = frames.fused(a, z, part)
                     base = int(frames.starts[a])
                     own = np.flatnonzero(frames.own[base : base + len(raw)])

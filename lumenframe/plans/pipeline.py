@@ -12,6 +12,7 @@ from ..functions import text as N
 from ..operators import align as A
 from ..operators import blockmax as M
 from ..operators import dense as D
+from ..operators import framepass as W
 from ..operators import fusion as R
 from ..operators import objects as O
 from ..operators import rerank as V
@@ -33,13 +34,15 @@ class Options:
     verify: bool = True
     diverse_answers: bool = True
     padding_answer: str | None = None
+    #: Whether what only the keyword search found has frame scores too.
+    sparse_frames: bool = True
 
 
 #: The drivers: local evaluation, full batch, plain export, interactive search.
-LOCAL = Options(20, 20, True, False, False, False, False, False, "none")
+LOCAL = Options(20, 20, True, False, False, False, False, False, "none", False)
 BATCH = Options()
-EXPORT = Options(30, 30, True, False, False, False, False, False, None)
-INTERACTIVE = Options(10, 10, False, False, False, False, False, False, None)
+EXPORT = Options(30, 30, True, False, False, False, False, False, None, False)
+INTERACTIVE = Options(10, 10, False, False, False, False, False, False, None, False)
 
 
 @dataclass(frozen=True)
@@ -75,12 +78,15 @@ def candidates(queries: DataFrame, corpus: Corpus, options: Options, encoder=P.h
     known = understood(queries)
     dense_weight, sparse_weight = _weights(options)
     weights = known.select("query_id", "task", dense_weight.alias("dw"), sparse_weight.alias("sw"))
-    dense, series = D.dense_search(corpus.frames, prompt_vectors(known, encoder), options.dense_k)
+    blocks, files = W.frame_blocks(corpus.frames), W.ship_prompts(prompt_vectors(known, encoder))
+    dense = staged(W.top_videos(blocks, files, options.dense_k), "dense")
     words = F.when((F.col("task") == "qa") & F.lit(options.question_in_keywords), F.concat_ws(" ", "query", "question")).otherwise(F.col("query"))
     asked = known.select("query_id", words.alias("query"))
     sparse = M.block_max_search(M.block_index(corpus.media), B.query_terms(asked), options.sparse_k)[0] if options.sparse_k else B.sparse_search(corpus.media, asked)
     fused = R.fused_order(R.reciprocal_rank_fusion(dense.join(weights, "query_id"), sparse.join(weights, "query_id"), F.col("dw"), F.col("sw")))
-    ranked = fused.select("query_id", "video_id", "rank", "rrf_score")
+    ranked = staged(fused.select("query_id", "video_id", "rank", "rrf_score"), "fused")
+    seen = ranked if options.sparse_frames else ranked.join(dense, ["query_id", "video_id"], "left_semi")
+    series = staged(W.frame_series(blocks, files, seen.select("query_id", "video_id")), "series")
     if options.object_boost and corpus.detections is not None:
         targets = known.select("query_id", F.explode(O.target_entities(F.concat_ws(" ", "query", "english"))).alias("entity"))
         boosted = O.reordered(O.boost(ranked, series, corpus.detections, targets))
@@ -108,7 +114,7 @@ def predictions(queries: DataFrame, corpus: Corpus, options: Options = BATCH, en
     get frames, questions the answer of the best of four videos, event sequences a frame an event.
     """
     ranked, series = candidates(queries, corpus, options, encoder)
-    ranked, series = staged(ranked, "ranked"), staged(series, "series")
+    ranked = staged(ranked, "ranked")
     none, no_frames = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     out = scenes(ranked, series, corpus).select(F.lit("kis").alias("task"), "query_id", "rank", "video_id", "frame_id", none.alias("answer"), no_frames.alias("frame_ids"))
     asked = ranked.where("task = 'qa'").where(F.col("rank") <= V.ANSWERED).join(queries.select("query_id", "question"), "query_id")

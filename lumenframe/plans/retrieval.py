@@ -12,6 +12,7 @@ from ..operators import blockmax as M
 from ..operators import dense as D
 from ..operators import framepass as P
 from ..operators import fusion as R
+from ..operators import nearest as K
 from ..operators import objects as O
 from ..operators import select as S
 from ..operators import sparse as B
@@ -139,11 +140,11 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
     return r6(hits.join(P.frame_series(blocks, files, hits).drop("smooth"), ["query_id", "video_id"]), "score")
 
 
-@register("D11_knn", f"""WITH {T.SIMILARITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, prompt_idx ORDER BY round(score, 6) DESC, video_id || '/' || lpad(CAST(frame_idx AS VARCHAR), 8, '0')) AS rank FROM sims WHERE prompt_idx = 0)
-    SELECT query_id, rank, video_id, frame_idx, round(score, 6) AS score FROM r WHERE rank <= 10""")
+@register("D11_knn", f"""WITH {T.SIMILARITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, prompt_idx ORDER BY round(score, 6) DESC, video_id || '/' || lpad(CAST(frame_idx AS VARCHAR), 8, '0')) AS rank FROM sims)
+    SELECT query_id, prompt_idx, rank, video_id, frame_idx, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def d11(spark: SparkSession, sf: str) -> DataFrame:
-    near = D.nearest(T.frames(spark, sf), T.prompts(spark, sf).where("prompt_idx = 0"), 10)
-    return r6(near, "score").select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", "frame_idx", "score")
+    near = K.nearest(K.pivot_index(T.frames(spark, sf)), T.prompts(spark, sf), 10)[0]
+    return r6(near, "score").select("query_id", "prompt_idx", F.col("rank").cast("long").alias("rank"), "video_id", "frame_idx", "score")
 
 
 # ---- keywords

@@ -8,6 +8,7 @@ from lumenframe.functions.text import tokens
 from lumenframe.operators import blockmax as M
 from lumenframe.operators import dense as D
 from lumenframe.operators import framepass as P
+from lumenframe.operators import nearest as K
 from lumenframe.operators import sparse as B
 
 
@@ -107,3 +108,38 @@ def test_prompts_of_many_queries_come_in_blocks(spark, long_videos, monkeypatch)
     assert len(got) == 2500 * 4
     want = {(r.query_id, r.video_id): r.score for r in D.video_peaks(D.smoothed(D.fused_prompts(D.similarity(some, prompts)))).collect()}
     assert all((r.score or 0) == pytest.approx(want[r.query_id, r.video_id] or 0, abs=1e-9) for r in got)
+
+
+# ---- nearest frames
+
+
+def test_nearest_frames_are_exact_and_few_blocks_are_opened(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 12_000)] + 0.25 * rng.normal(size=(12_000, 24))).astype("f4")
+    x[100:160] = x[99]  # ties
+    frames = spark.createDataFrame([(f"v{i % 50}", i // 50, v.tolist()) for i, v in enumerate(x)] + [("none", 0, None), ("none", 1, [1.0, 2.0])], "video_id string, frame_idx int, embedding array<float>").repartition(5)
+    asked = [(f"q{i}", p, (x[rng.integers(0, 12_000)] + 0.1 * rng.normal(size=24)).tolist()) for i in range(25) for p in range(2)] + [("tie", 0, x[99].tolist())]
+    queries = spark.createDataFrame(asked, "query_id string, prompt_idx int, embedding array<double>")
+    index = K.pivot_index(frames)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    names = np.array([f"v{i % 50}/{i // 50:08}" for i in range(12_000)])
+    for k in (1, 15):
+        found, opened = K.nearest(index, queries, k)
+        got = {}
+        for r in found.collect():
+            got.setdefault((r.query_id, r.prompt_idx), {})[r["rank"]] = (f"{r.video_id}/{r.frame_idx:08}", round(r.score, 6))
+        for q, p, v in asked:
+            score = np.round(unit @ (np.array(v) / np.sqrt(np.dot(v, v))), 6)
+            order = sorted(range(12_000), key=lambda i: (-score[i], names[i]))[:k]
+            assert [got[q, p][n + 1] for n in range(k)] == [(names[i], pytest.approx(score[i], abs=2e-6)) for i in order]
+        assert opened.count() < 0.25 * index.blocks.count() * len(asked)
+    assert index.blocks.agg(F.sum("n"), F.max("n")).first() == (12_000, K.BLOCK)
+
+
+def test_nearest_of_few_and_no_frames(spark):
+    frames = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 0.0]), ("b", 0, [0.0, 2.0])], "video_id string, frame_idx int, embedding array<float>")
+    queries = spark.createDataFrame([("q", 0, [1.0, 1.0]), ("q", 3, [3.0, 0.0])], "query_id string, prompt_idx int, embedding array<double>")
+    got = [(r.prompt_idx, r["rank"], r.video_id, r.frame_idx, round(r.score, 6)) for r in K.nearest(K.pivot_index(frames), queries, 2)[0].orderBy("prompt_idx", "rank").collect()]
+    assert got == [(0, 1, "a", 0, 0.707107), (0, 2, "b", 0, 0.707107), (3, 1, "a", 0, 1.0), (3, 2, "a", 1, 0.0)]
+    assert K.nearest(K.pivot_index(frames.limit(0)), queries, 2)[0].count() == 0
