@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
-from ..functions.text import contains_any, word_in
+from ..functions.text import contains_any
 from ..sources.staging import staged
+from .keywords import keyword_hits
 
 BOOSTED, FRAMES = 30, 12
 #: No weight reaches it, so the bonus for a matched subject is never paid; kept as the rule is stated.
 TIER1_MATCH_THRESHOLD = 4.0
 
 
-def _applies(text: Column, keyword: str) -> Column:
-    fits = word_in(text, keyword)
-    if keyword in X.HOMONYMS:
-        others, cues = X.HOMONYMS[keyword]
-        fits = fits & ~(contains_any(text, others) & ~contains_any(text, cues))
-    return fits
+def targets(texts: DataFrame) -> DataFrame:
+    """``query_id, entity``: distinct classes that ``texts(query_id, text)`` ask for, by keyword and by English class names.
+
+    A keyword of several meanings is no hit where only others of them are spoken of.
+    """
+    lexicon = lexicon_table(texts.sparkSession)
+    classes = [c for c in X.CLASSES if re.fullmatch("[a-z]{3,}", c)]
+    words = texts.sparkSession.createDataFrame([(c,) for c in classes], "keyword string")
+    hits = keyword_hits(texts, lexicon.select("keyword").unionByName(words))
+    low = F.lower("text")
+    other = [F.when(contains_any(low, others) & ~contains_any(low, cues), keyword) for keyword, (others, cues) in X.HOMONYMS.items()]
+    meant = hits.join(texts.select("query_id", F.explode(F.array_compact(F.array(*other))).alias("keyword")), ["query_id", "keyword"], "left_anti")
+    named = meant.join(lexicon, "keyword").select("query_id", "entity")
+    return named.unionByName(hits.where(F.col("keyword").isin(*classes)).select("query_id", F.col("keyword").alias("entity"))).distinct()
 
 
-def target_entities(text: Column) -> Column:
-    """Sorted distinct classes that a text asks for: by keyword, and by English class names."""
-    low = F.lower(text)
-    named = [F.when(_applies(low, k), F.array(*[F.lit(c.lower()) for c in classes])).otherwise(F.array().cast("array<string>")) for k, classes in X.ENTITIES.items()]
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), 1), lambda w: w.isin(*X.CLASSES))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.array(*named)), words)))
+def target_lists(texts: DataFrame) -> DataFrame:
+    """``query_id, entities``: the same as a sorted list for every text."""
+    found = targets(texts).groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    return texts.select("query_id").join(found, "query_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
 def saliency(entity: Column) -> Column:
@@ -46,13 +55,6 @@ def lexicon_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, e.lower()) for k, es in X.ENTITIES.items() for e in es], "keyword string, entity string")
 
 
-def keyword_hits(texts: DataFrame, keywords: list[str]) -> DataFrame:
-    """``query_id, keyword`` for every keyword that stands in ``texts(query_id, text)``: one scan, no join on a pattern."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(word_in(low, k), k) for k in keywords]))
-    return texts.select("query_id", F.explode(found).alias("keyword"))
-
-
 def boost(candidates: DataFrame, frame_scores: DataFrame, detections: DataFrame, targets: DataFrame) -> DataFrame:
     """Candidates with detections of target classes gain, those without a wanted subject lose.
 

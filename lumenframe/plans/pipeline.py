@@ -88,7 +88,7 @@ def candidates(queries: DataFrame, corpus: Corpus, options: Options, encoder=P.h
     seen = ranked if options.sparse_frames else ranked.join(dense, ["query_id", "video_id"], "left_semi")
     series = staged(W.frame_series(blocks, files, seen.select("query_id", "video_id")), "series")
     if options.object_boost and corpus.detections is not None:
-        targets = known.select("query_id", F.explode(O.target_entities(F.concat_ws(" ", "query", "english"))).alias("entity"))
+        targets = O.targets(known.select("query_id", F.concat_ws(" ", "query", "english").alias("text")))
         boosted = O.reordered(O.boost(ranked, series, corpus.detections, targets))
         ranked = boosted.select("query_id", "video_id", F.col("new_rank").alias("rank"), "rrf_score")
     ranked = ranked.join(weights.select("query_id", "task"), "query_id")

@@ -15,6 +15,7 @@ from ..functions import text as N
 from ..operators import evaluate as E
 from ..operators import objects as O
 from ..operators import rerank as V
+from ..operators.keywords import keyword_hits
 from ..sources import files as S
 from ..sources import items as I
 from ..sources import sinks as K
@@ -286,18 +287,54 @@ ASKED = ((1, "Một con chó và người phụ nữ đi xe đạp"), (2, "đàn
     (4, []), (5, ["art", "sculpture", "statue"]), (6, ["cup", "dog"]), (7, []),
 ))
 def o1(spark: SparkSession, sf: str) -> DataFrame:
-    return given(spark, "query_id int, text string", *ASKED).select("query_id", O.target_entities(F.col("text")).alias("entities"))
+    return O.target_lists(given(spark, "query_id int, text string", *ASKED))
 
 
 @register("O4_tiers", expected("query_id, tier1, tier2, tier3", (1, ["bicycle", "carnivore", "dog", "mammal"], [], ["animal", "person", "vehicle", "woman"]), (6, ["dog"], ["cup"], [])))
 def o4(spark: SparkSession, sf: str) -> DataFrame:
     rows = given(spark, "query_id int, text string", *[a for a in ASKED if a[0] in (1, 6)])
-    return rows.select("query_id", O.tiers(O.target_entities(F.col("text"))).alias("t")).select("query_id", "t.*")
+    return O.target_lists(rows).select("query_id", O.tiers(F.col("entities")).alias("t")).select("query_id", "t.*")
 
 
-@register("J6_keywords", "SELECT doc_id AS query_id, k AS keyword FROM documents, (VALUES ('que'), ('the'), ('die')) t(k) WHERE regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}_]' || k || '[^\\p{L}\\p{N}_]')")
+#: Words, and what stands between them, in turn.
+PARTS_SQL = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
+PAIRS_SQL = "list_transform(list_filter(range(1, len(p) - 1), lambda i: p[i + 1] = ' ' AND regexp_matches(p[i], '[\\p{L}\\p{N}_]')), lambda i: p[i] || ' ' || p[i + 2])"
+WORDS_OF_SQL = "list_filter(p, lambda x: regexp_matches(x, '[\\p{L}\\p{N}_]'))"
+
+
+def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the labelled documents, and every two words of the benchmark between which a space stands: a lexicon that grows with the tables."""
+    words = T.table(spark, sf, "documents").join(T.table(spark, sf, "labels"), "doc_id", "left_semi").select(F.explode(N.raw_words(F.col("text"))).alias("keyword"))
+    pairs = rf"(?=(?:^|[^\p{{L}}\p{{N}}_])({N.WORD} {N.WORD})(?:[^\p{{L}}\p{{N}}_]|$))"
+    phrases = T.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pairs), 1)).alias("keyword"))
+    return words.unionByName(phrases).distinct()
+
+
+@register("J6_keywords", f"""WITH d AS (SELECT doc_id, {PARTS_SQL.format('text')} AS p FROM documents), b AS (SELECT {PARTS_SQL.format('text')} AS p FROM benchmark),
+    lexicon AS (SELECT unnest({WORDS_OF_SQL}) AS keyword FROM d WHERE doc_id IN (SELECT doc_id FROM labels) UNION SELECT unnest({PAIRS_SQL}) FROM b),
+    said AS (SELECT doc_id, unnest(list_concat({WORDS_OF_SQL}, {PAIRS_SQL})) AS keyword FROM d)
+    SELECT DISTINCT doc_id AS query_id, keyword FROM said WHERE keyword IN (SELECT keyword FROM lexicon)""")
 def j6(spark: SparkSession, sf: str) -> DataFrame:
-    return O.keyword_hits(T.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text"), ["que", "the", "die"])
+    return keyword_hits(T.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text"), _lexicon(spark, sf))
+
+
+TOLD = [*X.ENTITIES, "đàn bò", "chơi đàn", "người đàn ông", "tượng trưng", "bức tượng", "hình tượng trưng đá"]
+SAID = ("a dog", "person.", "xbus", "Cat_", "đi")
+
+
+@register("O1_targets_table", f"""WITH texts AS (SELECT event_id, lower({quoted(TOLD)}[event_id % {len(TOLD)} + 1] || ' ' || {quoted(SAID)}[event_id % 5 + 1] || ', ' || {quoted(TOLD)}[event_id * 7 % {len(TOLD)} + 1]) AS t FROM events),
+    every AS (SELECT DISTINCT t FROM texts), lexicon AS (SELECT * FROM (VALUES {', '.join(f"({quoted(k)}, {quoted([e.lower() for e in es])})" for k, es in X.ENTITIES.items())}) l(k, es)),
+    stands AS (SELECT t, k, es FROM every, lexicon WHERE regexp_matches(' ' || t || ' ', '[^\p{{L}}\p{{N}}_]' || k || '[^\p{{L}}\p{{N}}_]')),
+    meant AS (SELECT t, unnest(es) AS e FROM stands WHERE NOT ({' OR '.join(f"k = {quoted(k)} AND ({' OR '.join(f'contains(t, {quoted(o)})' for o in others)}) AND NOT ({' OR '.join(f'contains(t, {quoted(c)})' for c in cues)})" for k, (others, cues) in X.HOMONYMS.items())})),
+    named AS (SELECT t, c AS e FROM every, (SELECT unnest({quoted(list(X.CLASSES))}) AS c) WHERE regexp_full_match(c, '[a-z]{{3,}}') AND regexp_matches(' ' || t || ' ', '[^\p{{L}}\p{{N}}_]' || c || '[^\p{{L}}\p{{N}}_]')),
+    lists AS (SELECT t, list(DISTINCT e ORDER BY e) AS entities FROM (SELECT * FROM meant UNION ALL SELECT * FROM named) GROUP BY t)
+    SELECT event_id AS query_id, coalesce(entities, CAST([] AS VARCHAR[])) AS entities FROM texts LEFT JOIN lists USING (t)""")
+def o1_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two keywords, or homonyms in and out of their contexts, and words that hold a class name or are one."""
+    e = F.col("event_id")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), (at % len(names)).cast("int"))
+    text = F.concat(pick(TOLD, e), F.lit(" "), pick(SAID, e), F.lit(", "), pick(TOLD, e * 7))
+    return O.target_lists(T.table(spark, sf, "events").select(e.alias("query_id"), text.alias("text")))
 
 
 # ---- verification and answers
