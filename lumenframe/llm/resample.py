@@ -29,7 +29,7 @@ BUCKETS = 10_000
 #: Documents with fewer words are not drawn; of the others so many in a hundred are.
 MIN_WORDS, SHARE, SEED = 20, 25, 7
 #: Characters of text that DuckDB takes apart at once; longer texts are parted.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 #: DuckDB's memory in a task; what it holds is bounded by TOGETHER, and it may spill nowhere.
 MEMORY = "768MB"
 _OTHERS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
