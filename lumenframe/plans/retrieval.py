@@ -61,8 +61,10 @@ def tokens_sql(column: str) -> str:
 
 
 def bm25_sql(media: str, queries: str) -> str:
-    return f"""words AS (SELECT video_id, {tokens_sql('text')} AS t FROM {media}),
-    post AS (SELECT video_id, token, count(*) AS tf, max(dl) AS dl FROM (SELECT video_id, len(t) AS dl, unnest(t) AS token FROM words) GROUP BY ALL),
+    return f"""counted AS MATERIALIZED (SELECT video_id, token, count(*) AS tf FROM (SELECT video_id, unnest({WORDS_SQL.format('text')}) AS token FROM {media}) GROUP BY ALL),
+    judged AS MATERIALIZED (SELECT c.*, s.word IS NULL AND length(token) > 1 AS good FROM counted c LEFT JOIN (SELECT DISTINCT unnest({STOP_LIST}) AS word) s ON s.word = c.token),
+    sized AS (SELECT video_id, bool_or(good) AS any_good, CAST(coalesce(sum(tf) FILTER (good), sum(tf)) AS BIGINT) AS dl FROM judged GROUP BY ALL),
+    post AS MATERIALIZED (SELECT video_id, token, tf, dl FROM judged JOIN sized USING (video_id) WHERE good OR NOT any_good),
     corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT video_id, max(dl) AS dl FROM post GROUP BY ALL)),
     raw_idf AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM post GROUP BY ALL), corpus),
     terms AS (SELECT token, df, CASE WHEN raw < 0 THEN {B.EPSILON} * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf),

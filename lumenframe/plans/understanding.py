@@ -323,10 +323,10 @@ SAID = ("a dog", "person.", "xbus", "Cat_", "đi")
 
 
 @register("O1_targets_table", f"""WITH texts AS (SELECT event_id, lower({quoted(TOLD)}[event_id % {len(TOLD)} + 1] || ' ' || {quoted(SAID)}[event_id % 5 + 1] || ', ' || {quoted(TOLD)}[event_id * 7 % {len(TOLD)} + 1]) AS t FROM events),
-    every AS (SELECT DISTINCT t FROM texts), lexicon AS (SELECT * FROM (VALUES {', '.join(f"({quoted(k)}, {quoted([e.lower() for e in es])})" for k, es in X.ENTITIES.items())}) l(k, es)),
-    stands AS (SELECT t, k, es FROM every, lexicon WHERE regexp_matches(' ' || t || ' ', '[^\p{{L}}\p{{N}}_]' || k || '[^\p{{L}}\p{{N}}_]')),
+    every AS (SELECT DISTINCT t, ' ' || replace(replace(t, ',', ' , '), '.', ' . ') || ' ' AS spaced FROM texts), lexicon AS (SELECT * FROM (VALUES {', '.join(f"({quoted(k)}, {quoted([e.lower() for e in es])})" for k, es in X.ENTITIES.items())}) l(k, es)),
+    stands AS (SELECT t, k, es FROM every, lexicon WHERE contains(spaced, ' ' || k || ' ')),
     meant AS (SELECT t, unnest(es) AS e FROM stands WHERE NOT ({' OR '.join(f"k = {quoted(k)} AND ({' OR '.join(f'contains(t, {quoted(o)})' for o in others)}) AND NOT ({' OR '.join(f'contains(t, {quoted(c)})' for c in cues)})" for k, (others, cues) in X.HOMONYMS.items())})),
-    named AS (SELECT t, c AS e FROM every, (SELECT unnest({quoted(list(X.CLASSES))}) AS c) WHERE regexp_full_match(c, '[a-z]{{3,}}') AND regexp_matches(' ' || t || ' ', '[^\p{{L}}\p{{N}}_]' || c || '[^\p{{L}}\p{{N}}_]')),
+    named AS (SELECT t, c AS e FROM every, (SELECT unnest({quoted(list(X.CLASSES))}) AS c) WHERE regexp_full_match(c, '[a-z]{{3,}}') AND contains(spaced, ' ' || c || ' ')),
     lists AS (SELECT t, list(DISTINCT e ORDER BY e) AS entities FROM (SELECT * FROM meant UNION ALL SELECT * FROM named) GROUP BY t)
     SELECT event_id AS query_id, coalesce(entities, CAST([] AS VARCHAR[])) AS entities FROM texts LEFT JOIN lists USING (t)""")
 def o1_table(spark: SparkSession, sf: str) -> DataFrame:
