@@ -12,7 +12,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StringType
 
@@ -109,3 +109,24 @@ def without_openings(answers: Column) -> Column:
         return texts.map(one)
 
     return run(answers)
+
+
+@F.udtf(returnType="part int, text string, confidence double", useArrow=True)
+class FoundTexts:
+    """A picture's texts as rows, for a lateral join: what a recogniser gives, one part after the other.
+
+    The stand-in takes lines of the bytes for texts, and a rest of each one's length for its confidence.
+    """
+
+    def eval(self, content: bytes | None) -> Iterator[tuple[int, str, float]]:
+        for part, line in enumerate((content or b"").decode("utf-8", "replace").split("\n")):
+            if line.strip():
+                yield part, line.strip(), len(line.strip()) % 101 / 100
+
+
+def found_texts(pictures: DataFrame, least: float = 0.3) -> DataFrame:
+    """``key, text`` of ``pictures(key, content)``: confident parts, in order, parted by spaces; empty where there is none."""
+    pictures.sparkSession.udtf.register("found_texts", FoundTexts)
+    rows = pictures.sparkSession.sql("SELECT key, part, text FROM {pictures}, LATERAL found_texts(content) WHERE confidence > {least}", pictures=pictures, least=least)
+    joined = rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), " ").alias("text"))
+    return pictures.select("key").join(joined, "key", "left").withColumn("text", F.coalesce("text", F.lit("")))

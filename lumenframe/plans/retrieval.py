@@ -237,7 +237,7 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
     return S.frame_ids(T.frames(spark, sf).select("video_id", "frame_idx"), T.frame_map(spark, sf))
 
 
-DETECTIONS_SQL = "detections AS (SELECT 'v' || (user_id % 10) AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx, event_type AS entity, event_id % 100 / CAST(100 AS DOUBLE) AS score FROM events WHERE user_id IS NOT NULL)"
+DETECTIONS_SQL = f"detections AS (SELECT 'v' || (event_id // {T.FRAMES_A_VIDEO * T.DETECTIONS_A_FRAME}) AS video_id, CAST(event_id // {T.DETECTIONS_A_FRAME} % {T.FRAMES_A_VIDEO} AS INTEGER) AS frame_idx, event_type AS entity, event_id % 100 / CAST(100 AS DOUBLE) AS score FROM events WHERE user_id IS NOT NULL)"
 TARGETS = "(SELECT 'q' || item_id AS query_id, unnest(CASE item_id % 4 WHEN 0 THEN ['click', 'view'] WHEN 1 THEN ['purchase'] WHEN 2 THEN ['person'] ELSE [] END) AS entity FROM benchmark) AS t"
 
 

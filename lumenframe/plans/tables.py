@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PROMPTS, DIMS = 3, 64
-#: Frames and texts of a video.
-FRAMES_A_VIDEO, TEXTS_A_VIDEO = 50, 100
+#: Frames and texts of a video, detections of a frame.
+FRAMES_A_VIDEO, TEXTS_A_VIDEO, DETECTIONS_A_FRAME = 50, 100, 5
 EVENTS = ("view", "click", "purchase")
 
 
@@ -51,9 +51,10 @@ def media_of_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """So many in a row are a frame's, as so many frames are a video's: no key grows with the table."""
     rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
-    return rows.select(F.concat(F.lit("v"), F.col("user_id") % 10).alias("video_id"), (F.row_number().over(order) - 1).alias("frame_idx"), F.col("event_type").alias("entity"), (F.col("event_id") % 100 / 100.0).alias("score"))
+    frame = F.expr(f"CAST(event_id div {DETECTIONS_A_FRAME} % {FRAMES_A_VIDEO} AS INT)")
+    return rows.select(video_of("event_id", FRAMES_A_VIDEO * DETECTIONS_A_FRAME).alias("video_id"), frame.alias("frame_idx"), F.col("event_type").alias("entity"), (F.col("event_id") % 100 / 100.0).alias("score"))
 
 
 def frame_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,14 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "events").where("props IS NOT NULL").select("event_id", S.json_text(F.col("props")).alias("text"))
 
 
+@register("S4_nested_json_leaves", """SELECT conv_id, turn, ' ' || role || ' ' || text || ' ' || role || ' last' AS text FROM conversations""")
+def s4_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Strings at several depths, in objects and arrays, among numbers, nulls and flags; keys are not text."""
+    inner = F.struct(F.col("text").alias("a"), F.array(F.col("role")).alias("b"), F.col("turn").alias("c"))
+    json = F.to_json(F.struct(F.col("role").alias("role"), F.array(inner).alias("list"), F.lit(True).alias("flag"), F.lit("last").alias("z")))
+    return T.table(spark, sf, "conversations").select("conv_id", "turn", S.json_text(json).alias("text"))
+
+
 @register("S9_items", expected("task, query_id, query", ("task1", "a", "x"), ("task2", "unknown", "y"), ("task1", "b", "z"), ("task3", "c", "w")))
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     raw = given(spark, "raw string", ('{"task1": [{"id": "a", "query": "x"}], "task2": {"k1": {"query": "y"}}}',), ('[{"id": "b", "text": "z", "task": "other"}, {"id": "c", "text": "w", "task": "TASK3"}]',))
@@ -265,6 +273,12 @@ def u4(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", P.ocr_text(F.col("found")).alias("text"))
 
 
+@register("U4_found_texts", """SELECT page_id AS key, array_to_string(list_filter(list_transform(string_split(coalesce(html, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND length(x) % 101 > 30), ' ') AS text FROM pages""")
+def u4_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages' bytes stand for pictures: a table function called by a lateral join, confident parts joined."""
+    return P.found_texts(T.table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.col("html").cast("binary").alias("content")))
+
+
 @register("D2_encode")
 def d2(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "benchmark").select("item_id", P.encode(F.col("text")).alias("embedding"))

@@ -73,16 +73,21 @@ def read_vectors_of(spark: SparkSession, roots: Sequence[str], mount: str) -> Da
     return read_vectors(spark, mount, without=("keyframe", "video"))
 
 
-def read_vectors(spark: SparkSession, root: str, without: tuple[str, ...] = ()) -> DataFrame:
-    """``video_id, frame_idx, embedding`` from .npy matrices, one file a video; of two files of one name the later path counts.
+def vector_files(spark: SparkSession, root: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``video_id, path`` of .npy files, one a video, found by names alone; of two files of one name the later path counts.
 
     ``without``: leave out paths that hold one of these words, as the fallback scan does.
     """
-    files = _binary(spark, root, "*.[nN][pP][yY]")
+    files = _binary(spark, root, "*.[nN][pP][yY]").select("path")
     for word in without:
         files = files.where(~F.lower("path").contains(word))
-    latest = Window.partitionBy(stem(F.col("path"))).orderBy(F.desc("path"))
-    files = files.withColumn("n", F.row_number().over(latest)).where("n = 1")
+    return files.groupBy(stem(F.col("path")).alias("video_id")).agg(F.max("path").alias("path"))
+
+
+def read_vectors(spark: SparkSession, root: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``video_id, frame_idx, embedding`` from .npy matrices in any store that Spark knows, a file a task; ``npy.scan_vectors`` reads large files by ranges of rows."""
+    chosen = vector_files(spark, root, without)
+    files = _binary(spark, root, "*.[nN][pP][yY]").join(chosen.select("path"), "path", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
