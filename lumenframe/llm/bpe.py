@@ -62,7 +62,7 @@ class ByteBpe:
         self._pieces: dict[bytes, bytes] = {}
         self._pairs: dict[int, bool] = {}
         self._pattern = regex.compile(PATTERN)
-        self._prepare_batches()
+        self._powers: np.ndarray | None = None
 
     # ---- units of many texts
 
@@ -325,6 +325,8 @@ class ByteBpe:
         return out
 
     def _learn_pieces(self, raws: list[bytes]) -> None:
+        if self._powers is None:  # ids do without these tables
+            self._prepare_batches()
         raws.sort(key=len, reverse=True)
         for at in range(0, len(raws), 1 << 14):
             self._learn_some(raws[at : at + (1 << 14)])
