@@ -3,6 +3,7 @@
 import itertools
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -17,6 +18,8 @@ from lumenframe.operators import evaluate as E
 from lumenframe.operators import fusion as R
 from lumenframe.operators import select as S
 from lumenframe.operators import sparse as B
+from lumenframe.plans import tables as T
+from lumenframe.plans.registry import QUERIES
 from lumenframe.sources import files, items, sinks
 
 
@@ -216,3 +219,12 @@ def test_pictures_that_fail_move_others_up(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {(r.video_id, r.frame_idx): r.path.rpartition("/")[2] for r in files.picture_features(files.read_pictures(spark, str(tmp_path))).collect()}
     assert got == {("v", 0): "1.jpg", ("v", 1): "3.jpg", ("w", 0): "1.png"}
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    values = [-1e-7, -0.0, 0.0, 1e-7, 5e-7, -5e-7, -0.125]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(T.rounded(F.col("x")).alias("x")).collect()
+    want = duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
+    assert [repr(r.x) for r in got] == [repr(x) for (x,) in want]
+    spark.createDataFrame([(0, [-1e-7, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert repr(QUERIES["D1_normalize"](spark, str(tmp_path)).first().embedding) == "[-0.0, 1.0]"
