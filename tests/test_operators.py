@@ -228,3 +228,27 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
     assert [repr(r.x) for r in got] == [repr(x) for (x,) in want]
     spark.createDataFrame([(0, [-1e-7, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert repr(QUERIES["D1_normalize"](spark, str(tmp_path)).first().embedding) == "[-0.0, 1.0]"
+
+
+def test_postings_of_a_text_lie_together(spark):
+    media = spark.range(400).select(F.col("id").alias("video_id"), F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") * k % 97).cast("string")) for k in range(1, 30)]).alias("text"))
+    post = B.postings(media)
+    where = post.withColumn("file", F.input_file_name()).groupBy("video_id").agg(F.countDistinct("file").alias("files"), F.sum("tf").alias("words"), F.max("dl").alias("dl"))
+    assert where.where("files > 1 OR words <> dl").isEmpty() and where.count() == 400
+
+
+def test_texts_of_one_id_are_one_text(spark):
+    media = spark.createDataFrame([(1, "red cat"), (1, "cat sat"), (2, "a"), (3, None), (4, "the")], "video_id long, text string")
+    got = sorted((r.video_id, r.token, r.tf, r.dl) for r in B.postings(media).collect())
+    assert got == [(1, "cat", 2, 4), (1, "red", 1, 4), (1, "sat", 1, 4), (2, "a", 1, 1), (4, "the", 1, 1)]
+
+
+def test_bm25_is_alike_however_asked_words_meet(spark, monkeypatch):
+    media = spark.createDataFrame([(n, f"red cat {n} dog {n % 3}x") for n in range(50)], "video_id long, text string")
+    asked = spark.createDataFrame([("a", "red 1x"), ("b", "dog 7"), ("c", "2x 2x cat")], "query_id string, query string")
+    post = B.postings(media)
+    found = []
+    for sent in (B.SENT, 0):
+        monkeypatch.setattr(B, "SENT", sent)
+        found.append(sorted((r.query_id, r.video_id, round(r.score, 9)) for r in B.bm25(post, B.term_statistics(post), B.query_terms(asked)).collect()))
+    assert found[0] == found[1] and len(found[0]) == 150
