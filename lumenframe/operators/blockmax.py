@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from .sparse import K1, B, weights_of
 
 #: Texts of a shard and of a block; what rounding may add to a score.
 SHARD, BLOCK, MARGIN = 4096, 4, 1e-5
+#: Bytes of words that a worker packs at once: a shard of long texts is cut into parts, which are shards of their own; parts of a shard at most.
+PACKED, PARTS = 1 << 25, 1 << 20
 #: Of so many shards one gives floors, but so many do at least.
 SAMPLED, LEAST = 32, 64
 #: No word: its row has a shard's texts and their lengths.
@@ -78,27 +81,41 @@ def _packed(shard: int, ids: pa.Array, blocks: np.ndarray, words: pa.ListArray)
     yield pa.RecordBatch.from_arrays([pa.array(np.full(n_words, shard)), coded.dictionary, pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(n), blobs, pa.nulls(n_words, pa.list_(ids.type))], NAMES)
 
 
-def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packing(packed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Index rows of shards, part ``n`` of shard ``s`` under the number ``s * PARTS + n``; a part has no more bytes than ``packed``, or one text."""
+
+    def made(held: list[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(held).combine_chunks()
         one = [whole.column(c).chunk(0) for c in ("id", "block", "words")]
-        yield from _packed(held[0].column(0)[0].as_py(), one[0], one[1].to_numpy(), one[2])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        shards = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if held and b > a and held[0].column(0)[0].as_py() != shards[a]:
-                yield from made(held)
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield from made(held)
-
-
-def block_index(media: DataFrame, shard: int = SHARD, block: int = BLOCK) -> BlockIndex:
+        yield from _packed(held[0].column(0)[0].as_py() * PARTS + part, one[0], one[1].to_numpy(), one[2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = part = 0
+        for batch in batches:
+            shards, lists = batch.column(0).to_numpy(), batch.column(3)
+            ends = np.append(0, pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False).astype(np.int64).cumsum())
+            upto = ends[np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum())]  # bytes of the texts before each
+            edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and b > a and held[0].column(0)[0].as_py() != shards[a]:
+                    yield from made(held, part)
+                    held, size, part = [], 0, 0
+                while a < b:
+                    z = min(b, max(a + 1, int(np.searchsorted(upto, upto[a] + packed - size, "right")) - 1))
+                    if held and size + upto[z] - upto[a] > packed:
+                        yield from made(held, part)
+                        held, size, part = [], 0, part + 1
+                        continue
+                    held.append(batch.slice(a, z - a))
+                    size, a = size + int(upto[z] - upto[a]), z
+        if held:
+            yield from made(held, part)
+
+    return run
+
+
+def block_index(media: DataFrame, shard: int = SHARD, block: int = BLOCK, packed: int = PACKED) -> BlockIndex:
     """The index of ``media(video_id, text)``, one row an id; texts without words are left out."""
     spark = media.sparkSession
     bounded_batches(spark)
@@ -108,7 +125,7 @@ def block_index(media: DataFrame, shard: int = SHARD, block: int = BLOCK) -> Blo
     words = media.select("video_id", raw_words(F.col("text")).alias("w")).select("video_id", tokens_of(F.col("w")).alias("words")).where(F.size("words") > 0)
     placed = words.select(F.pmod(F.xxhash64("video_id"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("video_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.col("video_id").alias("id"), "words")
     ordered = placed.repartition("shard").sortWithinPartitions("shard", "block", "id")
-    rows = staged(ordered.mapInArrow(_packing, f"shard long, token string, n int, n_blocks int, total long, packed binary, ids array<{dict(media.dtypes)['video_id']}>"), "blocks")
+    rows = staged(ordered.mapInArrow(_packing(packed), f"shard long, token string, n int, n_blocks int, total long, packed binary, ids array<{dict(media.dtypes)['video_id']}>"), "blocks")
     texts = rows.where(F.col("token") == TEXTS).agg(F.sum("n").alias("n"), F.sum("total").alias("length")).first()
     df = rows.where(F.col("token") != TEXTS).groupBy("token").agg(F.sum("n").alias("df"))
     return BlockIndex(rows, staged(weights_of(df, F.lit(texts.n)), "terms"), texts.length / texts.n if texts.n else 1.0, shards)
@@ -205,7 +222,7 @@ def block_max_search(index: BlockIndex, asked: DataFrame, k: int) -> tuple[DataF
         walked = rows.join(named, "token").groupBy("shard").applyInArrow(_walk(index.mean, k, first), f"query_id {kinds[0]}, video_id {kinds[1]}, score double, read long, postings long")
         return staged(walked, "walked")
 
-    early = index.rows.where(F.col("shard") % max(1, min(SAMPLED, index.shards // LEAST)) == 0)
+    early = index.rows.where(F.expr(f"shard div {PARTS}") % max(1, min(SAMPLED, index.shards // LEAST)) == 0)
     head = searched(early, wanted.withColumn("floor", F.lit(None).cast("double")), True)
     floors = ranked(head.where("score IS NOT NULL"), k=k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     done = searched(index.rows, wanted.join(floors, "query_id", "left"), False)

@@ -53,6 +53,16 @@ def test_block_max_search_with_repeated_words_and_nothing_to_find(spark, common_
     assert M.block_max_search(M.block_index(media), terms.limit(0), 3)[0].count() == 0
 
 
+def test_shards_of_long_texts_are_packed_in_parts(spark, common_words):
+    texts, asked = common_words
+    media = spark.createDataFrame(list(enumerate(texts)), "video_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = M.block_index(media, packed=3000)
+    totals = index.rows.where(F.col("token") == M.TEXTS).select("n", "total").collect()
+    assert max(r.total for r in totals if r.n > 1) <= 3000 and sum(r.n for r in totals) == sum(bool(t) for t in texts) and len(totals) > 2 * index.shards
+    assert ranks(M.block_max_search(index, B.query_terms(queries, tokens(F.col("query"))), 5)[0]) == ranks(B.sparse_search(media, queries, 5, tokens(F.col("query"))))
+
+
 # ---- one pass over frames
 
 
