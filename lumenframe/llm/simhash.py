@@ -418,12 +418,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """The rows of ``docs``, whole, without those whose component of ``near_copies`` has a smaller id; a repeated id keeps one row, rows without an id stay."""
-    grouped = near_copies(docs, id_col, text_col, k)
+    """The rows of ``docs``, whole, without those whose component has a smaller id; a repeated id keeps one row, rows without an id stay.
+
+    Components are those of ``near_duplicates``, by SimHash; those of ``near_copies`` add what lies further apart.
+    """
+    grouped = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id").unionByName(near_copies(docs, id_col, text_col, k))
     judged = cut(grouped.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("n")))
     gone = judged.where("low < doc_id").select("doc_id")
     kept = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
-    if judged.where("n > 1").isEmpty():
+    if judged.where("n > 2").isEmpty():  # each row is told of twice
         return kept
     named = kept.where(F.col(f"`{id_col}`").isNotNull())
     return named.dropDuplicates([id_col]).unionByName(kept.where(F.col(f"`{id_col}`").isNull()))

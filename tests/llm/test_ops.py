@@ -118,6 +118,14 @@ def test_keep_one_of_each(spark, odd):
     assert sorted(ids) == [1, 4, 6, 7, 8]  # 2 and 3 are empty like 1, 5 is 4 again
 
 
+def test_keep_one_of_each_by_fingerprint(spark):
+    texts = ["a b c d e f g " * 100 + f"{tail}1 {tail}2 {tail}3 {tail}4 {tail}5 {tail}6" for tail in "xy"] + ["another text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_copies(docs).sort("doc_id").collect()] == [0, 1, 2]  # few of the distinct shingles are common
+    assert [r.component_id for r in simhash.near_duplicates(docs).sort("doc_id").collect()] == [0, 0, 2]
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [0, 2]
+
+
 # ---- 2 suffixes
 
 
