@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -12,13 +12,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import bounded_batches, shipped
+from ..sources.staging import bounded_batches, shipped, staged
 
 #: Hits that are returned at once.
 TOGETHER = 1 << 16
+#: Keywords that a worker's automaton holds; more of them are searched in several passes over the texts.
+KEYWORDS_A_PASS = 1 << 18
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(files: tuple[str, ...]) -> ahocorasick.Automaton:
     """A worker's automaton: Aho and Corasick's, over every keyword in the files."""
     made = ahocorasick.Automaton()
@@ -46,29 +48,34 @@ def found_in(text: str, automaton: ahocorasick.Automaton) -> set[str]:
     return out
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_hits(texts: DataFrame, keywords: DataFrame, most: int = KEYWORDS_A_PASS) -> DataFrame:
     """``query_id, keyword`` for every lower-case keyword of ``keywords(keyword)`` that stands in ``texts(query_id, text)``.
 
-    One pass over the texts whatever the number of keywords; these are a lexicon, which every
-    executor fetches as files. A keyword at an edge of which another letter, number or underscore
+    A pass over the texts for about ``most`` keywords each, so that no worker holds more; these are
+    a lexicon, which every executor fetches as files. A keyword at an edge of which another letter, number or underscore
     stands is no hit; keywords within keywords all count; null and empty ones never.
     """
     bounded_batches(texts.sparkSession)
-    files = shipped(keywords.select("keyword").where("keyword <> ''").distinct(), "keywords")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(files)
-        for batch in batches if len(automaton) else ():
-            rows, hits = [], []
-            for n, text in enumerate(batch.column(1)):
-                some = found_in(text.as_py(), automaton)
-                rows += [n] * len(some)
-                hits += some
-                if len(hits) >= TOGETHER:
+    lexicon = staged(keywords.select("keyword").where("keyword <> ''").distinct(), "lexicon")
+    passes = max(1, -(-lexicon.count() // most))
+    given = texts.where("text IS NOT NULL").select("query_id", F.lower("text").alias("text"))
+
+    def search(files: tuple[str, ...]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(files)
+            for batch in batches if len(automaton) else ():
+                rows, hits = [], []
+                for n, text in enumerate(batch.column(1)):
+                    some = found_in(text.as_py(), automaton)
+                    rows += [n] * len(some)
+                    hits += some
+                    if len(hits) >= TOGETHER:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits)], ["query_id", "keyword"])
+                        rows, hits = [], []
+                if hits:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits)], ["query_id", "keyword"])
-                    rows, hits = [], []
-            if hits:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits)], ["query_id", "keyword"])
 
-    given = texts.where("text IS NOT NULL").select("query_id", F.lower("text").alias("text"))
-    return given.mapInArrow(run, f"query_id {dict(texts.dtypes)['query_id']}, keyword string")
+        return given.mapInArrow(run, f"query_id {dict(texts.dtypes)['query_id']}, keyword string")
+
+    parts = (lexicon.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == n) for n in range(passes))
+    return reduce(DataFrame.unionByName, [search(shipped(part, "keywords")) for part in parts])

@@ -18,6 +18,7 @@ from lumenframe.operators import evaluate as E
 from lumenframe.operators import fusion as R
 from lumenframe.operators import select as S
 from lumenframe.operators import sparse as B
+from lumenframe.operators.keywords import keyword_hits
 from lumenframe.plans import tables as T
 from lumenframe.plans.registry import QUERIES
 from lumenframe.sources import files, items, sinks
@@ -252,3 +253,11 @@ def test_bm25_is_alike_however_asked_words_meet(spark, monkeypatch):
         monkeypatch.setattr(B, "SENT", sent)
         found.append(sorted((r.query_id, r.video_id, round(r.score, 9)) for r in B.bm25(post, B.term_statistics(post), B.query_terms(asked)).collect()))
     assert found[0] == found[1] and len(found[0]) == 150
+
+
+def test_keywords_in_passes(spark):
+    words = [f"w{n}" for n in range(60)] + ["w1 w2"]
+    texts = spark.createDataFrame([(n, f"w{n} W{n + 1} w1 w2 xw3") for n in range(20)] + [(99, None)], "query_id long, text string")
+    keywords = spark.createDataFrame([(w,) for w in [*words, None, "", "w5"]], "keyword string")
+    hits = [sorted(map(tuple, keyword_hits(texts, keywords, most).collect())) for most in (1000, 9)]
+    assert hits[0] == hits[1] and len(set(hits[1])) == len(hits[1]) > 60
