@@ -112,7 +112,7 @@ def _bucket_links(keys: np.ndarray, marks: list[np.ndarray], rules: Rules) -> np
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def _spanning(links: list[list[int]]) -> list[tuple[int, int]]:
+def _spanning(links: list[list[int]] | list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The links that join something not yet joined."""
     up: dict[int, int] = {}
 
@@ -297,7 +297,7 @@ def _met_links(sets: list[np.ndarray], bands: np.ndarray, asked: np.ndarray) ->
 
 
 def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Links among ``rows(*keys, node, bands, hashes, asked)`` that have equal keys: those of rows that are asked, or, where ``asked`` is null, a spanning forest of all."""
+    """Spanning forests of links among ``rows(*keys, node, bands, hashes, asked)`` that have equal keys: of links of rows that are asked, or, where ``asked`` is null, of all."""
     spread = rows.select(*keys, "node", "bands", "hashes", "asked").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
                 marks = np.array(bands, np.int64).T.copy()
-                ends = _near_links(sets, marks) if asked[0] is None else _met_links(sets, marks, np.array(asked, bool))
+                ends = _near_links(sets, marks) if asked[0] is None else _spanning(_met_links(sets, marks, np.array(asked, bool)))
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[u] for u, _ in ends], pa.int64()), pa.array([nodes[v] for _, v in ends], pa.int64())], ["u", "v"])
 
         for batch in batches:

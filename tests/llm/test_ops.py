@@ -788,3 +788,15 @@ def test_near_copies_by_kind_of_edit(spark):
         found = [i for i in range(100) if got[ids[i, kind]] == ids[i, "base"]]
         assert set(found) <= set(pairs), kind
         assert len(pairs) == (0 if kind == "other" else 100) and len(found) >= 0.97 * len(pairs), kind
+
+
+def test_asked_rows_leave_a_spanning_forest(spark):
+    hashes = simhash.shingle_hashes(b" ".join(b"w%d" % i for i in range(200)), 5)
+    sets = [np.delete(hashes, i) for i in range(30)]
+    rows = [(0, k, simhash._bands(x).view(np.int64).tolist(), simhash._packed_set(x), k % 2 == 0) for k, x in enumerate(sets)]
+    links = simhash._met(spark.createDataFrame(rows, "group int, node long, bands array<long>, hashes binary, asked boolean"), ["group"]).collect()
+    assert len(links) == len(sets) - 1
+    found = {0}
+    for _ in sets:
+        found |= {x for r in links if {r.u, r.v} & found for x in (r.u, r.v)}
+    assert found == set(range(len(sets)))
