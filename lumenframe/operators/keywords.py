@@ -1,11 +1,17 @@
-"""Keywords of a table in texts: an automaton over all of them, run over batches of texts where these lie."""
+"""Keywords of a table in texts: parts of texts are looked up in mapped tables of all keywords, in one pass over the texts."""
 
 from __future__ import annotations
 
+import fcntl
+import mmap
+import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
+from hashlib import blake2b
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
@@ -16,66 +22,225 @@ from ..sources.staging import bounded_batches, shipped, staged
 
 #: Hits that are returned at once.
 TOGETHER = 1 << 16
-#: Keywords that a worker's automaton holds; more of them are searched in several passes over the texts.
-KEYWORDS_A_PASS = 1 << 18
-
-
-@lru_cache(maxsize=1)
-def _automaton(files: tuple[str, ...]) -> ahocorasick.Automaton:
-    """A worker's automaton: Aho and Corasick's, over every keyword in the files."""
-    made = ahocorasick.Automaton()
-    for name in files:
-        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
-            for keyword in batch.column(0).to_pylist():
-                made.add_word(keyword, keyword)
-    if len(made):
-        made.make_automaton()
-    return made
+#: Characters of texts that are looked up at once.
+BLOCK = 1 << 23
+#: A word, or any other character; the rest of a word.
+PART, REST = re.compile(r"\w+|\W"), re.compile(r"\w*")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of a text: its number, itself, and where the piece begins, where no keyword begins any more, and where none goes on.
+Piece = tuple[int, str, int, int, int]
 
 
 def _inside(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def found_in(text: str, automaton: ahocorasick.Automaton) -> set[str]:
-    """Keywords that stand in a lower-case text between word edges."""
-    out = set()
-    last = len(text) - 1
-    for end, keyword in automaton.iter(text):
-        begin = end - len(keyword)
-        if keyword not in out and (begin < 0 or not _inside(text[begin])) and (end == last or not _inside(text[end + 1])):
-            out.add(keyword)
-    return out
-
-
-def keyword_hits(texts: DataFrame, keywords: DataFrame, most: int = KEYWORDS_A_PASS) -> DataFrame:
+def _hashes(parts: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(p.encode(), digest_size=8).digest() for p in parts), "<u8")
+
+
+def _chained(before: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Hashes of several parts, from those of all but the last and of the last."""
+    mixed = (before ^ (before >> np.uint64(29))) * _ODD + part
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``many, h, keyword``: whether a keyword has several parts, and their hash; if it has, its beginnings besides, without a keyword."""
+    for batch in batches:
+        many, hashes, keywords = [], [], []
+        for keyword in batch.column(0).to_pylist():
+            every = _hashes(PART.findall(keyword))
+            h = every[:1]
+            for part in every[1:]:
+                many.append(True)
+                hashes.append(h)
+                keywords.append(None)
+                h = _chained(h, part)
+            many.append(len(every) > 1)
+            hashes.append(h)
+            keywords.append(keyword)
+        if hashes:
+            yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keywords, pa.string())], ["many", "h", "keyword"])
+
+
+class _Table:
+    """Keywords ordered by hashes, mapped, so that a worker's memory doesn't grow with them; a beginning has no characters."""
+
+    def __init__(self, files: tuple[str, ...]):
+        folder = f"{SparkFiles.getRootDirectory()}/mapped-{files[0]}"
+        with open(f"{folder}.lock", "w") as lock:  # an executor's first worker lays it out
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(f"{folder}/ready"):
+                os.makedirs(folder, exist_ok=True)
+                self._lay(files, folder)
+                with open(f"{folder}/ready", "w"):
+                    pass
+                for name in files:
+                    os.remove(SparkFiles.get(name))
+        self.size = os.path.getsize(f"{folder}/h") // 8
+        if self.size:
+            self.h, self.ends = np.memmap(f"{folder}/h", "<i8", "r"), np.memmap(f"{folder}/ends", "<i8", "r")
+            with open(f"{folder}/keywords", "rb") as f:
+                self.chars = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+    @staticmethod
+    def _lay(files: tuple[str, ...], folder: str) -> None:
+        end = 0
+        with open(f"{folder}/h", "wb") as h, open(f"{folder}/ends", "wb") as ends, open(f"{folder}/keywords", "wb") as chars:
+            for name in files:
+                for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+                    some = [(k or "").encode() for k in batch.column(1).to_pylist()]
+                    h.write(batch.column(0).to_numpy().astype("<i8").tobytes())
+                    ends.write((end + np.cumsum([len(k) for k in some], dtype="<i8")).tobytes())
+                    chars.write(b"".join(some))
+                    end += sum(map(len, some))
+
+    def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place in ``hashes`` with each entry of that hash."""
+        places, entries = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if self.size:
+            wanted = hashes.view(np.int64)
+            place, entry = np.arange(len(wanted)), np.searchsorted(self.h, wanted)
+            while len(place):  # again only where several entries share a hash
+                here = self.h[np.minimum(entry, self.size - 1)] == wanted[place]
+                here &= entry < self.size
+                place, entry = place[here], entry[here]
+                places.append(place)
+                entries.append(entry)
+                entry = entry + 1
+        return np.concatenate(places), np.concatenate(entries)
+
+    def spans(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(entries > 0, self.ends[entries - 1], 0), self.ends[entries]
+
+    def keywords(self, entries: np.ndarray) -> list[str]:
+        return [self.chars[b:e].decode() for b, e in zip(*(x.tolist() for x in self.spans(entries)), strict=True)]
+
+    def begins(self, entries: np.ndarray) -> np.ndarray:
+        """Which are beginnings."""
+        if not len(entries):
+            return np.empty(0, bool)
+        begin, end = self.spans(entries)
+        return begin == end
+
+
+@lru_cache(maxsize=4)
+def _table(files: tuple[str, ...]) -> _Table:
+    return _Table(files)
+
+
+def stands(keyword: str, text: str) -> bool:
+    """Whether a keyword stands in a text between word edges."""
+    at = text.find(keyword)
+    while at >= 0:
+        end = at + len(keyword)
+        if not (at and _inside(text[at - 1])) and not (end < len(text) and _inside(text[end])):
+            return True
+        at = text.find(keyword, at + 1)
+    return False
+
+
+def _blocks(texts: pa.Array, longest: int, size: int) -> Iterator[list[Piece]]:
+    """Pieces of texts, of about ``size`` characters together, at most one of a text in a block."""
+    block, chars = [], 0
+    for n, text in enumerate(texts):
+        text, begin = text.as_py(), 0
+        while begin < len(text):
+            end = REST.match(text, min(len(text), begin + size)).end()
+            block.append((n, text, begin, end, min(len(text), end + longest + 1)))
+            chars += end - begin
+            begin = end
+            if chars >= size:
+                yield block
+                block, chars = [], 0
+    if block:
+        yield block
+
+
+def found(block: list[Piece], one: _Table, more: _Table) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of texts, and keywords that begin in their pieces and stand between word edges, each once a piece."""
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    rows, own = [np.array([ids[""]], np.int32)], []  # what is no part stands before, between and after the pieces
+    for _, text, begin, end, over in block:
+        parts = PART.findall(text, begin, end)
+        own.append(len(parts))
+        parts += PART.findall(text, end, over)
+        parts.append("")
+        rows.append(np.fromiter(map(ids.__getitem__, parts), np.int32, len(parts)))
+    every, parts = np.concatenate(rows), list(ids)
+    lengths = np.array([len(r) for r in rows[1:]])
+    first = 1 + np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(block), dtype=np.int32), lengths)
+    word = np.fromiter((p != "" and _inside(p[0]) for p in parts), bool, len(parts))[every]
+    may_begin, may_end = word.copy(), word.copy()
+    may_begin[1:] |= ~word[:-1]
+    may_end[:-1] |= ~word[1:]
+    may_begin[[f for f, (_, text, begin, _, _) in zip(first, block, strict=True) if begin and _inside(text[begin - 1]) and not _inside(text[begin])]] = False
+    may_begin[1:] &= np.arange(len(every) - 1) < np.repeat(first - 1 + np.array(own), lengths)
+    may_begin[0] = False
+    hashes = _hashes(parts)
+
+    place, entry = one.at(hashes)
+    known = np.zeros(len(parts), bool)
+    if len(place):
+        known[[p for p, k in zip(place.tolist(), one.keywords(entry), strict=True) if parts[p] == k]] = True
+    at = np.flatnonzero(may_begin & may_end & known[every])
+    pairs = np.unique(owner[at - 1].astype(np.int64) * len(parts) + every[at])
+    owners, keywords = [pairs // len(parts)], [pa.array(parts).take(pa.array(pairs % len(parts)))]
+
+    place, entry = more.at(hashes)
+    goes_on = np.zeros(len(parts), bool)
+    goes_on[place[more.begins(entry)]] = True
+    begin = np.flatnonzero(may_begin & goes_on[every])
+    last, h = begin, hashes[every[begin]]
+    while len(begin):
+        last = last + 1
+        inner = every[last] > 0
+        begin, last, h = begin[inner], last[inner], h[inner]
+        h = _chained(h, hashes[every[last]])
+        place, entry = more.at(h)
+        goes = more.begins(entry)
+        whole = ~goes & may_end[last[place]]
+        pairs, at = np.unique(owner[begin[place[whole]] - 1].astype(np.int64) * more.size + entry[whole], return_index=True)
+        if len(pairs):
+            hit, some = place[whole][at], more.keywords(pairs % more.size)
+            ends = zip((pairs // more.size).tolist(), begin[hit].tolist(), last[hit].tolist(), some, strict=True)
+            # Another text of that hash may stand before the keyword.
+            right = np.array(["".join(parts[i] for i in every[b : e + 1]) == k or stands(k, block[o][1]) for o, b, e, k in ends])
+            owners.append((pairs // more.size)[right])
+            keywords.append(pa.array(some, pa.string()).filter(pa.array(right)))
+        begin, last, h = begin[place[goes]], last[place[goes]], h[place[goes]]
+    return np.array([n for n, *_ in block])[np.concatenate(owners)], pa.concat_arrays(keywords)
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame, block: int = BLOCK) -> DataFrame:
     """``query_id, keyword`` for every lower-case keyword of ``keywords(keyword)`` that stands in ``texts(query_id, text)``.
 
-    A pass over the texts for about ``most`` keywords each, so that no worker holds more; these are
-    a lexicon, which every executor fetches as files. A keyword at an edge of which another letter, number or underscore
+    One pass over the texts, about ``block`` characters at once; every executor fetches the
+    keywords as files and maps them. A keyword at an edge of which another letter, number or underscore
     stands is no hit; keywords within keywords all count; null and empty ones never.
     """
     bounded_batches(texts.sparkSession)
-    lexicon = staged(keywords.select("keyword").where("keyword <> ''").distinct(), "lexicon")
-    passes = max(1, -(-lexicon.count() // most))
-    given = texts.where("text IS NOT NULL").select("query_id", F.lower("text").alias("text"))
-
-    def search(files: tuple[str, ...]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(files)
-            for batch in batches if len(automaton) else ():
-                rows, hits = [], []
-                for n, text in enumerate(batch.column(1)):
-                    some = found_in(text.as_py(), automaton)
-                    rows += [n] * len(some)
-                    hits += some
-                    if len(hits) >= TOGETHER:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits)], ["query_id", "keyword"])
-                        rows, hits = [], []
-                if hits:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits)], ["query_id", "keyword"])
-
-        return given.mapInArrow(run, f"query_id {dict(texts.dtypes)['query_id']}, keyword string")
-
-    parts = (lexicon.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == n) for n in range(passes))
-    return reduce(DataFrame.unionByName, [search(shipped(part, "keywords")) for part in parts])
+    lexicon = keywords.select("keyword").where("keyword <> ''").distinct()
+    entries = staged(lexicon.mapInArrow(_entries, "many boolean, h long, keyword string"), "lexicon")
+    longest = entries.agg(F.max(F.length("keyword"))).first()[0] or 0
+    one = shipped(entries.where("NOT many").select("h", "keyword").orderBy("h"), "keywords")
+    more = shipped(entries.where("many").select("h", "keyword").distinct().orderBy("h"), "phrases")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if longest else ():
+            seen: set[str] = set()  # in the pieces so far of a text that goes on
+            for pieces in _blocks(batch.column(1), longest, block):
+                numbers, hits = found(pieces, _table(one), _table(more))
+                if pieces[0][2]:
+                    new = np.array([n != pieces[0][0] or k not in seen for n, k in zip(numbers, hits.to_pylist(), strict=True)], bool)
+                    numbers, hits = numbers[new], hits.filter(pa.array(new))
+                n, text, begin, end, _ = pieces[-1]
+                if end < len(text):
+                    seen = (seen if begin else set()) | set(hits.filter(pa.array(numbers == n)).to_pylist())
+                for at in range(0, len(hits), TOGETHER):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(numbers[at : at + TOGETHER])), hits.slice(at, TOGETHER)], ["query_id", "keyword"])
+
+    return texts.where("text IS NOT NULL").select("query_id", F.lower("text").alias("text")).mapInArrow(run, f"query_id {dict(texts.dtypes)['query_id']}, keyword string")

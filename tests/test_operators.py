@@ -2,9 +2,12 @@
 
 import itertools
 import json
+import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +19,7 @@ from lumenframe.operators import align as A
 from lumenframe.operators import dense as D
 from lumenframe.operators import evaluate as E
 from lumenframe.operators import fusion as R
+from lumenframe.operators import keywords as K
 from lumenframe.operators import select as S
 from lumenframe.operators import sparse as B
 from lumenframe.operators.keywords import keyword_hits
@@ -261,3 +265,37 @@ def test_keywords_in_passes(spark):
     keywords = spark.createDataFrame([(w,) for w in [*words, None, "", "w5"]], "keyword string")
     hits = [sorted(map(tuple, keyword_hits(texts, keywords, most).collect())) for most in (1000, 9)]
     assert hits[0] == hits[1] and len(set(hits[1])) == len(hits[1]) > 60
+
+
+def test_keywords_take_one_pass(spark):
+    texts = spark.createDataFrame([(1, "w5 and w299999"), (2, "w300000, W7")], "query_id long, text string")
+    hits = keyword_hits(texts, spark.range(300_000).select(F.concat(F.lit("w"), "id").alias("keyword")))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, hits.collect())) == [(1, "w299999"), (1, "w5"), (2, "w7")]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_keywords_of_any_parts(monkeypatch, alike):
+    if alike:  # hashes that many keywords share
+        monkeypatch.setattr(K, "_hashes", lambda parts: np.array([len(p) for p in parts], "<u8"))
+    rng = random.Random(2)
+    chars = ["a", "b", "é", " ", " ", "_", ",", ".", "1", "ab", " a", "中"]
+    texts = ["".join(rng.choices(chars, k=rng.randint(1, 40))) for _ in range(60)]
+    words = sorted({"".join(rng.choices(chars, k=rng.randint(1, 6))) for _ in range(500)})
+    edges = [(w, re.compile("(?<![^\\W])" + re.escape(w) + "(?![^\\W])")) for w in words]
+
+    class Table(K._Table):
+        def __init__(self, rows):
+            kept = [(k or "").encode() for _, k in rows]
+            self.size, self.h, self.ends, self.chars = len(rows), np.array([h for h, _ in rows], np.int64), np.cumsum([len(k) for k in kept]), b"".join(kept)
+
+    made = {(r["many"], r["h"], r["keyword"]) for b in K._entries([pa.RecordBatch.from_arrays([pa.array(words)], ["keyword"])]) for r in b.to_pylist()}
+    one, more = (Table(sorted(((h, k) for m, h, k in made if m == many), key=lambda r: r[0])) for many in (False, True))
+    for size in (1 << 20, 7):
+        got = set()
+        for block in K._blocks(pa.array(texts), max(map(len, words)), size):
+            numbers, hits = K.found(block, one, more)
+            some = list(zip(numbers.tolist(), hits.to_pylist(), strict=True))
+            assert len(set(some)) == len(some)
+            got |= set(some)
+        assert got == {(n, w) for n, t in enumerate(texts) for w, p in edges if p.search(t)}
