@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import fcntl
-import mmap
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +21,12 @@ from ..sources.staging import bounded_batches, shipped, staged
 #: Hits that are returned at once.
 TOGETHER = 1 << 16
 #: Characters of texts that are looked up at once.
-BLOCK = 1 << 23
-#: A word, or any other character; the rest of a word.
-PART, REST = re.compile(r"\w+|\W"), re.compile(r"\w*")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 21
+#: A word, and the rest of one.
+WORD, REST = re.compile(r"\w+"), re.compile(r"\w*")
+#: Stands before, between and after texts; no character.
+EDGE = 0x110000
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Of a text: its number, itself, and where the piece begins, where no keyword begins any more, and where none goes on.
 Piece = tuple[int, str, int, int, int]
 
@@ -35,38 +35,67 @@ def _inside(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def _hashes(parts: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(blake2b(p.encode(), digest_size=8).digest() for p in parts), "<u8")
+@lru_cache(maxsize=1)
+def _of_words() -> np.ndarray:
+    """Which characters are parts of words, by code."""
+    return np.array([*(_inside(chr(c)) for c in range(EDGE)), False])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each part: the sum of its mixed characters by powers of an odd number."""
+    length = np.diff(start, append=len(codes))
+    powers = np.full(length.max(), _ODD[1])
+    powers[0] = 1
+    at = np.arange(len(codes)) - np.repeat(start, length)
+    return _mixed(np.add.reduceat(_mixed((codes + np.uint64(1)) * _ODD[1]) * np.cumprod(powers)[at], start))
 
 
 def _chained(before: np.ndarray, part: np.ndarray) -> np.ndarray:
     """Hashes of several parts, from those of all but the last and of the last."""
-    mixed = (before ^ (before >> np.uint64(29))) * _ODD + part
-    return mixed ^ (mixed >> np.uint64(32))
+    return _mixed(before + part * _ODD[1])
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, each between edges; where parts (a word, or any other character) start; their hashes."""
+    codes = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le"), "<u4").copy()
+    codes[np.cumsum([0, *(len(t) + 1 for t in texts)])] = EDGE
+    word = _of_words()[codes]
+    start = np.flatnonzero(np.concatenate(([True], ~(word[1:] & word[:-1]))))
+    return codes, start, _hashes(codes, start)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``many, h, keyword``: whether a keyword has several parts, and their hash; if it has, its beginnings besides, without a keyword."""
     for batch in batches:
-        many, hashes, keywords = [], [], []
-        for keyword in batch.column(0).to_pylist():
-            every = _hashes(PART.findall(keyword))
-            h = every[:1]
-            for part in every[1:]:
+        every = batch.column(0).to_pylist()
+        if not every:
+            continue
+        codes, start, parts = _cut(every)
+        edges = np.flatnonzero(codes[start] == EDGE)
+        h, several = parts[edges[:-1] + 1], np.diff(edges) > 2
+        many, hashes, keywords = several.tolist(), [h], list(every)
+        for k in np.flatnonzero(several):
+            before = h[k : k + 1].copy()
+            for part in range(edges[k] + 2, edges[k + 1]):
                 many.append(True)
-                hashes.append(h)
+                hashes.append(before)
                 keywords.append(None)
-                h = _chained(h, part)
-            many.append(len(every) > 1)
-            hashes.append(h)
-            keywords.append(keyword)
-        if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keywords, pa.string())], ["many", "h", "keyword"])
+                before = _chained(before, parts[part : part + 1])
+            h[k] = before[0]
+        yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keywords, pa.string())], ["many", "h", "keyword"])
 
 
 class _Table:
     """Keywords ordered by hashes, mapped, so that a worker's memory doesn't grow with them; a beginning has no characters."""
 
+    #: Hashes; where keywords end, after a zero, and their characters by code; the same of their bytes.
+    FILES = {"h": "<i8", "ends": "<i8", "codes": "<u4", "byte_ends": "<i8", "utf8": "u1"}
+
     def __init__(self, files: tuple[str, ...]):
         folder = f"{SparkFiles.getRootDirectory()}/mapped-{files[0]}"
         with open(f"{folder}.lock", "w") as lock:  # an executor's first worker lays it out
@@ -78,51 +107,56 @@ class _Table:
                     pass
                 for name in files:
                     os.remove(SparkFiles.get(name))
-        self.size = os.path.getsize(f"{folder}/h") // 8
-        if self.size:
-            self.h, self.ends = np.memmap(f"{folder}/h", "<i8", "r"), np.memmap(f"{folder}/ends", "<i8", "r")
-            with open(f"{folder}/keywords", "rb") as f:
-                self.chars = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-
-    @staticmethod
-    def _lay(files: tuple[str, ...], folder: str) -> None:
-        end = 0
-        with open(f"{folder}/h", "wb") as h, open(f"{folder}/ends", "wb") as ends, open(f"{folder}/keywords", "wb") as chars:
+        self._map(*(np.memmap(f"{folder}/{name}", kind, "r") if os.path.getsize(f"{folder}/{name}") else np.empty(0, kind) for name, kind in self.FILES.items()))
+
+    def _map(self, h: np.ndarray, ends: np.ndarray, codes: np.ndarray, byte_ends: np.ndarray, utf8: np.ndarray) -> None:
+        self.size, self.h, self.ends, self.codes = len(h), h, ends, codes
+        self.strings = pa.Array.from_buffers(pa.large_string(), self.size, [None, pa.py_buffer(byte_ends), pa.py_buffer(utf8)])
+
+    @classmethod
+    def _lay(cls, files: tuple[str, ...], folder: str) -> None:
+        with ExitStack() as opened:
+            h, ends, codes, byte_ends, utf8 = (opened.enter_context(open(f"{folder}/{name}", "wb")) for name in cls.FILES)
+            for out in (ends, byte_ends):
+                out.write(bytes(8))
             for name in files:
                 for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
-                    some = [(k or "").encode() for k in batch.column(1).to_pylist()]
+                    some = [k or "" for k in batch.column(1).to_pylist()]
                     h.write(batch.column(0).to_numpy().astype("<i8").tobytes())
-                    ends.write((end + np.cumsum([len(k) for k in some], dtype="<i8")).tobytes())
-                    chars.write(b"".join(some))
-                    end += sum(map(len, some))
+                    ends.write((codes.tell() // 4 + np.cumsum([len(k) for k in some], dtype="<i8")).tobytes())
+                    codes.write("".join(some).encode("utf-32-le"))
+                    byte_ends.write((utf8.tell() + np.cumsum([len(k.encode()) for k in some], dtype="<i8")).tobytes())
+                    utf8.write("".join(some).encode())
 
-    def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every place in ``hashes`` with each entry of that hash."""
-        places, entries = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def at(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``hashes``, each once, and an entry of that hash; again while further entries share it."""
         if self.size:
             wanted = hashes.view(np.int64)
             place, entry = np.arange(len(wanted)), np.searchsorted(self.h, wanted)
-            while len(place):  # again only where several entries share a hash
-                here = self.h[np.minimum(entry, self.size - 1)] == wanted[place]
-                here &= entry < self.size
+            while True:
+                here = (self.h[np.minimum(entry, self.size - 1)] == wanted[place]) & (entry < self.size)
                 place, entry = place[here], entry[here]
-                places.append(place)
-                entries.append(entry)
+                if not len(place):
+                    break
+                yield place, entry
                 entry = entry + 1
-        return np.concatenate(places), np.concatenate(entries)
 
     def spans(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.where(entries > 0, self.ends[entries - 1], 0), self.ends[entries]
+        return self.ends[entries], self.ends[entries + 1]
 
-    def keywords(self, entries: np.ndarray) -> list[str]:
-        return [self.chars[b:e].decode() for b, e in zip(*(x.tolist() for x in self.spans(entries)), strict=True)]
+    def keywords(self, entries: np.ndarray) -> pa.Array:
+        return self.strings.take(pa.array(entries)).cast(pa.string())
 
-    def begins(self, entries: np.ndarray) -> np.ndarray:
-        """Which are beginnings."""
-        if not len(entries):
-            return np.empty(0, bool)
-        begin, end = self.spans(entries)
-        return begin == end
+    def equal(self, entries: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which keywords are the characters there."""
+        mine, stop = self.spans(entries)
+        same = stop - mine == end - begin
+        length = (end - begin)[same]
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) - np.repeat(first, length)
+        alike = codes[np.repeat(begin[same], length) + at] == self.codes[np.repeat(mine[same], length) + at]
+        same[same] = np.logical_and.reduceat(alike, first) if len(first) else True
+        return same
 
 
 @lru_cache(maxsize=4)
@@ -160,59 +194,72 @@ def _blocks(texts: pa.Array, longest: int, size: int) -> Iterator[list[Piece]]:
 
 def found(block: list[Piece], one: _Table, more: _Table) -> tuple[np.ndarray, pa.Array]:
     """Numbers of texts, and keywords that begin in their pieces and stand between word edges, each once a piece."""
-    ids: defaultdict[str, int] = defaultdict()
-    ids.default_factory = ids.__len__
-    rows, own = [np.array([ids[""]], np.int32)], []  # what is no part stands before, between and after the pieces
-    for _, text, begin, end, over in block:
-        parts = PART.findall(text, begin, end)
-        own.append(len(parts))
-        parts += PART.findall(text, end, over)
-        parts.append("")
-        rows.append(np.fromiter(map(ids.__getitem__, parts), np.int32, len(parts)))
-    every, parts = np.concatenate(rows), list(ids)
-    lengths = np.array([len(r) for r in rows[1:]])
-    first = 1 + np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(block), dtype=np.int32), lengths)
-    word = np.fromiter((p != "" and _inside(p[0]) for p in parts), bool, len(parts))[every]
+    codes, start, hashes = _cut([text[begin:over] for _, text, begin, _, over in block])
+    stop = np.append(start[1:], len(codes))
+    edge = codes[start] == EDGE
+    owner = np.cumsum(edge) - 1
+    sizes = np.array([over - begin for _, _, begin, _, over in block])
+    first = np.cumsum(sizes + 1) - sizes
+    word = _of_words()[codes[start]]
     may_begin, may_end = word.copy(), word.copy()
     may_begin[1:] |= ~word[:-1]
     may_end[:-1] |= ~word[1:]
-    may_begin[[f for f, (_, text, begin, _, _) in zip(first, block, strict=True) if begin and _inside(text[begin - 1]) and not _inside(text[begin])]] = False
-    may_begin[1:] &= np.arange(len(every) - 1) < np.repeat(first - 1 + np.array(own), lengths)
-    may_begin[0] = False
-    hashes = _hashes(parts)
-
-    place, entry = one.at(hashes)
-    known = np.zeros(len(parts), bool)
-    if len(place):
-        known[[p for p, k in zip(place.tolist(), one.keywords(entry), strict=True) if parts[p] == k]] = True
-    at = np.flatnonzero(may_begin & may_end & known[every])
-    pairs = np.unique(owner[at - 1].astype(np.int64) * len(parts) + every[at])
-    owners, keywords = [pairs // len(parts)], [pa.array(parts).take(pa.array(pairs % len(parts)))]
-
-    place, entry = more.at(hashes)
-    goes_on = np.zeros(len(parts), bool)
-    goes_on[place[more.begins(entry)]] = True
-    begin = np.flatnonzero(may_begin & goes_on[every])
-    last, h = begin, hashes[every[begin]]
+    after_word = [k for k, (_, text, begin, _, _) in enumerate(block) if begin and _inside(text[begin - 1])]
+    cut = np.searchsorted(start, first[after_word])
+    may_begin[cut] &= word[cut]
+    may_begin &= ~edge & (start < np.append(first + [end - begin for _, _, begin, end, _ in block], 0)[owner])
+
+    numbers, keywords = [np.empty(0, np.int64)], [pa.array([], pa.string())]
+
+    def hit(table: _Table, begin: np.ndarray, last: np.ndarray, entry: np.ndarray) -> None:
+        pairs, at = np.unique(owner[begin] * table.size + entry, return_index=True)
+        who, entry = np.divmod(pairs, table.size)
+        right = table.equal(entry, codes, start[begin[at]], stop[last[at]])
+        for n in np.flatnonzero(~right):  # another text of that hash; the keyword may stand after it
+            right[n] = stands(table.keywords(entry[n : n + 1])[0].as_py(), block[who[n]][1])
+        numbers.append(who[right])
+        keywords.append(table.keywords(entry[right]))
+
+    order = np.argsort(hashes)
+    new = np.append(True, np.diff(hashes[order]) != 0)
+    distinct, ids = hashes[order][new], np.empty(len(hashes), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    for place, entry in one.at(distinct):
+        known = np.full(len(distinct), -1)
+        known[place] = entry
+        at = np.flatnonzero(may_begin & may_end & (known[ids] >= 0))
+        hit(one, at, at, known[ids[at]])
+
+    goes_on = np.zeros(len(distinct), bool)
+    for place, entry in more.at(distinct):
+        begin, end = more.spans(entry)
+        goes_on[place[begin == end]] = True
+    begin = np.flatnonzero(may_begin & goes_on[ids])
+    last, h = begin, hashes[begin]
     while len(begin):
         last = last + 1
-        inner = every[last] > 0
-        begin, last, h = begin[inner], last[inner], h[inner]
-        h = _chained(h, hashes[every[last]])
-        place, entry = more.at(h)
-        goes = more.begins(entry)
-        whole = ~goes & may_end[last[place]]
-        pairs, at = np.unique(owner[begin[place[whole]] - 1].astype(np.int64) * more.size + entry[whole], return_index=True)
-        if len(pairs):
-            hit, some = place[whole][at], more.keywords(pairs % more.size)
-            ends = zip((pairs // more.size).tolist(), begin[hit].tolist(), last[hit].tolist(), some, strict=True)
-            # Another text of that hash may stand before the keyword.
-            right = np.array(["".join(parts[i] for i in every[b : e + 1]) == k or stands(k, block[o][1]) for o, b, e, k in ends])
-            owners.append((pairs // more.size)[right])
-            keywords.append(pa.array(some, pa.string()).filter(pa.array(right)))
-        begin, last, h = begin[place[goes]], last[place[goes]], h[place[goes]]
-    return np.array([n for n, *_ in block])[np.concatenate(owners)], pa.concat_arrays(keywords)
+        inner = ~edge[last]
+        begin, last = begin[inner], last[inner]
+        h = _chained(h[inner], hashes[last])
+        goes = np.zeros(len(begin), bool)
+        for place, entry in more.at(h):
+            b, e = more.spans(entry)
+            goes[place[b == e]] = True
+            whole = (b < e) & may_end[last[place]]
+            hit(more, begin[place[whole]], last[place[whole]], entry[whole])
+        begin, last, h = begin[goes], last[goes], h[goes]
+    return np.array([n for n, *_ in block])[np.concatenate(numbers)], pa.concat_arrays(keywords)
+
+
+def words_of(texts: DataFrame) -> DataFrame:
+    """``keyword``: every lower-case word of ``texts(text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for text in batch.column(0) for w in WORD.findall(text.as_py())}, pa.string())], ["keyword"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.where("text IS NOT NULL").select(F.lower("text").alias("text")).mapInArrow(run, "keyword string").distinct()
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, block: int = BLOCK) -> DataFrame:

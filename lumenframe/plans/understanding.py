@@ -15,7 +15,7 @@ from ..functions import text as N
 from ..operators import evaluate as E
 from ..operators import objects as O
 from ..operators import rerank as V
-from ..operators.keywords import keyword_hits
+from ..operators.keywords import keyword_hits, words_of
 from ..sources import files as S
 from ..sources import items as I
 from ..sources import sinks as K
@@ -318,7 +318,7 @@ WORDS_OF_SQL = "list_filter(p, lambda x: regexp_matches(x, '[\\p{L}\\p{N}_]'))"
 
 def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of the labelled documents, and every two words of the benchmark between which a space stands: a lexicon that grows with the tables."""
-    words = T.table(spark, sf, "documents").join(T.table(spark, sf, "labels"), "doc_id", "left_semi").select(F.explode(N.raw_words(F.col("text"))).alias("keyword"))
+    words = words_of(T.table(spark, sf, "documents").join(T.table(spark, sf, "labels"), "doc_id", "left_semi"))
     pairs = rf"(?=(?:^|[^\p{{L}}\p{{N}}_])({N.WORD} {N.WORD})(?:[^\p{{L}}\p{{N}}_]|$))"
     phrases = T.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pairs), 1)).alias("keyword"))
     return words.unionByName(phrases).distinct()

@@ -277,7 +277,7 @@ def test_keywords_take_one_pass(spark):
 @pytest.mark.parametrize("alike", [False, True])
 def test_keywords_of_any_parts(monkeypatch, alike):
     if alike:  # hashes that many keywords share
-        monkeypatch.setattr(K, "_hashes", lambda parts: np.array([len(p) for p in parts], "<u8"))
+        monkeypatch.setattr(K, "_hashes", lambda codes, start: np.diff(start, append=len(codes)).astype("<u8"))
     rng = random.Random(2)
     chars = ["a", "b", "é", " ", " ", "_", ",", ".", "1", "ab", " a", "中"]
     texts = ["".join(rng.choices(chars, k=rng.randint(1, 40))) for _ in range(60)]
@@ -286,8 +286,9 @@ def test_keywords_of_any_parts(monkeypatch, alike):
 
     class Table(K._Table):
         def __init__(self, rows):
-            kept = [(k or "").encode() for _, k in rows]
-            self.size, self.h, self.ends, self.chars = len(rows), np.array([h for h, _ in rows], np.int64), np.cumsum([len(k) for k in kept]), b"".join(kept)
+            kept = [k or "" for _, k in rows]
+            ends, byte_ends = (np.cumsum([0, *sizes]) for sizes in (map(len, kept), (len(k.encode()) for k in kept)))
+            self._map(np.array([h for h, _ in rows], np.int64), ends, np.frombuffer("".join(kept).encode("utf-32-le"), "<u4"), byte_ends, np.frombuffer("".join(kept).encode(), "u1"))
 
     made = {(r["many"], r["h"], r["keyword"]) for b in K._entries([pa.RecordBatch.from_arrays([pa.array(words)], ["keyword"])]) for r in b.to_pylist()}
     one, more = (Table(sorted(((h, k) for m, h, k in made if m == many), key=lambda r: r[0])) for many in (False, True))
