@@ -5,7 +5,7 @@ from __future__ import annotations
 import fcntl
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 from functools import lru_cache
 
@@ -90,6 +90,21 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keywords, pa.string())], ["many", "h", "keyword"])
 
 
+def _laid_out(files: tuple[str, ...], lay: Callable[[str, tuple[str, ...]], None]) -> str:
+    """The folder where an executor's first worker has laid out what is in fetched files."""
+    folder = f"{SparkFiles.getRootDirectory()}/mapped-{files[0]}"
+    with open(f"{folder}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(f"{folder}/ready"):
+            os.makedirs(folder, exist_ok=True)
+            lay(folder, files)
+            with open(f"{folder}/ready", "w"):
+                pass
+            for name in files:
+                os.remove(SparkFiles.get(name))
+    return folder
+
+
 class _Table:
     """Keywords ordered by hashes, mapped, so that a worker's memory doesn't grow with them; a beginning has no characters."""
 
@@ -97,16 +112,7 @@ class _Table:
     FILES = {"h": "<i8", "ends": "<i8", "codes": "<u4", "byte_ends": "<i8", "utf8": "u1"}
 
     def __init__(self, files: tuple[str, ...]):
-        folder = f"{SparkFiles.getRootDirectory()}/mapped-{files[0]}"
-        with open(f"{folder}.lock", "w") as lock:  # an executor's first worker lays it out
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(f"{folder}/ready"):
-                os.makedirs(folder, exist_ok=True)
-                self._lay(files, folder)
-                with open(f"{folder}/ready", "w"):
-                    pass
-                for name in files:
-                    os.remove(SparkFiles.get(name))
+        folder = _laid_out(files, self._lay)
         self._map(*(np.memmap(f"{folder}/{name}", kind, "r") if os.path.getsize(f"{folder}/{name}") else np.empty(0, kind) for name, kind in self.FILES.items()))
 
     def _map(self, h: np.ndarray, ends: np.ndarray, codes: np.ndarray, byte_ends: np.ndarray, utf8: np.ndarray) -> None:
@@ -114,7 +120,7 @@ class _Table:
         self.strings = pa.Array.from_buffers(pa.large_string(), self.size, [None, pa.py_buffer(byte_ends), pa.py_buffer(utf8)])
 
     @classmethod
-    def _lay(cls, files: tuple[str, ...], folder: str) -> None:
+    def _lay(cls, folder: str, files: tuple[str, ...]) -> None:
         with ExitStack() as opened:
             h, ends, codes, byte_ends, utf8 = (opened.enter_context(open(f"{folder}/{name}", "wb")) for name in cls.FILES)
             for out in (ends, byte_ends):
@@ -251,15 +257,37 @@ def found(block: list[Piece], one: _Table, more: _Table) -> tuple[np.ndarray, pa
     return np.array([n for n, *_ in block])[np.concatenate(numbers)], pa.concat_arrays(keywords)
 
 
-def words_of(texts: DataFrame) -> DataFrame:
-    """``keyword``: every lower-case word of ``texts(text)``."""
+def _lay_ids(folder: str, files: tuple[str, ...]) -> None:
+    with open(f"{folder}/ids", "wb") as out:
+        for name in files:
+            for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+                out.write(batch.column(0).to_numpy().astype("<i8").tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array({w for text in batch.column(0) for w in WORD.findall(text.as_py())}, pa.string())], ["keyword"])
 
+@lru_cache(maxsize=1)
+def _ids(files: tuple[str, ...]) -> np.ndarray:
+    path = f"{_laid_out(files, _lay_ids)}/ids"
+    return np.memmap(path, "<i8", "r") if os.path.getsize(path) else np.empty(0, "<i8")
+
+
+def words_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``keyword``: every lower-case word of those ``texts(id, text)`` whose whole number ``id`` is in ``chosen(id)``.
+
+    Executors fetch these ids in order and map them, so no text is exchanged.
+    """
     bounded_batches(texts.sparkSession)
-    return texts.where("text IS NOT NULL").select(F.lower("text").alias("text")).mapInArrow(run, "keyword string").distinct()
+    files = shipped(chosen.where("id IS NOT NULL").select(F.col("id").cast("long")).distinct().orderBy("id"), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wanted = _ids(files), batch.column(0).to_numpy()
+            here = np.zeros(len(wanted), bool)
+            if len(ids):
+                here = ids[np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)] == wanted
+            some = batch.column(1).filter(pa.array(here))
+            yield pa.RecordBatch.from_arrays([pa.array({w for text in some for w in WORD.findall(text.as_py())}, pa.string())], ["keyword"])
+
+    return texts.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.lower("text").alias("text")).mapInArrow(run, "keyword string").distinct()
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, block: int = BLOCK) -> DataFrame:

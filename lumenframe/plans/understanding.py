@@ -318,7 +318,7 @@ WORDS_OF_SQL = "list_filter(p, lambda x: regexp_matches(x, '[\\p{L}\\p{N}_]'))"
 
 def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of the labelled documents, and every two words of the benchmark between which a space stands: a lexicon that grows with the tables."""
-    words = words_of(T.table(spark, sf, "documents").join(T.table(spark, sf, "labels"), "doc_id", "left_semi"))
+    words = words_of(T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), T.table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
     pairs = rf"(?=(?:^|[^\p{{L}}\p{{N}}_])({N.WORD} {N.WORD})(?:[^\p{{L}}\p{{N}}_]|$))"
     phrases = T.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pairs), 1)).alias("keyword"))
     return words.unionByName(phrases).distinct()

@@ -300,3 +300,11 @@ def test_keywords_of_any_parts(monkeypatch, alike):
             assert len(set(some)) == len(some)
             got |= set(some)
         assert got == {(n, w) for n, t in enumerate(texts) for w, p in edges if p.search(t)}
+
+
+def test_words_of_chosen_texts_without_exchange_of_texts(spark):
+    texts = spark.createDataFrame([(1, "A b"), (2, "c"), (3, None), (None, "d"), (7, "b, é_1")], "id long, text string")
+    words = K.words_of(texts, spark.createDataFrame([(7,), (1,), (1,), (3,), (None,), (9,)], "id long"))
+    assert "Join" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.keyword for r in words.collect()) == ["a", "b", "é_1"]
+    assert K.words_of(texts, spark.createDataFrame([], "id long")).count() == 0
